@@ -112,7 +112,7 @@ b AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''
 n AS (SELECT item_id, unnest(CASE WHEN len(w) < 13 THEN [w] ELSE list_transform(range(1, len(w) - 11), lambda i: w[i:i + 12]) END) AS win FROM b WHERE len(w) > 0),
 g AS (SELECT DISTINCT item_id, array_to_string(win, ' ') AS k, len(win) AS l FROM n),
 s AS (SELECT uid, unnest(range(1, len(w) + 1)) AS pos, w FROM d),
-h AS (SELECT s.uid, s.pos, g.l, g.item_id FROM s JOIN (SELECT DISTINCT l FROM g) x ON s.pos + x.l - 1 <= len(s.w) JOIN g ON g.l = x.l AND g.k = array_to_string(s.w[s.at:s.pos + x.l - 1], ' ')),
+h AS (SELECT s.uid, s.pos, g.l, g.item_id FROM s JOIN (SELECT DISTINCT l FROM g) x ON s.pos + x.l - 1 <= len(s.w) JOIN g ON g.l = x.l AND g.k = array_to_string(s.w[s.pos:s.pos + x.l - 1], ' ')),
 c AS (SELECT uid, count(DISTINCT p) AS n_hit FROM (SELECT uid, unnest(range(pos, pos + l)) AS p FROM h) GROUP BY uid),
 i AS (SELECT uid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM h GROUP BY uid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,

@@ -11,8 +11,10 @@ the Jaccard similarity of their sets reaches a threshold. The steps:
    agree too rarely are dropped; the others are verified on their full sets, which are built again for just these
    documents. Components come from the verified links.
 4. Buckets whose members fall in several components are searched again: in cells of bounded size, every pair of members
-   of different components meets once, is screened by signatures inside the task, and is verified if it passes. Members
-   of a bucket's largest component are never paired with each other, so a large group of copies costs no pairs.
+   of different components meets once, in the first bucket that it shares, and is screened by signatures inside the
+   task. Only members of pairs that pass go on; their full sets are built, and the same cells verify the pairs, leaving
+   out those that verified links have joined already, so a cell gives fewer links than it has members. Members of a
+   bucket's largest component are never paired with each other, so a large group of copies costs no pairs.
 
 Nothing is capped: a bucket of any size is dealt with by the last step. Components are by alternating large-star and
 small-star; every round is written to the shared folder.
@@ -35,6 +37,8 @@ from .common import NOT_SPACE, Hashes, blocks, borders, materialize, mix, small_
 
 #: Members of a bucket that meet in one cell at most, on each of its two sides.
 CELL = 1024
+#: Bits of the filter that stands for a set of ids: 4 MB, whatever the number of ids.
+FILTER_BITS = 1 << 25
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,23 +126,33 @@ def sketches(docs: DataFrame, k: int, rows: int, bands: int, id_col: str, text_c
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, n long, f1 long, f2 long, sig binary, keys array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, f1, f2, hashes) of the rows whose id is in ids; hashes are the sorted 64-bit shingles as bytes."""
+def full_sets(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str, bits: int = FILTER_BITS) -> DataFrame:
+    """(id, f1, hashes) of the rows whose id is in ids, and of few others; hashes are the sorted 64-bit shingles as bytes.
+
+    No text is shuffled: the scan passes over rows by a bit filter of the ids, whose size is fixed; what it lets through
+    beyond the ids goes in the joins that follow.
+    """
     small_batches(docs.sparkSession)
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = ids.select((place / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    filled = np.zeros(bits // 64, np.int64)
+    filled[words.column("word").to_numpy()] = words.column("bit").to_numpy()
+    held = docs.sparkSession.sparkContext.broadcast(filled)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((held.value[at // 64] >> (at % 64)) & 1 == 1))
             for lo, data, at in blocks(batch.column(1)):
                 h, sizes = shingle_sets(data, at, k)
                 cut = np.concatenate([[0], np.cumsum(sizes)])
                 sets = [h[cut[i] : cut[i + 1]] for i in range(len(sizes))]
-                with np.errstate(over="ignore"):
-                    f1 = np.array([mix(s + np.uint64(1)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+                f1 = np.array([mix(s + np.uint64(1)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(sizes)), pa.array(f1), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "f1", "hashes"])
 
-    return some.mapInArrow(run, f"id {kind}, f1 long, hashes binary").dropDuplicates(["id", "f1"])
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return own.withColumn("place", place).mapInArrow(run, f"id {kind}, f1 long, hashes binary").dropDuplicates(["id", "f1"])
 
 
 def near_components(docs: DataFrame, *, k: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", rows: int = 7, miss: float = 1e-5) -> DataFrame:
@@ -152,7 +166,7 @@ def near_components(docs: DataFrame, *, k: int = 3, percent: int = 85, id_col: s
     member = materialize(live.select("id", "f1", "f2", "n").distinct().join(classes, ["f1", "f2", "n"]))
     links = member.where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     heads = live.join(classes.withColumnRenamed("rep", "id"), ["f1", "f2", "n", "id"], "left_semi").dropDuplicates(["id", "f1", "f2"])
-    bucket = heads.select("id", "f1", F.posexplode("keys").alias("band", "key")).select("id", "f1", "key")
+    bucket = heads.select("id", "f1", F.posexplode("keys").alias("band", "key"))
     shared = materialize(bucket.groupBy("key").agg(F.min(F.struct("id", "f1")).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1"))
     bucket = materialize(bucket.join(shared.select("key"), "key", "left_semi"))
     sigs = heads.select("id", "f1", "n", "sig")
@@ -173,25 +187,27 @@ def near_components(docs: DataFrame, *, k: int = 3, percent: int = 85, id_col: s
     everywhere = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda j: F.struct(F.least(own, j).alias("a"), F.greatest(own, j).alias("b")))
     beside = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(own.alias("a"), (F.col("na") + j).alias("b")))
     under = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda j: F.struct(j.alias("a"), (F.col("na") + own).alias("b")))
-    cells = at.select("key", "id", "f1", "n", "comp", "sig", own.alias("own"), major.alias("big"), F.col("na"), F.explode(F.when(minor, F.concat(everywhere, beside)).otherwise(under)).alias("cell"))
-    cells = cells.select("key", F.col("cell.a").alias("a"), F.col("cell.b").alias("b"), "id", "f1", "n", "comp", "sig", F.when(F.col("big"), F.col("na") + F.col("own")).otherwise(F.col("own")).alias("side"))
-    width, least = rows * bands, _least_agreement(rows * bands, percent)
-
-    def meet(key, table):
-        a, b = key[1].as_py(), key[2].as_py()
-        side, comp, n = (table.column(c).to_numpy() for c in ("side", "comp", "n"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, width)
-        left, right, out = np.flatnonzero(side == a), np.flatnonzero(side == b), []
-        for i in left:
-            j = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) * 100 >= percent * np.maximum(n[right], n[i]))]
-            j = j[j > i] if a == b else j
-            j = j[(sig[j] == sig[i]).sum(1) >= least]
-            out += [(i, x) for x in j]
+    cells = at.select("key", "band", "id", "f1", "n", "comp", "sig", own.alias("own"), major.alias("big"), F.col("na"), F.explode(F.when(minor, F.concat(everywhere, beside)).otherwise(under)).alias("cell"))
+    cells = cells.select("key", F.col("cell.a").alias("a"), F.col("cell.b").alias("b"), "band", "id", "f1", "n", "comp", "sig", F.when(F.col("big"), F.col("na") + F.col("own")).otherwise(F.col("own")).alias("side"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shape = f"key long, a int, b int, band int, id {kind}, f1 long, n long, comp long, sig binary, side int"
+    meeting = cells.repartition(tasks, "key", "a", "b").groupBy("key", "a", "b")
+    some = materialize(meeting.applyInArrow(lambda key, t: t.take(pa.array(np.unique(_pairs_in(key, t, bands, rows, percent)))), shape))
+    sets = full_sets(docs, some.select("id").distinct(), k, id_col, text_col)
+    again = some.join(sets, ["id", "f1"]).select("key", "a", "b", "band", "id", "f1", "n", "comp", "sig", "side", "hashes").repartition(tasks, "key", "a", "b").groupBy("key", "a", "b")
+
+    def verify(key, t):
+        full = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("hashes")]
+        comp = t.column("comp").to_numpy().copy()
+        out = []
+        for i, j in _pairs_in(key, t, bands, rows, percent):
+            if comp[i] != comp[j] and _linked(full[i], full[j], percent):
+                comp[comp == comp[j]] = comp[i]
+                out.append((i, j))
         i, j = np.array(out, np.int64).reshape(-1, 2).T
-        return pa.table([table.column("id").take(pa.array(i)), table.column("f1").take(pa.array(i)), table.column("id").take(pa.array(j)), table.column("f1").take(pa.array(j))], ["id", "f1", "id2", "g1"])
+        return pa.table([t.column(c).take(pa.array(x)) for x in (i, j) for c in ("id", "f1")], ["id", "f1", "id2", "g1"])
 
-    cross = materialize(cells.groupBy("key", "a", "b").applyInArrow(meet, f"id {kind}, f1 long, id2 {kind}, g1 long").distinct())
-    more = materialize(_verified(docs, cross, k, percent, id_col, text_col))
+    more = materialize(again.applyInArrow(verify, f"id {kind}, f1 long, id2 {kind}, g1 long").distinct())
     edges = links.unionByName(found.select(F.col("id").alias("a"), F.col("id2").alias("b"))).unionByName(more.select(F.col("id").alias("a"), F.col("id2").alias("b")))
     comp = components(edges.where("a != b"))
     out = seen.select("id", "n").join(comp, "id", "left")
@@ -199,6 +215,31 @@ def near_components(docs: DataFrame, *, k: int = 3, percent: int = 85, id_col: s
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def _pairs_in(key: tuple, t: pa.Table, bands: int, rows: int, percent: int) -> np.ndarray:
+    """Pairs of rows across the cell's two sides, of different components, that sizes and signatures let pass and whose first shared band is this one."""
+    a, b = key[1].as_py(), key[2].as_py()
+    side, comp, n, band = (t.column(c).to_numpy() for c in ("side", "comp", "n", "band"))
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(side), -1)
+    left, right, out = np.flatnonzero(side == a), np.flatnonzero(side == b), [np.zeros((0, 2), np.int64)]
+    least = _least_agreement(bands * rows, percent)
+    for lo in range(0, len(left), 32):
+        i, j = (x.ravel() for x in np.meshgrid(left[lo : lo + 32], right, indexing="ij"))
+        fits = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j]))
+        fits &= (i < j) if a == b else True
+        i, j = i[fits], j[fits]
+        same = sig[i] == sig[j]
+        fits = same.sum(1) >= least
+        shared = same[fits].reshape(-1, bands, rows).all(2)
+        first = shared.argmax(1) == band[0]
+        out.append(np.stack([i[fits][first], j[fits][first]], 1))
+    return np.concatenate(out)
+
+
+def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(p, q, assume_unique=True))
+    return common > 0 and 100 * common >= percent * (len(p) + len(q) - common)
+
+
 def _least_agreement(width: int, percent: int) -> int:
     """Agreeing minima of a pair at the threshold, less six standard deviations."""
     t = percent / 100
@@ -229,11 +270,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: s
 
     def run(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(4), b.column(5), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(common > 0 and 100 * common >= percent * (len(p) + len(q) - common))
+            keep = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(b.column(4), b.column(5), strict=True)]
             yield b.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("id", "f1", "id2", "g1", "hashes", "other").mapInArrow(run, f"id {kind}, f1 long, id2 {kind}, g1 long")

@@ -265,7 +265,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: s
     """The pairs whose full sets reach the threshold."""
     kind = pairs.schema["id"].dataType.simpleString()
     ids = pairs.select("id").unionByName(pairs.select(F.col("id2").alias("id"))).distinct()
-    sets = materialize(full_sets(docs, ids, k, id_col, text_col))
+    # Not written: both joins take the sets as full_sets deals them out, so they are shuffled once for the two.
+    sets = full_sets(docs, ids, k, id_col, text_col)
     both = pairs.join(sets, ["id", "f1"]).join(sets.select(F.col("id").alias("id2"), F.col("f1").alias("g1"), F.col("hashes").alias("other")), ["id2", "g1"])
 
     def run(batches):

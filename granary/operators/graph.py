@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +51,47 @@ def plan_problems(tasks: DataFrame, needs: DataFrame) -> DataFrame:
 def terminal(tasks: DataFrame, needs: DataFrame) -> DataFrame:
     """Tasks that nothing depends on."""
     return tasks.join(needs.select(F.col("needs").alias("task")), "task", "left_anti")
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """rows without their lineage, in the folder that the session names; a local one only where it names none."""
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+    return rows.checkpoint()
+
+
+def blocked(tasks: DataFrame, needs: DataFrame) -> DataFrame:
+    """(task): tasks that can never start, on a cycle or behind one. Needs that don't exist are dropped; a task that needs itself is a cycle.
+
+    Each round takes away what can start; there are as many rounds as waves.
+    """
+    left = _cut(tasks.select("task").distinct())
+    open_needs = _cut(needs.select("task", "needs").distinct().join(left.select(F.col("task").alias("needs")), "needs", "left_semi"))
+    while True:
+        held = _cut(left.join(open_needs, "task", "left_semi"))
+        if held.count() == left.count():
+            return held
+        left, open_needs = held, _cut(open_needs.join(held.select(F.col("task").alias("needs")), "needs", "left_semi"))
+
+
+def skipped(failed: DataFrame, needs: DataFrame) -> DataFrame:
+    """(task): what is skipped as something that it needs, directly or not, has failed; the failed (task) themselves aren't in it."""
+    arrows = needs.select("task", "needs").distinct()
+    seen = edge = _cut(failed.select("task").distinct())
+    while not edge.isEmpty():
+        edge = _cut(arrows.join(edge.select(F.col("task").alias("needs")), "needs", "left_semi").select("task").distinct().join(seen, "task", "left_anti"))
+        seen = _cut(seen.unionByName(edge))
+    return seen.join(failed, "task", "left_anti")
+
+
+def declared_dependencies(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(source_id, target_id): depends_on edges from a capability to a capability."""
+    own = nodes.where("kind = 'capability'").select("node_id")
+    return edges.where("relation = 'depends_on'").join(own.select(F.col("node_id").alias("source_id")), "source_id", "left_semi").join(own.select(F.col("node_id").alias("target_id")), "target_id", "left_semi").select("source_id", "target_id")
+
+
+def upstream(needs: DataFrame, answers: DataFrame) -> DataFrame:
+    """(task, needs, content, missing): what each task is given; a need without an answer that is ok is missing and gives null."""
+    ok = answers.where("ok").select(F.col("task").alias("needs"), "content", F.lit(False).alias("missing"))
+    return needs.join(ok, "needs", "left").select("task", "needs", "content", F.coalesce("missing", F.lit(True)).alias("missing"))

@@ -65,3 +65,29 @@ def plan_confidence(steps: DataFrame) -> DataFrame:
     core = 0.6 * F.col("lo") + 0.4 * F.col("mean")
     value = (core + (1 - core) * 0.35 * F.col("cls")) * (1 - 0.5 * F.col("open") / F.col("n"))
     return g.select("plan_id", F.coalesce(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), 4), F.lit(0.0)).alias("confidence"))
+
+
+def registered(models: DataFrame, new: DataFrame) -> DataFrame:
+    """models (model_id, tier, tier_default) with new in place of the same ids; of a tier's defaults the new one of largest id stays, or else the old ones do."""
+    both = models.join(new.select("model_id"), "model_id", "left_anti").withColumn("fresh", F.lit(False)).unionByName(new.withColumn("fresh", F.lit(True)))
+    chosen = new.where("tier_default").groupBy("tier").agg(F.max("model_id").alias("chosen"))
+    out = both.join(chosen, "tier", "left")
+    return out.select("model_id", "tier", F.when(F.col("chosen").isNull(), F.col("tier_default")).otherwise(F.col("model_id") == F.col("chosen")).alias("tier_default"))
+
+
+def inventory(experts: DataFrame, calibrations: DataFrame) -> DataFrame:
+    """experts with calibrated and calibration_samples; false and 0 without a fit."""
+    out = experts.join(calibrations.select("expert_id", "fitted", "samples"), "expert_id", "left")
+    return out.select(*experts.columns, F.coalesce("fitted", F.lit(False)).alias("calibrated"), F.coalesce("samples", F.lit(0)).cast("long").alias("calibration_samples"))
+
+
+def health(listed: DataFrame) -> DataFrame:
+    """One row of counts of an inventory (…, backend, calibrated): experts, uncalibrated ones, and those on a placeholder backend."""
+    placeholder = F.col("backend").isin("heuristic", "scripted")
+    return listed.agg(F.count(F.lit(1)).alias("experts"), F.count_if(~F.col("calibrated")).alias("uncalibrated"), F.count_if(placeholder).alias("placeholders"))
+
+
+def capabilities(nodes: DataFrame) -> DataFrame:
+    """(node_id, tier_hint, priority, outputs) of nodes (node_id, attributes as JSON); what is absent or malformed gets its default."""
+    a = F.from_json("attributes", "tier_hint string, k bigint, outputs array<string>")
+    return nodes.select("node_id", F.coalesce(a["tier_hint"], F.lit("")).alias("tier_hint"), F.coalesce(a["k"], F.lit(0)).alias("priority"), F.coalesce(a["outputs"], F.array().cast("array<string>")).alias("outputs"))

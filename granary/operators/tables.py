@@ -47,3 +47,30 @@ def row_chunks(rows: DataFrame, order: str, line: Column, header: str, size: int
     each = rows.withColumn("chunk", at).withColumn("line", line)
     group = each.groupBy(*by, "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "line"))), lambda s: s["line"]), "\n").alias("body"))
     return group.select(*by, "chunk", F.concat(F.lit(header + "\n"), "body").alias("text"))
+
+
+def numeric_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, n, least, most) of the string columns of which three fifths, and two at least, are numbers; one decimal comma is read as a point."""
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("raw")) for c in columns])).alias("cell")).select("cell.*")
+    comma = F.length(F.regexp_replace("raw", "[^,]", "")) == 1
+    value = F.when(comma, F.translate(F.translate("raw", ".", ""), ",", ".")).otherwise(F.col("raw")).try_cast("double")
+    out = long.withColumn("value", value).groupBy("name").agg(F.count(F.lit(1)).alias("all"), F.count("value").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return out.where(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("all") * 0.6))).drop("all")
+
+
+def added_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """(chunk_id, document_id, token_count, sensitivity): a chunk's own sensitivity comes before its document's; one token at least."""
+    own = chunks.join(documents.select("document_id", F.col("sensitivity").alias("inherited")), "document_id", "left")
+    words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\S+"), 0))
+    return own.select("chunk_id", "document_id", F.greatest(F.lit(1), words).alias("token_count"), F.coalesce("sensitivity", "inherited").alias("sensitivity"))
+
+
+def stale_share(chunks: DataFrame, signature: str) -> DataFrame:
+    """(domain, chunks, stale, needs_reindex): over all rows; a domain needs it if none of its chunks has the signature."""
+    stale = F.coalesce(F.col("embedding_model") != signature, F.lit(True))
+    return chunks.groupBy("domain").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(stale).alias("stale")).withColumn("needs_reindex", F.col("chunks") == F.col("stale"))
+
+
+def embedding_text(parts: list[str]):
+    """The parts that aren't empty, with a middle dot between them."""
+    return F.array_join(F.filter(F.array(*parts), lambda p: F.coalesce(F.trim(p), F.lit("")) != ""), " · ")

@@ -30,3 +30,13 @@ def collected(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def sessions(events: DataFrame, gap: str = "12 hours", late: str = "1 day") -> DataFrame:
+    """(user_id, start, n): runs of a user's events with less than gap between one and the next."""
+    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
+
+
+def layer_counts(events: DataFrame) -> DataFrame:
+    """(event_type, n, total): running counts of a trace by type."""
+    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))

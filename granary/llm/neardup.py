@@ -181,20 +181,21 @@ def near_components(docs: DataFrame, *, k: int = 3, percent: int = 85, id_col: s
     total = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"))
     plan = total.select("key", F.col("top.comp").alias("major"), F.ceil(F.col("top.m") / CELL).cast("int").alias("nb"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top.m")) / CELL)).cast("int").alias("na"))
     spot = F.xxhash64("id", "f1")
-    at = at.join(plan, "key").join(sigs, ["id", "f1"])
+    # A pair's first shared band is told by the keys of the bands before this one: low bytes may agree where minima don't.
+    at = at.join(plan, "key").join(heads.select("id", "f1", "n", "sig", "keys"), ["id", "f1"]).withColumn("earlier", F.slice("keys", F.lit(1), F.col("band")))
     minor, major = F.col("comp") != F.col("major"), F.col("comp") == F.col("major")
     own = F.pmod(spot, F.when(minor, F.col("na")).otherwise(F.col("nb"))).cast("int")
     everywhere = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda j: F.struct(F.least(own, j).alias("a"), F.greatest(own, j).alias("b")))
     beside = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(own.alias("a"), (F.col("na") + j).alias("b")))
     under = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda j: F.struct(j.alias("a"), (F.col("na") + own).alias("b")))
-    cells = at.select("key", "band", "id", "f1", "n", "comp", "sig", own.alias("own"), major.alias("big"), F.col("na"), F.explode(F.when(minor, F.concat(everywhere, beside)).otherwise(under)).alias("cell"))
-    cells = cells.select("key", F.col("cell.a").alias("a"), F.col("cell.b").alias("b"), "band", "id", "f1", "n", "comp", "sig", F.when(F.col("big"), F.col("na") + F.col("own")).otherwise(F.col("own")).alias("side"))
+    cells = at.select("key", "band", "id", "f1", "n", "comp", "sig", "earlier", own.alias("own"), major.alias("big"), F.col("na"), F.explode(F.when(minor, F.concat(everywhere, beside)).otherwise(under)).alias("cell"))
+    cells = cells.select("key", F.col("cell.a").alias("a"), F.col("cell.b").alias("b"), "band", "id", "f1", "n", "comp", "sig", "earlier", F.when(F.col("big"), F.col("na") + F.col("own")).otherwise(F.col("own")).alias("side"))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shape = f"key long, a int, b int, band int, id {kind}, f1 long, n long, comp long, sig binary, side int"
+    shape = f"key long, a int, b int, band int, id {kind}, f1 long, n long, comp long, sig binary, earlier array<long>, side int"
     meeting = cells.repartition(tasks, "key", "a", "b").groupBy("key", "a", "b")
     some = materialize(meeting.applyInArrow(lambda key, t: t.take(pa.array(np.unique(_pairs_in(key, t, bands, rows, percent)))), shape))
     sets = full_sets(docs, some.select("id").distinct(), k, id_col, text_col)
-    again = some.join(sets, ["id", "f1"]).select("key", "a", "b", "band", "id", "f1", "n", "comp", "sig", "side", "hashes").repartition(tasks, "key", "a", "b").groupBy("key", "a", "b")
+    again = some.join(sets, ["id", "f1"]).select("key", "a", "b", "band", "id", "f1", "n", "comp", "sig", "earlier", "side", "hashes").repartition(tasks, "key", "a", "b").groupBy("key", "a", "b")
 
     def verify(key, t):
         full = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("hashes")]
@@ -216,10 +217,11 @@ def near_components(docs: DataFrame, *, k: int = 3, percent: int = 85, id_col: s
 
 
 def _pairs_in(key: tuple, t: pa.Table, bands: int, rows: int, percent: int) -> np.ndarray:
-    """Pairs of rows across the cell's two sides, of different components, that sizes and signatures let pass and whose first shared band is this one."""
+    """Pairs of rows across the cell's two sides, of different components, that sizes and signatures let pass and whose keys agree in no band before this one."""
     a, b = key[1].as_py(), key[2].as_py()
     side, comp, n, band = (t.column(c).to_numpy() for c in ("side", "comp", "n", "band"))
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(side), -1)
+    earlier = t.column("earlier").combine_chunks().flatten().to_numpy().reshape(len(side), -1 if len(side) and band[0] else 0)
     left, right, out = np.flatnonzero(side == a), np.flatnonzero(side == b), [np.zeros((0, 2), np.int64)]
     least = _least_agreement(bands * rows, percent)
     for lo in range(0, len(left), 32):
@@ -227,11 +229,10 @@ def _pairs_in(key: tuple, t: pa.Table, bands: int, rows: int, percent: int) -> n
         fits = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j]))
         fits &= (i < j) if a == b else True
         i, j = i[fits], j[fits]
-        same = sig[i] == sig[j]
-        fits = same.sum(1) >= least
-        shared = same[fits].reshape(-1, bands, rows).all(2)
-        first = shared.argmax(1) == band[0]
-        out.append(np.stack([i[fits][first], j[fits][first]], 1))
+        fits = (sig[i] == sig[j]).sum(1) >= least
+        i, j = i[fits], j[fits]
+        first = ~(earlier[i] == earlier[j]).any(1)
+        out.append(np.stack([i[first], j[first]], 1))
     return np.concatenate(out)
 
 

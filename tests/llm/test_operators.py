@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,26 @@ def test_near_components_match_brute_force(spark, odd):
     assert neardup.keep_one_of_each(odd).columns == odd.columns
 
 
+def test_cells_meet_every_pair_once():
+    rng = np.random.default_rng(6)
+    bands, rows, n = 30, 7, 3000
+    x = rng.integers(0, 1 << 63, (n, bands, rows), np.uint64)
+    y = np.where(rng.random(x.shape) < 0.85, x, rng.integers(0, 1 << 63, x.shape, np.uint64))
+    keys = [np.array([[hash(b.tobytes()) for b in d] for d in z]) for z in (x, y)]
+    lost = twice = met = 0
+    for i in range(n):
+        found = 0
+        shared = np.flatnonzero(keys[0][i] == keys[1][i])
+        for band in shared:
+            sig = [(z[i].ravel() >> np.uint64(32)).astype(np.uint8).tobytes() for z in (x, y)]
+            t = pa.table({"side": [0, 0], "comp": [1, 2], "n": [100, 100], "band": [int(band)] * 2, "sig": sig, "earlier": pa.array([k[i][:band].tolist() for k in keys], pa.list_(pa.int64()))})
+            found += len(neardup._pairs_in((pa.scalar(1), pa.scalar(0), pa.scalar(0)), t, bands, rows, 85))
+        met += len(shared) > 0
+        lost += len(shared) > 0 and not found
+        twice += found > 1
+    assert met > 0.99 * n and (lost, twice) == (0, 0)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r.id: r.comp for r in neardup.components(edges).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}

@@ -6,6 +6,7 @@ buffer of UTF-8 bytes and one of offsets, so word borders and word hashes come o
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -149,6 +150,7 @@ def sums_by(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, id_col: str, text_col: str, max_rows: int, max_bytes: int, per_class: bool) -> DataFrame:
     """(id, y, text) of labelled documents, in the order of a hash of the id, within max_rows rows (of each class if per_class) and max_bytes bytes of text (likewise).
 
+    An id that doesn't fit into what is left of the bytes is left out and costs nothing; if none fits, the shortest is taken.
     Rows without a label or id take no part; several labels of one id count as the largest, repeated ids as they are.
     """
     spark = docs.sparkSession
@@ -158,11 +160,18 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column
     parts = [g.orderBy("h", "id").limit(max_rows) for g in groups]
     picked = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sized = sorted((r.h, r.id, r.y, r.n) for r in texts.join(F.broadcast(picked), "id").select("h", "id", "y", F.octet_length(F.coalesce("text", F.lit(""))).alias("n")).collect())
-    left, keep = {0: max_bytes, 1: max_bytes}, {}
+    bytes_of = F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("n")
+    sized = sorted((r.h, r.id, r.y, r.n) for r in texts.join(F.broadcast(picked), "id").groupBy("h", "id", "y").agg(bytes_of).collect())
+    left, keep, least = {0: max_bytes, 1: max_bytes}, {}, {}
     for _, key, y, n in sized:
-        left[y if per_class else 0] -= n
-        if left[y if per_class else 0] >= 0 or not keep:
+        group = y if per_class else 0
+        if n <= left[group]:
+            left[group] -= n
+            keep[key] = y
+        if n < least.get(group, (math.inf,))[0]:
+            least[group] = n, key, y
+    for n, key, y in least.values():
+        if n > max_bytes:
             keep[key] = y
     rows = spark.createDataFrame([(k, y) for k, y in keep.items()], f"id {docs.schema[id_col].dataType.simpleString()}, y int")
     return texts.join(F.broadcast(rows), "id").select("id", "y", "text")

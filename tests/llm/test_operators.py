@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.llm import ann, chat, class_lm, decontam, neardup, pieces, quality, queries, token_counts, toxicity, warc
-from granary.llm.common import crc_mod
+from granary.llm.common import bounded_sample, crc_mod
 
 ODD = [(1, ""), (2, None), (3, "   \t\n"), (4, "x" * 30000), (5, "same words here"), (6, "same words here"), (6, "same words here"), (None, "no id at all"), (8, "日本語 テスト é 😀"), (9, " ".join(f"w{i}" for i in range(8000)))]
 
@@ -40,6 +40,19 @@ def test_classifiers_take_odd_rows(spark, odd, none, labels):
     assert toxicity.fit_toxicity(none, labels).link[0] == -50 and quality.fit_quality(none, labels).bias == 0
 
 
+def test_a_huge_labelled_text_does_not_end_the_sample(spark):
+    ids = [r.id for r in spark.range(60).orderBy(F.xxhash64(F.col("id").cast("string"))).collect()]
+    huge = {ids[0], next(i for i in ids if i % 2 != ids[0] % 2)}
+    text = F.when(F.col("id").isin(*huge), F.repeat(F.lit("very long "), 100)).when(F.col("id") % 2 == 1, "you moron go away").otherwise("calm words about rivers")
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), text.alias("text"))
+    labels = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    for per_class in (True, False):
+        got = {r.id for r in bounded_sample(docs, labels, "toxic", F.lit(True), "doc_id", "text", 100, 900 if per_class else 1800, per_class).collect()}
+        assert got == set(ids) - huge if per_class else len(got) > 30
+    one = bounded_sample(docs.where(F.col("doc_id").isin(*huge)), labels, "toxic", F.lit(True), "doc_id", "text", 100, 900, True)
+    assert {r.id for r in one.collect()} == huge
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))

@@ -1,9 +1,17 @@
 """LM scoring: a class bigram model whose classes come from exchange clustering.
 
 Words are lower-cased A-Z runs of non-space bytes; each text ends with an end token. The counts of all words are gathered
-over the whole corpus, by 64-bit hash. The `items` most frequent words, 256 groups of the other words (by their last two
-bytes) and the end token are the items; exchange clustering moves one item at a time to the class that raises the
-likelihood of the item bigrams most, until a pass moves none or `passes` are over. Then
+over the whole corpus, by 64-bit hash. Classes are found in two steps:
+
+1. The `items` most frequent words, 256 groups of the other words (by their last two bytes) and the end token are clustered
+   on the driver: exchange clustering moves one of them at a time to the class that raises the likelihood of their bigrams
+   most, until a pass moves none or `passes` are over. The other words begin in the class of their group.
+2. Then every word of the head is exchanged by itself, `rounds` times: the counts of (word, class before) and (word, class
+   after) are gathered by word in a shuffle, and each word goes to the class that raises the likelihood most with all others
+   as they are, its two sides counted apart. Half of the words may move in a round, as they move at the same time; what is
+   kept is the classes of the round with the greatest likelihood.
+
+Words outside the head stay in their group's class. Then
 
     P(word | word before) = P(class | class before) * P(word | class)
     P(class | before)     = (n(before, class) + k P(class)) / (n(before) + k)
@@ -11,7 +19,7 @@ likelihood of the item bigrams most, until a pass moves none or `passes` are ove
 
 where the one more word of a class stands for all that training has not seen. What is broadcast has a proven bound: a
 word is in the head if it makes up 1 / HEAD of all tokens or more, so the head has at most HEAD words; the item bigrams
-that reach the driver are at most (items + 257) squared. Counts of all other words meet the documents in a shuffled join;
+that reach the driver are at most (items + 257) squared, and the moves of a round one row a word of the head. Counts of all other words meet the documents in a shuffled join;
 no word of it makes up 1 / HEAD of the rows.
 
 Cases: a null or empty text has the end token only; rows keep their number, repeated ids too; without training text all
@@ -165,6 +173,142 @@ def exchange(bigrams: np.ndarray, classes: int, passes: int) -> np.ndarray:
     return own
 
 
+def class_counts(docs: DataFrame, text_col: str, words: np.ndarray, own: np.ndarray, classes: int) -> DataFrame:
+    """(w, k, c), to be summed: how often the class k follows word w of words, or with k - classes stands before it; w of the other items is - 1 - their class."""
+    small_batches(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast((words, own))
+    span = 2 * classes
+
+    def packed(p, c):
+        order = np.argsort(p, kind="stable")
+        p, c = p[order], c[order]
+        first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, np.int64)
+        return p[first], np.add.reduceat(c, first) if len(p) else c
+
+    def rows_of(p, c):
+        return pa.RecordBatch.from_arrays([pa.array(p // span), pa.array((p % span).astype(np.int32)), pa.array(c)], ["w", "k", "c"])
+
+    def run(batches):
+        words, own = held.value
+        parts, size = [], 0
+        for batch in batches:
+            for _, data, at in blocks(batch.column(0)):
+                row, h, s = tokens_of(data, at)
+                seq = np.full(len(h) + len(at), len(own) - 1)
+                seq[1 + np.arange(len(h)) + row] = items_of(h, s, words)
+                cls = own[seq]
+                name = np.where(seq < len(words), seq, -1 - cls)
+                pair = np.concatenate([name[:-1] * span + cls[1:], name[1:] * span + classes + cls[:-1]])
+                parts.append(packed(pair, np.ones(len(pair), np.int64)))
+                size += len(parts[-1][0])
+            if size > 2 * GATHER:
+                parts = [packed(*map(np.concatenate, zip(*parts, strict=True)))]
+                size = len(parts[0][0])
+                if size > GATHER:
+                    yield rows_of(*parts[0])
+                    parts, size = [], 0
+        if parts:
+            yield rows_of(*packed(*map(np.concatenate, zip(*parts, strict=True))))
+
+    return docs.select(F.col(text_col)).mapInArrow(run, "w long, k int, c long")
+
+
+def class_bigrams(counts: DataFrame, words: np.ndarray, own: np.ndarray, classes: int) -> np.ndarray:
+    """Counts of neighbouring classes, of class_counts by own."""
+    held = counts.sparkSession.sparkContext.broadcast(own)
+
+    def run(batches):
+        own, n = held.value, np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            w, k, c = (batch.column(x).to_numpy() for x in range(3))
+            after = k < classes
+            cls = np.where(w < 0, -1 - w, own[np.maximum(w, 0)])
+            np.add.at(n, (cls * classes + k)[after], c[after])
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["p", "c"])
+
+    rows = counts.select("w", "k", "c").mapInArrow(run, "p long, c long").groupBy("p").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(classes * classes)
+    out[rows.column("p").to_numpy()] = rows.column("c").to_numpy()
+    return out.reshape(classes, classes)
+
+
+def likelihood(n: np.ndarray) -> float:
+    """The part of the class bigrams' log likelihood that depends on the classes."""
+    return float(_xlx(n).sum() - _xlx(n.sum(1)).sum() - _xlx(n.sum(0)).sum())
+
+
+def best_classes(w: np.ndarray, k: np.ndarray, c: np.ndarray, own: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of w, which is sorted, and the class of each that raises the likelihood most, with all other words as they are."""
+    classes = len(n)
+    first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+    word, a, after, other, c = w[first], own[w], k < classes, k % classes, c.astype(float)
+    to = np.arange(classes)
+    size = np.diff(np.append(first, len(w)))
+    gain = np.empty((len(word), classes))
+    cut = 0
+    # A word has at most two rows a class, so a step has a bounded number of rows.
+    for lo in range(0, len(word), 512):
+        hi = min(lo + 512, len(word))
+        top = cut + size[lo:hi].sum()
+        r = slice(cut, top)
+        there = np.where(after[r, None], n[to[None, :], other[r, None]], n[other[r, None], to[None, :]])
+        there = np.maximum(there - np.where(to[None, :] == a[r, None], c[r, None], 0), 0)
+        gain[lo:hi] = np.add.reduceat(_xlx(there + c[r, None]) - _xlx(there), first[lo:hi] - cut, axis=0)
+        cut = top
+    for side, total in ((after, n.sum(1)), (~after, n.sum(0))):
+        t = np.add.reduceat(np.where(side, c, 0), first)[:, None]
+        rest = np.maximum(total[None, :] - np.where(to[None, :] == own[word][:, None], t, 0), 0)
+        gain -= _xlx(rest + t) - _xlx(rest)
+    gain[:, 0] = -np.inf
+    best, now = gain.argmax(1), own[word]
+    at = np.arange(len(word))
+    return word, np.where(gain[at, best] > gain[at, now] + 1e-9, best, now)
+
+
+def exchange_words(docs: DataFrame, text_col: str, words: np.ndarray, own: np.ndarray, classes: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each item after the rounds, and the counts of neighbouring classes."""
+    best, still = None, 0
+    for turn in range(rounds + 1):
+        last = turn == rounds
+        counts = class_counts(docs, text_col, words, own, classes)
+        counts = counts if last else materialize(counts.groupBy("w", "k").agg(F.sum("c").alias("c")))
+        n = class_bigrams(counts, words, own, classes)
+        if best is None or likelihood(n) > best[0]:
+            best = likelihood(n), own, n
+        if last:
+            break
+        held = docs.sparkSession.sparkContext.broadcast((own, n))
+
+        def run(batches, held=held):
+            own, n = held.value
+            kept = []
+            for batch in batches:
+                rows = [np.concatenate(x) for x in zip(*kept, [batch.column(x).to_numpy() for x in range(3)], strict=True)]
+                # The last word may go on in the next batch.
+                end = np.searchsorted(rows[0], rows[0][-1]) if len(rows[0]) else 0
+                kept = [[x[end:] for x in rows]]
+                if end:
+                    yield moves(*(x[:end] for x in rows), own, n)
+            if kept and len(kept[0][0]):
+                yield moves(*kept[0], own, n)
+
+        def moves(w, k, c, own, n):
+            word, to = best_classes(w, k, c, own, n)
+            moved = to != own[word]
+            return pa.RecordBatch.from_arrays([pa.array(word[moved]), pa.array(to[moved].astype(np.int32))], ["w", "b"])
+
+        dealt = counts.where((F.col("w") >= 0) & (F.pmod(F.xxhash64("w"), F.lit(2)) == turn % 2))
+        dealt = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "w").sortWithinPartitions("w")
+        moved = dealt.mapInArrow(run, "w long, b int").toArrow()
+        own = own.copy()
+        own[moved.column("w").to_numpy()] = moved.column("b").to_numpy()
+        still = 0 if len(moved) else still + 1
+        if still == 2:
+            break
+    return best[1:]
+
+
 @dataclass
 class ClassModel:
     """What the scoring pass needs of a model, without the counts of words outside the head."""
@@ -181,7 +325,7 @@ class ClassModel:
     add: float
 
 
-def fit_class_lm(docs: DataFrame, learn: Column, *, text_col: str = "text", items: int = 1000, classes: int = 64, passes: int = 4, add: float = 0.4, pull: float = 50.0, head: int = HEAD) -> tuple[ClassModel, DataFrame]:
+def fit_class_lm(docs: DataFrame, learn: Column, *, text_col: str = "text", items: int = 1000, classes: int = 64, passes: int = 4, add: float = 0.4, pull: float = 50.0, head: int = HEAD, rounds: int = 4) -> tuple[ClassModel, DataFrame]:
     """The model, and the table (h, c) of the counts of all words outside the head."""
     train = docs.where(learn)
     counts = materialize(word_counts(train, text_col))
@@ -189,26 +333,31 @@ def fit_class_lm(docs: DataFrame, learn: Column, *, text_col: str = "text", item
     least = max(1, -(-total // head))
     end = counts.where(F.col("h") == END).select("c").first()
     top = counts.where(F.col("h") != END).orderBy(F.desc("c"), "h").limit(items).select("h", "s").collect()
-    clustered = np.sort(np.array([r.h for r in top], np.int64))
-    bigrams = item_bigrams(train, text_col, clustered)
-    own = exchange(bigrams, classes, passes)
-    by_class = np.zeros((len(own), classes))
-    by_class[np.arange(len(own)), own] = 1
-    pairs = by_class.T @ bigrams @ by_class
-    seen = np.bincount(own, bigrams.sum(0), minlength=classes)  # tokens of each class: each follows something once
+    seeds = np.sort(np.array([r.h for r in top], np.int64))
+    seed_class = exchange(item_bigrams(train, text_col, seeds), classes, passes)
+    table = counts.where((F.col("c") >= least) & (F.col("h") != END)).select("h", "s", "c").toArrow()
+    h, s, c = (table.column(x).to_numpy() for x in ("h", "s", "c"))
+    order = np.argsort(h)
+    h, s, c = h[order], s[order], c[order]
+    # The words to exchange: the head, and the seeds where it lacks any.
+    lone = [r for r in top if not find(np.array([r.h]), h)[1][0]]
+    clustered, group = h, s
+    if lone:
+        clustered, group = np.append(h, [r.h for r in lone]), np.append(s, [r.s for r in lone])
+        order = np.argsort(clustered)
+        clustered, group = clustered[order], group[order]
+    own = np.concatenate([seed_class[items_of(clustered, group, seeds)], seed_class[len(seeds) :]]).astype(np.int16)
+    own, pairs = exchange_words(train, text_col, clustered, own, classes, rounds)
+    seen = pairs.sum(0)  # tokens of each class: each follows something once
     distinct = np.ones(len(own))
     distinct[len(clustered) : -1] = 0
     for r in counts.where(F.col("h") != END).groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect():
         distinct[len(clustered) + r.s] = r.n
-    for r in top:
-        distinct[len(clustered) + r.s] -= 1
+    distinct[len(clustered) : -1] -= np.bincount(group, minlength=GROUPS)
     kinds = np.bincount(own, distinct, minlength=classes)
     prior = (seen + 1) / (seen.sum() + classes)
     step = np.log10((pairs + pull * prior) / (pairs.sum(1, keepdims=True) + pull))
-    table = counts.where((F.col("c") >= least) & (F.col("h") != END)).select("h", "c").toArrow()
-    h, c = table.column("h").to_numpy(), table.column("c").to_numpy()
-    order = np.argsort(h)
-    model = ClassModel(clustered, own, step, np.log10(seen + add * (kinds + 1)), h[order], c[order], end.c if end else 0, int(total), int(words), add)
+    model = ClassModel(clustered, own, step, np.log10(seen + add * (kinds + 1)), h, c, end.c if end else 0, int(total), int(words), add)
     tail = counts.where(F.col("c") < least).select("h", "c")
     return model, tail
 

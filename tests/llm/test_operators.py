@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.llm import ann, chat, class_lm, decontam, neardup, pieces, quality, queries, token_counts, toxicity, warc
-from granary.llm.common import bounded_sample, crc_mod
+from granary.llm.common import bounded_sample, crc_mod, hash_word
 
 ODD = [(1, ""), (2, None), (3, "   \t\n"), (4, "x" * 30000), (5, "same words here"), (6, "same words here"), (6, "same words here"), (None, "no id at all"), (8, "日本語 テスト é 😀"), (9, " ".join(f"w{i}" for i in range(8000)))]
 
@@ -91,6 +91,20 @@ def test_class_lm_is_a_distribution_and_takes_odd_rows(spark, odd, none):
     assert class_lm.score_class_lm(odd, model, tail, F.lit(True)).where("n_known > 0").count() == 0
 
 
+def test_words_beyond_the_seeds_have_classes_of_their_own(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"{'ab'[j % 2]}{rng.randrange(40)}zz" for j in range(40)) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, tail = class_lm.fit_class_lm(docs, F.lit(True), items=6, classes=5)
+    own = {}
+    for c in "ab":
+        at = np.searchsorted(model.items, np.array([hash_word(f"{c}{i}zz") for i in range(40)], np.uint64).view(np.int64))
+        own[c] = set(model.own[at].tolist())
+    assert len(model.items) == 80 and not own["a"] & own["b"]
+    rows = class_lm.score_class_lm(docs, model, tail, F.lit(False)).collect()
+    assert np.mean([r.perplexity for r in rows]) < 50
+
+
 def test_base_score(spark):
     texts = ["a b b", "B c", "", "d"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

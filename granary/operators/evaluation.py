@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions import scores, text
+from granary.functions import text
 
 # The metrics that decide, and those of them of which less is better.
 METRICS = ["domain accuracy", "cost per query", "latency p95 (ms)", "fallback rate", "consistency", "auditability"]
@@ -31,15 +31,45 @@ def consistency(score: Column) -> Column:
     return F.when(F.count(score) < 2, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.least(F.stddev_pop(score) / 0.5, F.lit(1.0))))
 
 
+def with_nearest_ranks(grouped: DataFrame, rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """grouped, one row for each group, with the nearest-rank value of each share as scores.nearest_rank gives it.
+
+    Ranks come from counts of distinct values, so no group's values meet in one task: running sums go over bands of values
+    of nearly equal size (1 / 4096 of a doubling), then over the values of just the bands that hold a rank.
+    """
+    d = F.col(value).cast("double")
+    size = F.floor(F.least(F.log2(F.abs(d)), F.lit(1100.0)) * 4096) + (1 << 23)
+    band = F.when(F.isnan(d), F.lit(1 << 40)).when(d > 0, size).when(d < 0, -size).otherwise(0)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, band.alias("_band"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy(*by)
+    bands = counts.groupBy(*by, "_band").agg(F.sum("_n").alias("_m"))
+    bands = bands.withColumn("_upto", F.sum("_m").over(own.orderBy("_band").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_m").over(own))
+    at = lambda share: F.greatest(F.lit(0), F.least(F.col("_all") - 1, F.bround(share * F.col("_all") + F.lit(0.5), 0).cast("long") - 1))
+    within = lambda share, upto, n: (at(share) >= upto - n) & (at(share) < upto)
+    held = F.lit(False)
+    for share in shares.values():
+        held = held | within(share, F.col("_upto"), F.col("_m"))
+    names = [f"_by{i}" for i in range(len(by))]
+    same = lambda: [F.col(f"`{b}`").eqNullSafe(F.col(n)) for b, n in zip(by, names, strict=True)]
+    picked = bands.where(held).select(*(F.col(b).alias(n) for b, n in zip(by, names, strict=True)), F.col("_band").alias("_b"), (F.col("_upto") - F.col("_m")).alias("_before"), "_all")
+    inside = counts.join(picked, [*same(), F.col("_band") == F.col("_b")])
+    run = F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = inside.withColumn("_run", run).groupBy(*names).agg(*(F.max(F.when(within(share, F.col("_run"), F.col("_n")), F.col("_v"))).alias(f"_{name}") for name, share in shares.items()))
+    both = grouped.join(ranks, same() or F.lit(True), "left")
+    return both.select(*grouped.columns, *(F.when(F.col(f"_{n}").isNull(), 0.0).otherwise(F.round(f"_{n}", 3)).alias(n) for n in shares))
+
+
 def metrics(results: DataFrame, *by: str) -> DataFrame:
     """The six metrics and their parts for each group; errors count in all denominators but that of consistency."""
     share = lambda c: F.avg(F.col(c).cast("int"))
-    lat = F.collect_list("latency_ms")
-    return results.groupBy(*by).agg(
+    out = results.groupBy(*by).agg(
         F.count(F.lit(1)).alias("cases"), F.round(share("correct"), 6).alias("accuracy"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.sum("cost_usd"), 6).alias("cost_total"), F.round(F.avg("cost_usd"), 8).alias("cost_mean"),
-        F.round(F.avg("latency_ms"), 3).alias("latency_mean"), scores.nearest_rank(lat, 0.5).alias("latency_p50"), scores.nearest_rank(lat, 0.95).alias("latency_p95"), F.round(share("used_fallback"), 6).alias("fallback_rate"),
+        F.round(F.avg("latency_ms"), 3).alias("latency_mean"), F.round(share("used_fallback"), 6).alias("fallback_rate"),
         F.round(consistency(F.when(~F.col("errored"), F.col("score"))), 6).alias("consistency"), F.round(share("trace_complete"), 6).alias("auditability"), F.sum("tokens").alias("tokens"), F.count_if("errored").alias("errors"),
     )
+    at = out.columns.index("latency_mean") + 1
+    order = [*out.columns[:at], "latency_p50", "latency_p95", *out.columns[at:]]
+    return with_nearest_ranks(out, results, list(by), "latency_ms", {"latency_p50": 0.5, "latency_p95": 0.95}).select(*order)
 
 
 def compare(arms: DataFrame, one: str = "federation", other: str = "baseline") -> DataFrame:
@@ -61,7 +91,8 @@ def verdict(comparison: DataFrame) -> DataFrame:
 def snapshots(answers: DataFrame, *by: str) -> DataFrame:
     """Metric snapshots of each expert and window; accuracy is what didn't fall back."""
     fallback = F.avg(F.col("used_fallback").cast("int"))
-    return answers.groupBy(*by).agg(F.count(F.lit(1)).alias("sample_count"), F.round(1 - fallback, 6).alias("accuracy"), F.round(fallback, 6).alias("fallback_rate"), scores.nearest_rank(F.collect_list("latency_ms"), 0.95).alias("p95_latency_ms"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    out = answers.groupBy(*by).agg(F.count(F.lit(1)).alias("sample_count"), F.round(1 - fallback, 6).alias("accuracy"), F.round(fallback, 6).alias("fallback_rate"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    return with_nearest_ranks(out, answers, list(by), "latency_ms", {"p95_latency_ms": 0.95}).select(*by, "sample_count", "accuracy", "fallback_rate", "p95_latency_ms", "mean_confidence")
 
 
 def drift(history: DataFrame, expert: str, at: str, *, lookback: int = 10, min_samples: int = 20, accuracy_drop: float = 0.05, fallback_rise: float = 0.10, latency_ratio: float = 0.5) -> DataFrame:

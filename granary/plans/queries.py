@@ -292,7 +292,8 @@ def eval_verdict(spark, d):
 
 @query(f"SELECT l_suppkey, {_RANK.format(c='l_extendedprice', f=0.95)} AS p95 FROM lineitem GROUP BY l_suppkey")
 def agg_nearest_rank(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(scores.nearest_rank(F.collect_list("l_extendedprice"), 0.95).alias("p95"))
+    rows = table(spark, d, "lineitem")
+    return evaluation.with_nearest_ranks(rows.select("l_suppkey").distinct(), rows, ["l_suppkey"], "l_extendedprice", {"p95": 0.95})
 
 
 @query(sql("SELECT domain, round(CASE WHEN count(*) < 2 THEN 1 ELSE greatest(0, 1 - least(stddev_pop(score) / 0.5, 1)) END, 6) AS consistency FROM results GROUP BY domain", "results"))

@@ -2,7 +2,13 @@
 
 import math
 
-from granary.operators import runs
+from pyspark.sql import functions as F
+
+from granary.functions import scores
+from granary.operators import evaluation, runs
+from granary.plans import fixtures
+
+DATA = "/root/testdata/sf0.001"
 
 
 def plain_fit(pairs, steps=800, rate=0.15):
@@ -28,3 +34,14 @@ def test_hierarchy_problems(spark):
     rows = [("a", None), ("b", "a"), ("b", "a"), ("c", "c"), ("d", "gone"), ("x", "y"), ("y", "x")]
     got = runs.type_problems(spark.createDataFrame(rows, "name string, parent string")).collect()
     assert sorted(map(tuple, got)) == [("b", "duplicate"), ("c", "own parent"), ("d", "unknown parent"), ("x", "cycle"), ("y", "cycle")]
+
+
+def test_nearest_ranks_without_a_groups_values_in_one_array(spark):
+    values = {"a": [5.0, -3.0, 0.0, None, 2.5, 2.5, 1e9], None: [1.0, float("nan"), float("inf")], "b": [None], "c": [float(i % 37) - 18 for i in range(500)]}
+    rows = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs], "g string, v double")
+    shares = {"p5": 0.05, "p50": 0.5, "p95": 0.95}
+    want = rows.groupBy("g").agg(*(scores.nearest_rank(F.collect_list("v"), s).alias(n) for n, s in shares.items()))
+    got = evaluation.with_nearest_ranks(rows.select("g").distinct(), rows, ["g"], "v", shares)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    for plan in (evaluation.metrics(fixtures.case_results(spark, DATA), "arm"), evaluation.snapshots(fixtures.answers(spark, DATA), "expert_id", "day")):
+        assert "collect_list" not in plan._jdf.queryExecution().optimizedPlan().toString()

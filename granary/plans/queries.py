@@ -580,4 +580,4 @@ def stream_sliding(spark, d):
 
 @query("SELECT DISTINCT event_id, event_type FROM events")
 def stream_dedup(spark, d):
-    return streams.collected(streams.deduplicated(streams.read_events(spark, f"{d}/events.parquet")).select("event_id", "event_type"), "stream_dedup_out", "append")
+    return streams.written(streams.deduplicated(streams.read_events(spark, f"{d}/events.parquet")).select("event_id", "event_type"))

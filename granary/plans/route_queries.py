@@ -178,7 +178,7 @@ def dml_delete_document(spark, d):
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g)
 SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, run""")
 def stream_session(spark, d):
-    return streams.collected(streams.sessions(streams.read_events(spark, f"{d}/events.parquet")), "stream_session_out").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return streams.written(streams.sessions(streams.read_events(spark, f"{d}/events.parquet")), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")

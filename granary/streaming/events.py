@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,24 @@ def collected(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame
     return stream.sparkSession.table(name)
 
 
+def written(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """All that a bounded stream gives, as Parquet files below spark.checkpoint.dir; nothing passes through the driver.
+
+    In complete mode each batch replaces the table, so what is read is the last one.
+    """
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="checkpoints")
+    folder = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows")  # what is read if no batch comes
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "append":
+        out = out.format("parquet").option("path", f"{folder}/rows")
+    else:
+        out = out.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{folder}/rows"))
+    out.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def sessions(events: DataFrame, gap: str = "12 hours", late: str = "1 day") -> DataFrame:
     """(user_id, start, n): runs of a user's events with less than gap between one and the next."""
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import scores
 from granary.operators import evaluation, runs
-from granary.plans import fixtures
+from granary.plans import fixtures, queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -45,3 +45,9 @@ def test_nearest_ranks_without_a_groups_values_in_one_array(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     for plan in (evaluation.metrics(fixtures.case_results(spark, DATA), "arm"), evaluation.snapshots(fixtures.answers(spark, DATA), "expert_id", "day")):
         assert "collect_list" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_streams_are_read_from_files(spark):
+    for name in ("stream_dedup", "stream_session"):
+        rows = queries.QUERIES[name](spark, DATA)
+        assert rows.inputFiles() and rows.count() > 0

@@ -31,17 +31,6 @@ def inferred_dependencies(produces: DataFrame, operates_on: DataFrame) -> DataFr
     return p.join(c, "entity").where("producer <> consumer").select("producer", "consumer").distinct()
 
 
-def levels(spark: SparkSession, tasks: DataFrame, needs: DataFrame) -> DataFrame:
-    """(task, level): the wave in which each task of an acyclic plan can start; needs is (task, needs). Tasks on cycles have no level."""
-    tasks.createOrReplaceTempView("_tasks")
-    needs.createOrReplaceTempView("_needs")
-    return spark.sql("""
-        WITH RECURSIVE d AS (SELECT n.task, n.needs FROM _needs n JOIN _tasks t ON n.needs = t.task),
-        w(task, level) AS (SELECT task, 0 FROM _tasks WHERE task NOT IN (SELECT task FROM d)
-                           UNION ALL SELECT d.task, w.level + 1 FROM w JOIN d ON d.needs = w.task WHERE w.level < 60)
-        SELECT task, max(level) AS level FROM w GROUP BY task""")
-
-
 def plan_problems(tasks: DataFrame, needs: DataFrame) -> DataFrame:
     """(task, needs, problem): dependencies that don't exist or are the task itself."""
     unknown = needs.join(tasks.select(F.col("task").alias("needs")), "needs", "left_anti").select("task", "needs", F.lit("unknown").alias("problem"))
@@ -75,6 +64,25 @@ def blocked(tasks: DataFrame, needs: DataFrame) -> DataFrame:
         left, open_needs = held, _cut(open_needs.join(held.select(F.col("task").alias("needs")), "needs", "left_semi"))
 
 
+def levels(spark: SparkSession, tasks: DataFrame, needs: DataFrame) -> DataFrame:
+    """(task, level): the wave in which each task of an acyclic plan can start; needs is (task, needs). Tasks on cycles or behind one have no level; needs that don't exist are dropped.
+
+    Each round takes away what can start, with a checkpoint; there are as many rounds as waves, and a task is looked at once a wave.
+    """
+    left = _cut(tasks.select("task").distinct())
+    arrows = _cut(needs.select("task", "needs").distinct().join(left.select(F.col("task").alias("needs")), "needs", "left_semi"))
+    out, wave = left.select("task", F.lit(0).alias("level")).where("false"), 0
+    while not left.isEmpty():
+        held = _cut(left.join(arrows, "task", "left_semi"))
+        ready = left.join(held, "task", "left_anti").select("task", F.lit(wave).alias("level"))
+        out = out.unionByName(ready)
+        out = _cut(out) if wave % 20 == 19 else out
+        if held.count() == left.count():
+            break
+        left, arrows, wave = held, _cut(arrows.join(held.select(F.col("task").alias("needs")), "needs", "left_semi")), wave + 1
+    return out
+
+
 def skipped(failed: DataFrame, needs: DataFrame) -> DataFrame:
     """(task): what is skipped as something that it needs, directly or not, has failed; the failed (task) themselves aren't in it."""
     arrows = needs.select("task", "needs").distinct()

@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from granary.functions import scores
-from granary.operators import evaluation, runs
+from granary.operators import evaluation, graph, runs
 from granary.plans import fixtures, queries
 
 DATA = "/root/testdata/sf0.001"
@@ -51,3 +51,9 @@ def test_large_streams_are_read_from_files(spark):
     for name in ("stream_dedup", "stream_session"):
         rows = queries.QUERIES[name](spark, DATA)
         assert rows.inputFiles() and rows.count() > 0
+
+
+def test_levels_of_a_long_chain(spark):
+    tasks = spark.range(66).withColumnRenamed("id", "task")
+    needs = spark.createDataFrame([(i, i - 1) for i in range(1, 64)] + [(63, 0), (64, 65), (65, 64), (2, 999)], "task long, needs long")
+    assert {r.task: r.level for r in graph.levels(spark, tasks, needs).collect()} == {i: i for i in range(64)}

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.sources.scratch import materialize
+
 
 def neighbours(edges: DataFrame, nodes: DataFrame, direction: str = "out", relation: str | None = None) -> DataFrame:
     """(node_id, neighbour_id, label): adjacent nodes, each once."""
@@ -42,26 +42,18 @@ def terminal(tasks: DataFrame, needs: DataFrame) -> DataFrame:
     return tasks.join(needs.select(F.col("needs").alias("task")), "task", "left_anti")
 
 
-def _cut(rows: DataFrame) -> DataFrame:
-    """rows without their lineage, in the folder that the session names; a local one only where it names none."""
-    context = rows.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
-    return rows.checkpoint()
-
-
 def blocked(tasks: DataFrame, needs: DataFrame) -> DataFrame:
     """(task): tasks that can never start, on a cycle or behind one. Needs that don't exist are dropped; a task that needs itself is a cycle.
 
     Each round takes away what can start; there are as many rounds as waves.
     """
-    left = _cut(tasks.select("task").distinct())
-    open_needs = _cut(needs.select("task", "needs").distinct().join(left.select(F.col("task").alias("needs")), "needs", "left_semi"))
+    left = materialize(tasks.select("task").distinct())
+    open_needs = materialize(needs.select("task", "needs").distinct().join(left.select(F.col("task").alias("needs")), "needs", "left_semi"))
     while True:
-        held = _cut(left.join(open_needs, "task", "left_semi"))
+        held = materialize(left.join(open_needs, "task", "left_semi"))
         if held.count() == left.count():
             return held
-        left, open_needs = held, _cut(open_needs.join(held.select(F.col("task").alias("needs")), "needs", "left_semi"))
+        left, open_needs = held, materialize(open_needs.join(held.select(F.col("task").alias("needs")), "needs", "left_semi"))
 
 
 def levels(spark: SparkSession, tasks: DataFrame, needs: DataFrame) -> DataFrame:
@@ -69,27 +61,27 @@ def levels(spark: SparkSession, tasks: DataFrame, needs: DataFrame) -> DataFrame
 
     Each round takes away what can start, with a checkpoint; there are as many rounds as waves, and a task is looked at once a wave.
     """
-    left = _cut(tasks.select("task").distinct())
-    arrows = _cut(needs.select("task", "needs").distinct().join(left.select(F.col("task").alias("needs")), "needs", "left_semi"))
+    left = materialize(tasks.select("task").distinct())
+    arrows = materialize(needs.select("task", "needs").distinct().join(left.select(F.col("task").alias("needs")), "needs", "left_semi"))
     out, wave = left.select("task", F.lit(0).alias("level")).where("false"), 0
     while not left.isEmpty():
-        held = _cut(left.join(arrows, "task", "left_semi"))
+        held = materialize(left.join(arrows, "task", "left_semi"))
         ready = left.join(held, "task", "left_anti").select("task", F.lit(wave).alias("level"))
         out = out.unionByName(ready)
-        out = _cut(out) if wave % 20 == 19 else out
+        out = materialize(out) if wave % 20 == 19 else out
         if held.count() == left.count():
             break
-        left, arrows, wave = held, _cut(arrows.join(held.select(F.col("task").alias("needs")), "needs", "left_semi")), wave + 1
+        left, arrows, wave = held, materialize(arrows.join(held.select(F.col("task").alias("needs")), "needs", "left_semi")), wave + 1
     return out
 
 
 def skipped(failed: DataFrame, needs: DataFrame) -> DataFrame:
     """(task): what is skipped as something that it needs, directly or not, has failed; the failed (task) themselves aren't in it."""
     arrows = needs.select("task", "needs").distinct()
-    seen = edge = _cut(failed.select("task").distinct())
+    seen = edge = materialize(failed.select("task").distinct())
     while not edge.isEmpty():
-        edge = _cut(arrows.join(edge.select(F.col("task").alias("needs")), "needs", "left_semi").select("task").distinct().join(seen, "task", "left_anti"))
-        seen = _cut(seen.unionByName(edge))
+        edge = materialize(arrows.join(edge.select(F.col("task").alias("needs")), "needs", "left_semi").select("task").distinct().join(seen, "task", "left_anti"))
+        seen = materialize(seen.unionByName(edge))
     return seen.join(failed, "task", "left_anti")
 
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.sources.scratch import materialize
+
 # Layers that a complete trace has.
 LAYERS = ["L2", "L4", "L5"]
 
@@ -55,13 +57,20 @@ def fit_calibrations(samples: DataFrame, *, least: int = 12, steps: int = 800, r
     return counts.groupBy("expert_id").applyInPandas(fit, "expert_id string, slope double, bias double, samples long, brier_before double, brier_after double, fitted boolean")
 
 
-def ancestors(parents: DataFrame, depth: int = 20) -> DataFrame:
-    """(name, ancestor, steps) of a tree or forest (name, parent); walks end after depth steps, so a cycle ends too."""
-    parents.select("name", "parent").where("parent is not null").createOrReplaceTempView("_parents")
-    return parents.sparkSession.sql(f"""
-        WITH RECURSIVE up(name, ancestor, steps) AS (SELECT name, parent, 1 FROM _parents
-            UNION ALL SELECT up.name, p.parent, up.steps + 1 FROM up JOIN _parents p ON p.name = up.ancestor WHERE up.steps < {depth})
-        SELECT name, ancestor, min(steps) AS steps FROM up GROUP BY name, ancestor""")
+def ancestors(parents: DataFrame) -> DataFrame:
+    """(name, ancestor, steps) of a hierarchy (name, parent) of any depth; steps is the shortest way. On a cycle each name is its own ancestor.
+
+    Each round joins the pairs known so far with themselves, so a hierarchy of depth n takes log2 n rounds; each is written.
+    """
+    up = parents.select("name", "parent").where("parent is not null").distinct()
+    seen = materialize(up.select("name", F.col("parent").alias("ancestor"), F.lit(1).alias("steps")))
+    while True:
+        onward = seen.select(F.col("name").alias("ancestor"), F.col("ancestor").alias("next"), F.col("steps").alias("more"))
+        further = seen.join(onward, "ancestor").select("name", F.col("next").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps"))
+        now = materialize(seen.unionByName(further).groupBy("name", "ancestor").agg(F.min("steps").alias("steps")))
+        if now.count() == seen.count():
+            return now
+        seen = now
 
 
 def type_problems(types: DataFrame) -> DataFrame:

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,17 +9,12 @@ from pyspark.sql import types as T
 from granary.operators import answers as A
 from granary.operators import registry as R
 from granary.sources import files
+from granary.sources.scratch import shared_dir
 
 from .fixtures import table
 from .queries import query
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def given(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     stance = F.when(F.col("event_id") % 4 == 0, "It is approved.").when(F.col("event_id") % 4 == 1, "Rejected by us").when(F.col("event_id") % 4 == 2, "no view")
@@ -164,14 +155,14 @@ def route_plan_confidence(spark, d):
 
 @query("SELECT s_suppkey::VARCHAR AS s_suppkey, s_name FROM supplier")
 def src_csv(spark, d):
-    path = scratch(spark)
+    path = shared_dir(spark)
     table(spark, d, "supplier").select("s_suppkey", "s_name").write.csv(path, header=True, sep=";")
     return files.read_delimited(spark, path)
 
 
 @query("SELECT conv_id::VARCHAR AS domain, role, text AS content FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL")
 def src_jsonl_train(spark, d):
-    path = scratch(spark)
+    path = shared_dir(spark)
     c = table(spark, d, "conversations").where("conv_id is not null and turn is not null")
     good = c.select(F.to_json(F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("messages"), F.col("conv_id").cast("string").alias("domain"))).alias("value"))
     good.unionByName(spark.createDataFrame([("{broken",), ("",)], "value string")).write.text(path)

@@ -570,12 +570,12 @@ def tab_render_chunks(spark, d):
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark, d):
-    return streams.collected(streams.tumbling(streams.read_events(spark, f"{d}/events.parquet")), "stream_tumbling_out").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return streams.written(streams.tumbling(streams.read_events(spark, f"{d}/events.parquet")), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("SELECT s AS start, event_type, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 DAY, ts), time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY]) AS s, event_type FROM events) GROUP BY ALL")
 def stream_sliding(spark, d):
-    return streams.collected(streams.sliding(streams.read_events(spark, f"{d}/events.parquet")), "stream_sliding_out").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return streams.written(streams.sliding(streams.read_events(spark, f"{d}/events.parquet")), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("SELECT DISTINCT event_id, event_type FROM events")

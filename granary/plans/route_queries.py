@@ -183,4 +183,4 @@ def stream_session(spark, d):
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def stream_trace_counts(spark, d):
-    return streams.collected(streams.layer_counts(streams.read_events(spark, f"{d}/events.parquet")), "stream_trace_counts_out")
+    return streams.written(streams.layer_counts(streams.read_events(spark, f"{d}/events.parquet")), "complete")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.sources.scratch import shared_dir
+
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """A stream of one Parquet table; its schema is that of the files there now."""
@@ -28,21 +27,13 @@ def deduplicated(events: DataFrame, key: str = "event_id", late: str = "1 day")
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def collected(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """All that a bounded stream gives, through the memory sink; for tests and small results only."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
-
-
 def written(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a bounded stream gives, as Parquet files below spark.checkpoint.dir; nothing passes through the driver.
 
     In complete mode each batch replaces the table, so what is read is the last one.
     """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="checkpoints")
-    folder = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    folder = shared_dir(spark)
     spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows")  # what is read if no batch comes
     out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":

@@ -4,9 +4,10 @@ import math
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from granary.functions import scores
 from granary.operators import evaluation, graph, runs
-from granary.plans import fixtures, queries
+from granary.plans import fixtures
 
 DATA = "/root/testdata/sf0.001"
 
@@ -48,8 +49,8 @@ def test_nearest_ranks_without_a_groups_values_in_one_array(spark):
 
 
 def test_large_streams_are_read_from_files(spark):
-    for name in ("stream_dedup", "stream_session"):
-        rows = queries.QUERIES[name](spark, DATA)
+    for name in ("stream_dedup", "stream_session", "stream_tumbling", "stream_sliding", "stream_trace_counts"):
+        rows = entry.queries()[name](spark, DATA)
         assert rows.inputFiles() and rows.count() > 0
 
 
@@ -57,3 +58,10 @@ def test_levels_of_a_long_chain(spark):
     tasks = spark.range(66).withColumnRenamed("id", "task")
     needs = spark.createDataFrame([(i, i - 1) for i in range(1, 64)] + [(63, 0), (64, 65), (65, 64), (2, 999)], "task long, needs long")
     assert {r.task: r.level for r in graph.levels(spark, tasks, needs).collect()} == {i: i for i in range(64)}
+
+
+def test_hierarchies_of_any_depth(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(25)] + [("n25", None)], "name string, parent string")
+    assert runs.ancestors(chain).where("name = 'n0'").agg({"steps": "max"}).first()[0] == 25
+    ring = spark.createDataFrame([(f"r{i}", f"r{(i + 1) % 30}") for i in range(30)], "name string, parent string")
+    assert runs.type_problems(ring).where("problem = 'cycle'").count() == 30

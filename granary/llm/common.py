@@ -6,10 +6,9 @@ buffer of UTF-8 bytes and one of offsets, so word borders and word hashes come o
 
 from __future__ import annotations
 
+import ctypes
 import math
-import os
-import tempfile
-import uuid
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -17,29 +16,56 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.sources.scratch import forget, materialize, shared_dir  # noqa: F401  (the operators take them from here)
+
 #: Bytes of text that one vectorised pass takes at once; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+#: Bytes of an Arrow batch at most, unless one row is larger.
+BATCH_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir, which all executors see; a local one is set only where none is."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of few rows and bytes, as single texts may be long; what the session has set lower stays."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df below the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def tidy(run):
+    """The function of a mapInArrow, after which the worker's free memory goes back to the system: workers live on and would keep it."""
 
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, most: int = 50_000) -> DataFrame:
+    """Inner join of many rows with one row for each key, where size is the number of rows of the key.
+
+    Keys with more than 1 / most of all rows, of which there are fewer than most, are broadcast, so no key's rows meet in one
+    task; the rest is a shuffled join.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    large = F.col(size) > max(1000, total // most)
+    hot = F.broadcast(groups.where(large))
+    return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(groups.where(~large), on))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, as single texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def crc_mod(column: str, n: int) -> Column:
@@ -104,29 +130,28 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15
+#: Bytes that one object of Hashes takes; longer data is hashed in slices of words.
+SLICE = 2 * BLOCK_BYTES
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
 _BYTE_LOWER = _BYTE[LOWER]
 _powers: list[np.ndarray] = []
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base to the powers 0 to n - 1 modulo 2 ** 64, and their inverses."""
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, 2 * BLOCK_BYTES)
-        out = []
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """The base to the powers 0 to SLICE modulo 2 ** 64, and their inverses."""
+    if not _powers:
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            x = np.full(n, base, np.uint64)
+            x = np.full(SLICE + 1, base, np.uint64)
             x[0] = 1
-            out.append(np.cumprod(x, dtype=np.uint64))
-        _powers[:] = out
+            _powers.append(np.cumprod(x, dtype=np.uint64))
     return _powers[0], _powers[1]
 
 
 class Hashes:
-    """64-bit hashes of any byte ranges of a block, equal for equal bytes wherever they stand."""
+    """64-bit hashes of any byte ranges of up to SLICE bytes, equal for equal bytes wherever they stand."""
 
     def __init__(self, data: np.ndarray, lower: bool):
-        self.up, self.down = powers(len(data) + 1)
+        self.up, self.down = powers()
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * self.up[: len(data)], out=self.sums[1:])
 
@@ -134,10 +159,41 @@ class Hashes:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
 
+def slices(starts: np.ndarray, ends: np.ndarray):
+    """(first, last) of runs of words, each of SLICE bytes at most; a word longer than that is alone, and last is first + 1."""
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + SLICE, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def long_hash(data: np.ndarray, lower: bool) -> int:
+    """What Hashes would give for the whole of data, of any length."""
+    up, total = powers()[0], 0
+    for lo in range(0, len(data), SLICE):
+        part = data[lo : lo + SLICE]
+        own = int(((_BYTE_LOWER if lower else _BYTE)[part] * up[: len(part)]).sum(dtype=np.uint64))
+        total += own * pow(_BASE, lo, 1 << 64)
+    return int(mix(np.array([total & (1 << 64) - 1], np.uint64))[0])
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    """Hashes of the words of data, of any length, with scratch of a bounded size."""
+    out = np.empty(len(starts), np.uint64)
+    for lo, hi in slices(starts, ends):
+        a, b = int(starts[lo]), int(ends[hi - 1])
+        if b - a > SLICE:
+            out[lo] = long_hash(data[a:b], lower)
+        else:
+            out[lo:hi] = Hashes(data[a:b], lower).of(starts[lo:hi] - a, ends[lo:hi] - a)
+    return out
+
+
 def hash_word(word: str | bytes, lower: bool = True) -> int:
     """The hash that Hashes gives to this word."""
     data = np.frombuffer(word.encode() if isinstance(word, str) else word, np.uint8)
-    return int(Hashes(data, lower).of(np.array([0]), np.array([len(data)]))[0])
+    return long_hash(data, lower)
 
 
 def sums_by(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -150,7 +206,7 @@ def sums_by(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, id_col: str, text_col: str, max_rows: int, max_bytes: int, per_class: bool) -> DataFrame:
     """(id, y, text) of labelled documents, in the order of a hash of the id, within max_rows rows (of each class if per_class) and max_bytes bytes of text (likewise).
 
-    An id that doesn't fit into what is left of the bytes is left out and costs nothing; if none fits, the shortest is taken.
+    All rows of an id count. An id that doesn't fit into what is left of the bytes is left out and costs nothing; if none fits, the shortest is taken.
     Rows without a label or id take no part; several labels of one id count as the largest, repeated ids as they are.
     """
     spark = docs.sparkSession
@@ -161,12 +217,13 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column
     picked = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     bytes_of = F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("n")
-    sized = sorted((r.h, r.id, r.y, r.n) for r in texts.join(F.broadcast(picked), "id").groupBy("h", "id", "y").agg(bytes_of).collect())
-    left, keep, least = {0: max_bytes, 1: max_bytes}, {}, {}
-    for _, key, y, n in sized:
+    sized = sorted((r.h, r.id, r.y, r.n, r.rows) for r in texts.join(F.broadcast(picked), "id").groupBy("h", "id", "y").agg(bytes_of, F.count(F.lit(1)).alias("rows")).collect())
+    left, rows_left, keep, least = {0: max_bytes, 1: max_bytes}, {0: max_rows, 1: max_rows}, {}, {}
+    for _, key, y, n, rows in sized:
         group = y if per_class else 0
-        if n <= left[group]:
+        if n <= left[group] and rows <= rows_left[group]:
             left[group] -= n
+            rows_left[group] -= rows
             keep[key] = y
         if n < least.get(group, (math.inf,))[0]:
             least[group] = n, key, y

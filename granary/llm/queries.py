@@ -6,17 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, class_lm, decontam, neardup, pieces, quality, token_counts, toxicity, warc
-from .common import crc_mod
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from . import pipeline as stages
+from .common import crc_mod, table, vocabulary
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +64,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_class_lm, op4_warc, op5_pieces, op6_minhash, op7_ann, op8_token_counts, op9_chat, op10_decontamination, pipeline)}

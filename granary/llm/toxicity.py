@@ -1,9 +1,12 @@
 """Toxicity: a linear-chain conditional random field tags toxic tokens; its marginals give document scores and offsets.
 
-Tokens are runs of letters, digits and bytes beyond ASCII, lower-cased A-Z. A token of a labelled document gets the tag
-"toxic" if the document is and one of its prefixes is: a prefix (3 to 8 bytes, or the whole token) is taken as toxic if
-it stands in at least min_docs toxic documents and min_share of them, and its share of toxic documents is min_ratio
-times that of clean ones; training documents of equal tokens count once.
+Tokens are runs of letters, digits and bytes beyond ASCII, lower-cased A-Z. Labels are of documents, so the tags of their
+tokens are latent. They begin as a guess: a token of a toxic document is tagged if one of its prefixes (3 to 8 bytes, or the
+whole token) stands in at least min_docs toxic documents and min_share of them, and its share of toxic documents is min_ratio
+times that of clean ones; training documents of equal tokens count once. The field is trained on the guess; then its own
+marginals tag the toxic documents anew (clean documents have no toxic token), and it is trained on
+those tags, for as many turns as asked: hard expectation maximisation of the document labels. One turn is the default, as
+further ones flag more clean documents where labels are noisy.
 The field has two tags; its emissions are hashed prefixes, suffix, whole token and the neighbours' five-byte prefixes,
 its transitions are the pairs of tags. It is trained by gradient ascent on the conditional log-likelihood of sentences
 of up to 64 tokens, with the expected counts of forward-backward. A document's score is a logistic function, fitted on
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Hashes, blocks, borders, bounded_sample, mix, small_batches
+from .common import ALNUM, SLICE, Hashes, blocks, borders, bounded_sample, long_hash, mix, slices, small_batches, tidy, word_hashes
 
 PREFIXES = (3, 4, 5, 6, 8)
 #: Columns of a token's features: whole token, prefixes, suffix of three bytes, the neighbours' prefixes of five bytes.
@@ -40,14 +43,22 @@ def token_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
     f, size = np.zeros((len(starts), WIDTH), np.uint64), ends - starts
     if not len(starts):
         return starts, ends, row, f
-    h = Hashes(data, True)
-    f[:, WHOLE] = h.of(starts, ends)
-    for k, n in enumerate(PREFIXES, 1):
-        long = size >= n
-        f[long, k] = mix(h.of(starts[long], starts[long] + n) + np.uint64(n))
-    long = size >= 3
-    f[long, SUFFIX] = mix(h.of(ends[long] - 3, ends[long]) + np.uint64(100))
-    five = mix(h.of(starts, np.minimum(ends, starts + 5)))
+    f[:, WHOLE] = word_hashes(data, starts, ends, True)
+    head, five = np.minimum(size, 8), np.empty(len(starts), np.uint64)
+    for lo, hi in slices(starts, ends):
+        # Only the ends of a token that is longer than a slice are hashed here.
+        a, cut = int(starts[lo]), int(ends[hi - 1]) - int(starts[lo]) > SLICE
+        s, n = starts[lo:hi] - a, head[lo:hi]
+        h = Hashes(data[a : a + 8] if cut else data[a : ends[hi - 1]], True)
+        for k, width in enumerate(PREFIXES, 1):
+            long = n >= width
+            f[lo:hi, k][long] = mix(h.of(s[long], s[long] + width) + np.uint64(width))
+        five[lo:hi] = mix(h.of(s, s + np.minimum(n, 5)))
+        if cut:
+            f[lo, SUFFIX] = mix(np.array([long_hash(data[ends[lo] - 3 : ends[lo]], True)], np.uint64) + np.uint64(100))[0]
+        else:
+            long, e = n >= 3, ends[lo:hi] - a
+            f[lo:hi, SUFFIX][long] = mix(h.of(e[long] - 3, e[long]) + np.uint64(100))
     same = row[1:] == row[:-1]
     f[1:, BEFORE][same] = mix(five[:-1][same] + np.uint64(101))
     f[:-1, AFTER][same] = mix(five[1:][same] + np.uint64(102))
@@ -170,12 +181,12 @@ def _tokens(batches):
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["y", "f"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 18, epochs: int = 6, rate: float = 0.2, min_docs: int = 2, min_share: float = 0.015, min_ratio: float = 20.0, max_rows: int = MAX_TRAIN_ROWS, max_bytes: int = MAX_TRAIN_BYTES, seed: int = 11) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 18, epochs: int = 6, least_steps: int = 200, turns: int = 1, rate: float = 0.2, min_docs: int = 2, min_share: float = 0.015, min_ratio: float = 20.0, max_rows: int = MAX_TRAIN_ROWS, max_bytes: int = MAX_TRAIN_BYTES, seed: int = 11) -> ToxicityModel:
     """Fit on a bounded sample of labelled documents, up to max_rows and max_bytes of each class; learn is a condition on the column id."""
     small_batches(docs.sparkSession)
     learn = F.lit(True) if learn is None else learn
     sample = bounded_sample(docs, labels, label, learn, id_col, text_col, max_rows, max_bytes, True)
-    rows = sample.mapInArrow(_tokens, "y int, f binary").collect()
+    rows = sample.mapInArrow(tidy(_tokens), "y int, f binary").collect()
     rows.sort(key=lambda r: (r.y, r.f))
     ys = np.array([r.y for r in rows], np.int64)
     empty = ToxicityModel(np.zeros(buckets, np.float32), np.zeros((2, 2)), -30.0)
@@ -187,7 +198,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
     del rows
     bad = toxic_prefixes(feats, ys, max(min_docs, min_share * ys.sum()), min_ratio)
     tags = [np.isin(f[:, : 1 + len(PREFIXES)], bad).any(1) if y else np.zeros(len(f), bool) for f, y in zip(feats, ys, strict=True)]
-    model = _train(feats, tags, buckets, epochs, rate, seed)
+    model = None
+    for turn in range(turns):
+        model = _train(feats, tags, model, buckets, epochs if turn == 0 else max(1, epochs // 3), least_steps, rate, seed + turn)
+        tags = _retagged(model, feats, ys)
     lens = np.array([len(f) for f in feats])
     row = np.repeat(np.arange(len(feats)), lens)
     p = np.concatenate([model.marginals(f, np.zeros(len(f), np.int64)) for f in feats])
@@ -207,17 +221,15 @@ def toxic_prefixes(feats: list[np.ndarray], ys: np.ndarray, min_docs: float, min
     return bad[(in_bad >= min_docs) & (ratio >= min_ratio) & (bad != 0)]
 
 
-def _train(feats: list[np.ndarray], tags: list[np.ndarray], buckets: int, epochs: int, rate: float, seed: int) -> ToxicityModel:
-    """Adagrad on spans of SPAN tokens, many at a time: those with a toxic token, and as many others again plus 500."""
+def _train(feats: list[np.ndarray], tags: list[np.ndarray], model: ToxicityModel | None, buckets: int, epochs: int, least_steps: int, rate: float, seed: int) -> ToxicityModel:
+    """Adagrad on spans of SPAN tokens, 64 at a time, from the weights of model if there is one."""
     rng = np.random.default_rng(seed)
     spans = [(i, lo) for i, f in enumerate(feats) for lo in range(0, len(f), SPAN)]
-    hot = [s for s in spans if tags[s[0]][s[1] : s[1] + SPAN].any()]
-    cold = [s for s in spans if not tags[s[0]][s[1] : s[1] + SPAN].any()]
-    cold = [cold[i] for i in rng.permutation(len(cold))[: 2 * len(hot) + 500]]
-    spans = hot + cold
     w, g2 = np.zeros(buckets), np.full(buckets, 1e-2)
     step, step2, first, first2 = np.zeros((2, 2)), np.full((2, 2), 1.0), -3.0, 1.0
-    for _ in range(max(epochs, 200 * 64 // max(1, len(spans)))):  # 200 steps at least
+    if model is not None:
+        w, step, first = model.weights.astype(float), model.step.copy(), model.first
+    for _ in range(max(epochs, -(-least_steps * 64 // max(1, len(spans))))):
         order = rng.permutation(len(spans))
         for lo in range(0, len(order), 64):
             part = [spans[i] for i in order[lo : lo + 64]]
@@ -225,14 +237,14 @@ def _train(feats: list[np.ndarray], tags: list[np.ndarray], buckets: int, epochs
             y = np.concatenate([tags[i][a : a + SPAN] for i, a in part]).astype(float)
             row = np.repeat(np.arange(len(part)), [min(SPAN, len(feats[i]) - a) for i, a in part])
             bucket, on = (f & np.uint64(buckets - 1)).astype(np.int64), f != 0
-            emit = (w[bucket] * on).sum(1) + first
-            p = chain(emit, row, step)
+            p = chain((w[bucket] * on).sum(1) + first, row, step)
             diff = y - p  # observed less expected
-            grad = np.bincount(bucket[on], np.repeat(diff[:, None], WIDTH, 1)[on], minlength=buckets) - 1e-4 * w
-            g2 += grad**2
-            w += rate * grad / np.sqrt(g2)
+            used, place = np.unique(bucket[on], return_inverse=True)
+            grad = np.bincount(place, np.repeat(diff[:, None], WIDTH, 1)[on], minlength=len(used)) - 1e-4 * w[used]
+            g2[used] += grad**2
+            w[used] += rate * grad / np.sqrt(g2[used])
             near = row[1:] == row[:-1]
-            pair = _pairs(emit, row, step)[near].sum(0)
+            pair = _pairs(p, step)[near].sum(0)
             a, b = y[:-1][near].astype(int), y[1:][near].astype(int)
             seen = np.bincount(2 * a + b, minlength=4).reshape(2, 2)
             d = (seen - pair) / 64 - 1e-3 * step
@@ -244,12 +256,23 @@ def _train(feats: list[np.ndarray], tags: list[np.ndarray], buckets: int, epochs
     return ToxicityModel(w.astype(np.float32), step, float(first))
 
 
-def _pairs(emit: np.ndarray, row: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """Expected pairs of tags at each pair of neighbours: the joint that has both marginals and the field's odds ratio.
+def _retagged(model: ToxicityModel, feats: list[np.ndarray], ys: np.ndarray) -> list[np.ndarray]:
+    """The field's own reading of the labels: in a toxic document the tokens of marginal 0.5 or more, none in a clean one. Toxic labels that no token bears out are so taken as noise."""
+    out = []
+    for f, y in zip(feats, ys, strict=True):
+        tag = np.zeros(len(f), bool)
+        if y and len(f):
+            p = model.marginals(f, np.zeros(len(f), np.int64))
+            tag = p >= 0.5
+        out.append(tag)
+    return out
+
+
+def _pairs(p: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Expected pairs of tags at each pair of neighbours, of the marginals p: the joint that has both marginals and the field's odds ratio.
 
     In a chain of two tags the joint of neighbours is fixed by its marginals and the cross ratio of the transition.
     """
-    p = chain(emit, row, step)
     a, b = p[:-1], p[1:]
     r = np.exp(step[0, 0] + step[1, 1] - step[0, 1] - step[1, 0])
     if abs(r - 1) < 1e-9:
@@ -299,7 +322,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(spans, kind)], [id_col, "score", "predicted", "spans"])
 
     id_kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {id_kind}, score double, predicted int, spans array<struct<begin:int,end:int,p:double>>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(run), f"`{id_col}` {id_kind}, score double, predicted int, spans array<struct<begin:int,end:int,p:double>>")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -311,4 +334,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text",
         for b in batches:
             yield b.filter(pa.array(held.value.scores(b.column(at)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -5,9 +5,10 @@ id is the response and the others become revisit records that refer to it. Each
 of gzip members, one for each record, into the shared folder, and returns its index sorted by (URL key, time, id): a
 run. A file's name is new for each attempt and only the runs that were kept name it, so a repeated task does no harm.
 
-Merging. The index rows are dealt out by ranges of (URL key, time, id), so that a key of any size spreads over tasks;
-within a task the sorted runs are merged by a loser tree, whose root is the next capture, with one comparison for each
-level of the tree. The result is in global order: part by part, and within a part by position.
+Merging. The index rows are dealt out by ranges of (URL key, time, id, run, offset), so that a key of any size spreads over
+tasks, and there are as many ranges as keep one at about MERGE_ROWS rows; within a task the sorted runs are merged by a
+loser tree, whose root is the next capture, with one comparison for each level of the tree, and handed on as they come. The
+result is in global order: part by part, and within a part by position.
 
 Reading. In merged order each record is read back from its archive by offset and length, parsed, and its payload's
 digest compared with the header's.
@@ -20,10 +21,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from datetime import UTC, datetime, timedelta
-from urllib.parse import urlsplit
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +33,15 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, small_batches
+from .common import materialize, shared_dir, small_batches, tidy
 
 #: Digits of base 32 as conv() writes them, and as the digest has them.
 PLAIN_32, DIGEST_32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 #: Captures of one archive at most, a bound on a run's index in memory.
 RUN_ROWS = 50_000
+#: Index rows of one range of the merge, about, a bound on what a merging task holds.
+MERGE_ROWS = 100_000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -47,22 +51,39 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*groups), PLAIN_32, DIGEST_32)
 
 
+_URL = re.compile(r"(?:[a-z][a-z0-9+.-]*:)?//(?P<host>[^/?#]*)(?P<path>[^?#]*)(?:\?(?P<query>[^#]*))?|(?P<rest>[^#]*)", re.DOTALL)
+
+
 def url_key(url: str | None) -> str:
-    """The host's labels from the last to the first, without "www", then path and query, in lower case."""
-    parts = urlsplit((url or "").strip().lower()) if "[" not in (url or "") else urlsplit("")
-    host = (parts.netloc.rpartition("@")[2]).partition(":")[0].removeprefix("www.")
-    return ",".join(reversed(host.split("."))) + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    """The host's labels from the last to the first, without user, port and "www", then path and query, in lower case.
+
+    Any text has a key: one without a host keeps all before "#" behind ")", and an address in brackets is one label.
+    """
+    found = _URL.match((url or "").strip().lower())
+    if found["host"] is None:
+        return ")" + (found["rest"] or "/")
+    host = found["host"].rpartition("@")[2]
+    head, bracket, _ = host.rpartition("]")
+    host = head + bracket if bracket else host.partition(":")[0].removeprefix("www.")
+    labels = [host] if bracket else reversed(host.split("."))
+    return ",".join(labels) + ")" + (found["path"] or "/") + (f"?{found['query']}" if found["query"] else "")
 
 
 def plan_captures(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """(id, url, payload, digest, bytes, refers_to): refers_to is null for responses."""
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     own = own.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("bytes", F.octet_length("payload").cast("long"))
-    # Only repeated payloads need the join's other side.
+    # Only repeated payloads need the join's other side, and what very many captures share is broadcast to them.
     first = own.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    first = materialize(first.select(F.col("digest").alias("d"), F.col("bytes").alias("b"), "first"))
-    both = own.join(first, (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b")), "left")
-    return both.select("id", "url", "payload", "digest", "bytes", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    key = F.concat_ws(":", "digest", "bytes").alias("key")
+    groups = materialize(first.select(key, "first", "copies"))
+    total = groups.agg(F.sum("copies")).first()[0] or 0
+    hot = F.col("copies") > max(1000, total // 50_000)
+    large, small = groups.where(hot).select("key", F.col("first").alias("f1")), groups.where(~hot).select("key", F.col("first").alias("f2"))
+    # A row that has its answer from the broadcast is spread by its id, so hot payloads don't meet in the second join.
+    both = own.withColumn("key", key).join(F.broadcast(large), "key", "left")
+    both = both.withColumn("key", F.when(F.col("f1").isNull(), F.col("key")).otherwise(F.concat(F.lit("id "), F.coalesce(F.col("id").cast("string"), F.lit(""))))).join(small, "key", "left")
+    return both.select("id", "url", "payload", "digest", "bytes", F.coalesce("f1", "f2").alias("first")).select("id", "url", "payload", "digest", "bytes", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
 def record(kind: str, page: str, url: str, when: str, digest: str, size: int, payload: bytes, refers_to: str | None) -> bytes:
@@ -127,7 +148,7 @@ def write_runs(captures: DataFrame, folder: str) -> DataFrame:
                     yield from close()
         yield from close()
 
-    return captures.select("id", "url", "payload", "digest", "bytes", "refers_to").mapInArrow(run, "url_key string, time long, page long, run string, offset long, length long")
+    return captures.select("id", "url", "payload", "digest", "bytes", "refers_to").mapInArrow(tidy(run), "url_key string, time long, page long, run string, offset long, length long")
 
 
 class LoserTree:
@@ -180,12 +201,12 @@ def merge_runs(index: DataFrame, parts: int) -> DataFrame:
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 runs.setdefault(row[3], []).append(row)
-        merged = list(LoserTree([runs[r] for r in sorted(runs)]))
-        for lo in range(0, len(merged), 5000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*merged[lo : lo + 5000], strict=True), RUN, strict=True)], schema=RUN)
+        merged = iter(LoserTree([runs[r] for r in sorted(runs)]))
+        while part := list(islice(merged, 2000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), RUN, strict=True)], schema=RUN)
 
-    dealt = index.select(*cols).repartitionByRange(parts, "url_key", "time", "page").sortWithinPartitions("run", "url_key", "time", "page", "offset")
-    return dealt.mapInArrow(run, "url_key string, time long, page long, run string, offset long, length long")
+    dealt = index.select(*cols).repartitionByRange(parts, "url_key", "time", "page", "run", "offset").sortWithinPartitions("run", "url_key", "time", "page", "offset")
+    return dealt.mapInArrow(tidy(run), "url_key string, time long, page long, run string, offset long, length long")
 
 
 def read_records(merged: DataFrame, folder: str, id_kind: str = "bigint") -> DataFrame:
@@ -215,7 +236,7 @@ def read_records(merged: DataFrame, folder: str, id_kind: str = "bigint") -> Dat
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True) if got else [[]] * 8, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "url_key", "payload"])
 
-    out = merged.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, url_key string, payload string")
+    out = merged.mapInArrow(tidy(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, url_key string, payload string")
     return out
 
 
@@ -224,4 +245,5 @@ def capture_histories(pages: DataFrame, *, parts: int | None = None, **names) ->
     spark = pages.sparkSession
     folder = shared_dir(spark)
     index = materialize(write_runs(plan_captures(pages, **names), folder))
-    return read_records(merge_runs(index, parts or int(spark.conf.get("spark.sql.shuffle.partitions"))), folder)
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-index.count() // MERGE_ROWS))
+    return read_records(merge_runs(index, parts), folder)

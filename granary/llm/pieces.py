@@ -4,7 +4,8 @@ A text is split before each run of the space mark, as no piece has the mark afte
 chunk is encoded once per worker by an agenda of adjacent symbol pairs: the pair whose merged piece scores highest is
 joined first, the leftmost of equals, until no pair is a piece; characters outside the vocabulary become byte pieces.
 The agendas of all new chunks of an Arrow batch advance together as rows of NumPy matrices; a long chunk has a heap of
-its own. The same chunks are also encoded by the sentencepiece library, and a difference stops the job.
+its own. The same chunks are also encoded by the sentencepiece library, and a difference stops the job. A text is decoded
+from its ids: each chunk's ids give the bytes of its pieces, and the bytes of all are joined.
 
 Cases: a null or empty text has no ids and decodes to the empty text; white space, byte and control look-alikes are
 ordinary text; rows keep their number. Columns other than the id and the text are not read.
@@ -15,21 +16,19 @@ from __future__ import annotations
 import gc
 import hashlib
 import re
-from collections.abc import Iterable
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-#: Chunks that a worker remembers at most.
-CACHE = 800_000
+#: Chunks that a worker remembers at most: some 100 MB.
+CACHE = 250_000
 #: Symbols of a chunk from which it gets a heap.
 LONG = 48
 #: Symbols that aren't pieces count from here, by code point.
@@ -50,9 +49,8 @@ class PieceCodec:
         self.bytes_of = {i: p.replace(MARK, " ").encode() for p, i in self.id_of.items()} | {i: bytes([b]) for b, i in self.byte_of.items()}
         if any(MARK in p.lstrip(MARK) for p in self.id_of):
             raise ValueError("pieces with an inner space mark can't be encoded chunk by chunk")
-        self.known: dict[str, str] = {}  # ids of a chunk, joined by commas
+        self.known: dict[str, tuple[str, bytes]] = {}  # a chunk's ids, joined by commas, and the bytes that they decode to
         self.decimal = list(map(str, range(lib.vocab_size())))
-        self.changed: dict[str, str] = {}  # decoded text of chunks that decoding changes
         symbol = self.id_of | {c: ODD + ord(c) for p in self.id_of for c in p if c not in self.id_of}
         self.of_char = np.arange(ODD, ODD + 0x110000, dtype=np.int32)
         for p, i in self.id_of.items():
@@ -152,25 +150,20 @@ class PieceCodec:
             for chunk, own, lib in zip(fresh, coded, checked, strict=True):
                 if own != lib and len(chunk) > 1:  # a lone mark is what the library drops as the empty text
                     raise RuntimeError(f"ids of {chunk!r} differ: {own} and {lib}")
-        self.known.update(zip(fresh, [",".join(map(self.decimal.__getitem__, own)) for own in coded], strict=True))
-        if self.decode_chunk(chain.from_iterable(coded)) != "".join(plain):
-            self.changed |= {c: back for c, p, own in zip(fresh, plain, coded, strict=True) if (back := self.decode_chunk(own)) != p}
-
-    def decode_chunk(self, ids: Iterable[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        ids, back = self.decimal.__getitem__, self.bytes_of.__getitem__
+        self.known.update((c, (",".join(map(ids, own)), b"".join(map(back, own)))) for c, own in zip(fresh, coded, strict=True))
 
     def encode(self, text: str) -> list[int]:
         return [i for c in self.chunks(text) for i in self.merge(c)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of any ids: pieces joined, the first space dropped; bytes that aren't UTF-8 are replaced."""
-        return self.decode_chunk(ids).removeprefix(" ")
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
     def remember(self, own: list[list[str]]) -> None:
         """Make all chunks of a batch known."""
         if len(self.known) > CACHE:
             self.known.clear()
-            self.changed.clear()
         if fresh := [c for c in set().union(*own) if c not in self.known]:
             gc.disable()  # millions of short lists, none of them in a cycle
             try:
@@ -182,9 +175,9 @@ class PieceCodec:
         """Number of ids, ids joined by commas, and decoded text of a text's known chunks."""
         if not own:
             return 0, "", ""
-        ids = ",".join(map(self.known.__getitem__, own))
-        text = "".join([self.changed.get(c, c) for c in own]) if self.changed else "".join(own)
-        return ids.count(",") + 1, ids, text.replace(MARK, " ").removeprefix(" ")
+        ids, parts = zip(*map(self.known.__getitem__, own), strict=True)
+        joined = ",".join(ids)
+        return joined.count(",") + 1, joined, b"".join(parts).decode("utf-8", "replace").removeprefix(" ")
 
 
 _codecs: dict[str, PieceCodec] = {}
@@ -218,7 +211,7 @@ def encode_pieces(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", t
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(run), schema)
 
 
 def decode_pieces(encoded: DataFrame, model_path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -230,4 +223,4 @@ def decode_pieces(encoded: DataFrame, model_path: str, *, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([coder.decode(x.as_py() or []) for x in batch.column(1)], pa.string())], [id_col, "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(tidy(run), f"`{id_col}` {kind}, text string")

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialize, small_batches, tidy
+
 
 class LengthCounter:
     """Encoded lengths by one rank file, whose lines are a token in base 64 and its rank."""
@@ -50,15 +51,16 @@ def encoded_lengths(docs: DataFrame, ranks_path: str, pattern: str, *, text_col:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([own.length(x.as_py() or "") for x in b.column(0)], pa.int64())], ["n_tokens"])
 
-    return docs.select(F.col(text_col)).mapInArrow(run, "n_tokens long")
+    return docs.select(F.col(text_col)).mapInArrow(tidy(run), "n_tokens long")
 
 
 def length_histogram(lengths: DataFrame, *, width: int = 1024) -> DataFrame:
     """A row for each length that occurs: n_docs of it; docs_longer; tokens_up_to, the tokens of documents of this length at most; total_tokens, of all; truncated_tokens, of all if each is cut at this length; quantile, the share of documents of this length at most.
 
-    The running sums go over bands of width lengths each, so only one row for each band meets in one task.
+    The running sums go over bands of width lengths each, so only one row for each band meets in one task. The counts are
+    written, as they are read twice.
     """
-    counts = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("band", F.floor(F.col("n_tokens") / width))
+    counts = materialize(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))).withColumn("band", F.floor(F.col("n_tokens") / width))
     counts = counts.withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     bands = counts.groupBy("band").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     up, whole = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("band").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

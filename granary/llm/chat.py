@@ -9,6 +9,10 @@ some already, so that unescaping is exact and no text can open or close a turn.
 Turns are formatted one by one, before any shuffle; conversations are then dealt out by id, sorted by turn within
 partitions, and folded as a stream, so a conversation of any length takes constant memory.
 
+Typed contents that aren't well formed are defined too: text that is no JSON is one text, a part of unknown type becomes the
+placeholder `unknown`, a null part is nothing, and a measure that is no number counts as 0 (any attachment is one token at
+least).
+
 Cases: a null role or text is empty; a null turn comes first; equal turns are ordered by role, then text; rows with a
 null conversation id are one conversation; repeated rows are turns of their own. Columns other than those named are not
 read.
@@ -24,7 +28,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 _TAIL = r"(?:\||/?s>|/?INST\]|</?SYS>>)"
 _TO_ESCAPE = re.compile(rf"([<\[])(\\*)(?={_TAIL})")
@@ -48,6 +52,24 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "|" if m[1] == "p" else m[1], role, flags=re.DOTALL)
 
 
+def measure(part: dict, name: str) -> float:
+    """A part's measure as a number of 0 or more; what isn't one counts as 0."""
+    try:
+        x = float(part.get(name) or 0)
+    except (TypeError, ValueError):
+        return 0.0
+    return x if 0 <= x < 1e12 else 0.0
+
+
+def parts_of(text: str) -> list:
+    """The parts of a typed content: a JSON list, or one JSON value as the only part; what isn't JSON is one text."""
+    try:
+        parts = json.loads(text or "[]")
+    except ValueError:
+        return [text]
+    return parts if isinstance(parts, list) else [parts]
+
+
 class PartVisitor:
     """Visits the parts of one turn in order; `visit_<type>` returns the text that stands for a part."""
 
@@ -57,27 +79,38 @@ class PartVisitor:
     def __init__(self):
         self.attachments: list[dict] = []
 
-    def flatten(self, parts: list[dict]) -> str:
-        return "".join(getattr(self, f"visit_{p.get('type')}", self.visit_unknown)(p) for p in parts)
-
-    def visit_text(self, part: dict) -> str:
-        return escape(part.get("text") or "")
+    def flatten(self, parts: list) -> str:
+        out, said = [], []  # texts that follow each other are escaped as one, so that no control string comes from two
+        for p in parts:
+            kind = p.get("type") if isinstance(p, dict) else None
+            if kind == "text" or not isinstance(p, dict):
+                said.append(self.visit_text(p))
+            else:
+                out += [escape("".join(said)), getattr(self, f"visit_{kind}" if kind in ("image", "audio", "document") else "visit_unknown")(p)]
+                said = []
+        return "".join(out) + escape("".join(said))
+
+    def visit_text(self, part) -> str:
+        """The text of a part, or of a JSON value that is no part; null is nothing."""
+        text = part.get("text") if isinstance(part, dict) else part
+        return "" if text is None else text if isinstance(text, str) else json.dumps(text, ensure_ascii=False)
 
     def visit_image(self, part: dict) -> str:
-        return self._placed(part, math.ceil((part.get("width") or 0) / self.patch) * math.ceil((part.get("height") or 0) / self.patch))
+        return self._placed(part, math.ceil(measure(part, "width") / self.patch) * math.ceil(measure(part, "height") / self.patch))
 
     def visit_audio(self, part: dict) -> str:
-        return self._placed(part, math.ceil((part.get("seconds") or 0) * self.per_second))
+        return self._placed(part, math.ceil(measure(part, "seconds") * self.per_second))
 
     def visit_document(self, part: dict) -> str:
-        return self._placed(part, (part.get("pages") or 0) * self.per_page)
+        return self._placed(part, math.ceil(measure(part, "pages") * self.per_page))
 
     def visit_unknown(self, part: dict) -> str:
-        raise ValueError(f"no such type of part: {part.get('type')!r}")
+        return self._placed(part | {"type": "unknown"}, 1)
 
     def _placed(self, part: dict, tokens: int) -> str:
         n = len(self.attachments)
-        self.attachments.append({"n": n, "type": part["type"], "ref": part.get("ref"), "tokens": max(1, int(tokens))})
+        ref = part.get("ref")
+        self.attachments.append({"n": n, "type": part["type"], "ref": ref if ref is None or isinstance(ref, str) else json.dumps(ref), "tokens": max(1, min(int(tokens), 1 << 62))})
         return f"<|{part['type']}:{n}|>"
 
 
@@ -109,13 +142,13 @@ def format_chat(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     def run(batches):
         for b in batches:
             roles, texts = ([x or "" for x in b.column(i).to_pylist()] for i in (2, 3))
-            done = [format_turn(r, json.loads(t or "[]") if typed else [{"type": "text", "text": t}]) for r, t in zip(roles, texts, strict=True)]
+            done = [format_turn(r, parts_of(t) if typed else [{"type": "text", "text": t}]) for r, t in zip(roles, texts, strict=True)]
             cols = list(zip(*done, strict=True)) if done else [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(roles, pa.string()), pa.array(texts, pa.string()), *(pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int32(), _ATTACHMENTS), strict=True))], names)
 
     kinds = (turns.schema[c].dataType.simpleString() for c in (conv_col, turn_col))
     schema = "conv_id {}, turn {}, ".format(*kinds) + TURNS
-    return turns.select(conv_col, turn_col, role_col, text_col).mapInArrow(run, schema)
+    return turns.select(conv_col, turn_col, role_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def fold_conversations(formatted: DataFrame) -> DataFrame:
@@ -160,4 +193,4 @@ def fold_conversations(formatted: DataFrame) -> DataFrame:
     n = int(formatted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = formatted.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     schema = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, attachments long, attachment_tokens long"
-    return dealt.select("conv_id", "formatted", "loss_begin", "loss_end", "attachments").mapInArrow(run, schema)
+    return dealt.select("conv_id", "formatted", "loss_begin", "loss_end", "attachments").mapInArrow(tidy(run), schema)

@@ -266,7 +266,8 @@ def test_decontamination_matches_brute_force(spark, odd):
         digest = hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
         assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) == (len(w), len(hit), len(items), digest, bool(hit) and 20 * len(hit) >= len(w)), i
     assert decontam.contamination(odd, bench).count() == len(ODD) and decontam.contamination(odd, bench.where("false")).where("n_hit > 0").count() == 0
-    assert decontam.contamination(spark.createDataFrame(texts, "doc_id long, text string"), bench, max_windows=0).where("n_hit > 0").count() == sum(r.n_hit > 0 for r in got.values())
+    sliced = decontam.contamination(spark.createDataFrame(texts, "doc_id long, text string"), bench, slice_rows=3, verify_bytes=0).collect()
+    assert sorted(map(str, sliced)) == sorted(map(str, got.values()))
     assert decontam.drop_contaminated(odd, bench).columns == odd.columns
 
 

@@ -9,7 +9,7 @@ over the whole corpus, by 64-bit hash. Classes are found in two steps:
 2. Then every word of the head is exchanged by itself, `rounds` times: the counts of (word, class before) and (word, class
    after) are gathered by word in a shuffle, and each word goes to the class that raises the likelihood most with all others
    as they are, its two sides counted apart. Half of the words may move in a round, as they move at the same time; what is
-   kept is the classes of the round with the greatest likelihood.
+   kept is the classes of the round with the greatest likelihood. The rounds read the texts as item numbers, written once.
 
 Words outside the head stay in their group's class. Then
 
@@ -36,13 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, Hashes, blocks, borders, materialize, mix, small_batches, sums_by
+from .common import LOWER, NOT_SPACE, blocks, borders, forget, materialize, mix, small_batches, sums_by, tidy, word_hashes
 
 HEAD = 4_000_000
 GROUPS = 256
 END = 0x1F2E3D4C5B6A7988  # the end token's hash
 #: Distinct words that a task gathers before it hands them on.
-GATHER = 1_500_000
+GATHER = 500_000
+#: Counts of a word and a class up to which the gains are looked up.
+SMALL = 64
 
 
 def tokens_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,7 +53,7 @@ def tokens_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     row = np.searchsorted(at, starts, "right") - 1
     if not len(starts):
         return row, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    word = Hashes(data, True).of(starts, ends).view(np.int64)
+    word = word_hashes(data, starts, ends, True).view(np.int64)
     last = LOWER[data[ends - 1]].astype(np.int64)
     before = np.where(ends - starts > 1, LOWER[data[ends - 2]], 0).astype(np.int64)
     return row, word, (last * 31 + before * 131) % GROUPS
@@ -85,32 +87,48 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
         h, s, c = packed(*map(np.concatenate, zip(*parts, strict=True)))
         yield pa.RecordBatch.from_arrays([pa.array(x[c > 0]) for x in (h, s, c)], ["h", "s", "c"])
 
-    return docs.select(F.col(text_col)).mapInArrow(run, "h long, s long, c long").groupBy("h").agg(F.min("s").alias("s"), F.sum("c").alias("c"))
+    return docs.select(F.col(text_col)).mapInArrow(tidy(run), "h long, s long, c long").groupBy("h").agg(F.min("s").alias("s"), F.sum("c").alias("c"))
 
 
-def item_bigrams(docs: DataFrame, text_col: str, head: np.ndarray) -> np.ndarray:
-    """Counts of neighbouring items over all texts: head words, suffix groups, the end token, which also opens a text."""
+def sequences(docs: DataFrame, text_col: str, words: np.ndarray) -> DataFrame:
+    """(seq): the items of many texts as 32-bit numbers: places in the sorted words, then suffix groups, then the end token, which also opens the first."""
     small_batches(docs.sparkSession)
-    m = len(head) + GROUPS + 1
-    held = docs.sparkSession.sparkContext.broadcast(np.sort(head))
+    held = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
-        own, total = held.value, np.zeros(m * m, np.int64)
+        words = held.value
+        end = len(words) + GROUPS
         for batch in batches:
+            out = []
             for _, data, at in blocks(batch.column(0)):
                 row, h, s = tokens_of(data, at)
-                item, n = items_of(h, s, own), len(at) - 1
-                seq = np.full(len(item) + n + 1, m - 1)
-                seq[1 + np.arange(len(item)) + row] = item
-                pair, times = np.unique(seq[:-1] * m + seq[1:], return_counts=True)
+                seq = np.full(len(h) + len(at), end, np.int32)
+                seq[1 + np.arange(len(h)) + row] = items_of(h, s, words)
+                out.append(seq.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["seq"])
+
+    return docs.select(F.col(text_col)).mapInArrow(tidy(run), "seq binary")
+
+
+def bigrams_of(seqs: DataFrame, kind: np.ndarray, kinds: int) -> np.ndarray:
+    """Counts of neighbouring kinds over all sequences, where kind is that of each item; at most kinds squared rows reach the driver."""
+    small_batches(seqs.sparkSession)
+    held = seqs.sparkSession.sparkContext.broadcast(kind)
+
+    def run(batches):
+        kind, total = held.value, np.zeros(kinds * kinds, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                own = kind[np.frombuffer(x.as_buffer(), np.int32)].astype(np.int64)
+                pair, times = np.unique(own[:-1] * kinds + own[1:], return_counts=True)
                 total[pair] += times
         pair = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], ["p", "c"])
 
-    rows = docs.select(F.col(text_col)).mapInArrow(run, "p long, c long").groupBy("p").agg(F.sum("c").alias("c")).toArrow()
-    out = np.zeros(m * m)
+    rows = seqs.mapInArrow(tidy(run), "p long, c long").groupBy("p").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(kinds * kinds)
     out[rows.column("p").to_numpy()] = rows.column("c").to_numpy()
-    return out.reshape(m, m)
+    return out.reshape(kinds, kinds)
 
 
 def items_of(h: np.ndarray, s: np.ndarray, head: np.ndarray) -> np.ndarray:
@@ -173,10 +191,10 @@ def exchange(bigrams: np.ndarray, classes: int, passes: int) -> np.ndarray:
     return own
 
 
-def class_counts(docs: DataFrame, text_col: str, words: np.ndarray, own: np.ndarray, classes: int) -> DataFrame:
-    """(w, k, c), to be summed: how often the class k follows word w of words, or with k - classes stands before it; w of the other items is - 1 - their class."""
-    small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast((words, own))
+def class_counts(seqs: DataFrame, own: np.ndarray, turning: np.ndarray, classes: int) -> DataFrame:
+    """(w, k, c), to be summed: how often the class k follows word w, or with k - classes stands before it, for the words that are turning."""
+    small_batches(seqs.sparkSession)
+    held = seqs.sparkSession.sparkContext.broadcast((own, turning))
     span = 2 * classes
 
     def packed(p, c):
@@ -189,16 +207,13 @@ def class_counts(docs: DataFrame, text_col: str, words: np.ndarray, own: np.ndar
         return pa.RecordBatch.from_arrays([pa.array(p // span), pa.array((p % span).astype(np.int32)), pa.array(c)], ["w", "k", "c"])
 
     def run(batches):
-        words, own = held.value
+        own, turning = held.value
         parts, size = [], 0
         for batch in batches:
-            for _, data, at in blocks(batch.column(0)):
-                row, h, s = tokens_of(data, at)
-                seq = np.full(len(h) + len(at), len(own) - 1)
-                seq[1 + np.arange(len(h)) + row] = items_of(h, s, words)
-                cls = own[seq]
-                name = np.where(seq < len(words), seq, -1 - cls)
-                pair = np.concatenate([name[:-1] * span + cls[1:], name[1:] * span + classes + cls[:-1]])
+            for x in batch.column(0):
+                seq = np.frombuffer(x.as_buffer(), np.int32)
+                cls, on, seq = own[seq].astype(np.int64), turning[seq], seq.astype(np.int64)
+                pair = np.concatenate([(seq[:-1] * span + cls[1:])[on[:-1]], (seq[1:] * span + classes + cls[:-1])[on[1:]]])
                 parts.append(packed(pair, np.ones(len(pair), np.int64)))
                 size += len(parts[-1][0])
             if size > 2 * GATHER:
@@ -210,27 +225,7 @@ def class_counts(docs: DataFrame, text_col: str, words: np.ndarray, own: np.ndar
         if parts:
             yield rows_of(*packed(*map(np.concatenate, zip(*parts, strict=True))))
 
-    return docs.select(F.col(text_col)).mapInArrow(run, "w long, k int, c long")
-
-
-def class_bigrams(counts: DataFrame, words: np.ndarray, own: np.ndarray, classes: int) -> np.ndarray:
-    """Counts of neighbouring classes, of class_counts by own."""
-    held = counts.sparkSession.sparkContext.broadcast(own)
-
-    def run(batches):
-        own, n = held.value, np.zeros(classes * classes, np.int64)
-        for batch in batches:
-            w, k, c = (batch.column(x).to_numpy() for x in range(3))
-            after = k < classes
-            cls = np.where(w < 0, -1 - w, own[np.maximum(w, 0)])
-            np.add.at(n, (cls * classes + k)[after], c[after])
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["p", "c"])
-
-    rows = counts.select("w", "k", "c").mapInArrow(run, "p long, c long").groupBy("p").agg(F.sum("c").alias("c")).toArrow()
-    out = np.zeros(classes * classes)
-    out[rows.column("p").to_numpy()] = rows.column("c").to_numpy()
-    return out.reshape(classes, classes)
+    return seqs.mapInArrow(tidy(run), "w long, k int, c long")
 
 
 def likelihood(n: np.ndarray) -> float:
@@ -238,26 +233,41 @@ def likelihood(n: np.ndarray) -> float:
     return float(_xlx(n).sum() - _xlx(n.sum(1)).sum() - _xlx(n.sum(0)).sum())
 
 
-def best_classes(w: np.ndarray, k: np.ndarray, c: np.ndarray, own: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gains_of(n: np.ndarray) -> np.ndarray:
+    """(2, SMALL + 1, classes, classes): by side, count and other class, what the likelihood gains in each class that takes the count; side 1 is for classes that follow."""
+    out = np.empty((2, SMALL + 1, *n.shape))
+    for c in range(SMALL + 1):
+        gain = _xlx(n + c) - _xlx(n)
+        out[1, c], out[0, c] = gain.T, gain
+    return out
+
+
+def best_classes(w: np.ndarray, k: np.ndarray, c: np.ndarray, own: np.ndarray, n: np.ndarray, gains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words of w, which is sorted, and the class of each that raises the likelihood most, with all other words as they are."""
     classes = len(n)
     first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-    word, a, after, other, c = w[first], own[w], k < classes, k % classes, c.astype(float)
-    to = np.arange(classes)
+    word, a, after, other = w[first], own[w].astype(np.int64), k < classes, k % classes
+    sides = np.stack([n, n.T])  # by side: other class, then the word's
     size = np.diff(np.append(first, len(w)))
     gain = np.empty((len(word), classes))
     cut = 0
     # A word has at most two rows a class, so a step has a bounded number of rows.
-    for lo in range(0, len(word), 512):
-        hi = min(lo + 512, len(word))
-        top = cut + size[lo:hi].sum()
+    for lo in range(0, len(word), 256):
+        top = cut + size[lo : lo + 256].sum()
         r = slice(cut, top)
-        there = np.where(after[r, None], n[to[None, :], other[r, None]], n[other[r, None], to[None, :]])
-        there = np.maximum(there - np.where(to[None, :] == a[r, None], c[r, None], 0), 0)
-        gain[lo:hi] = np.add.reduceat(_xlx(there + c[r, None]) - _xlx(there), first[lo:hi] - cut, axis=0)
+        side, times, cls, mine = after[r].astype(np.int64), c[r], other[r], a[r]
+        each = gains[side, np.minimum(times, SMALL), cls]
+        big = np.flatnonzero(times > SMALL)
+        there = sides[side[big], cls[big]]
+        each[big] = _xlx(there + times[big, None]) - _xlx(there)
+        at = np.arange(len(times))
+        rest = np.maximum(sides[side, cls, mine] - times, 0)  # its own class without it
+        each[at, mine] = _xlx(rest + times) - _xlx(rest)
+        gain[lo : lo + 256] = np.add.reduceat(each, first[lo : lo + 256] - cut, axis=0)
         cut = top
+    to = np.arange(classes)
     for side, total in ((after, n.sum(1)), (~after, n.sum(0))):
-        t = np.add.reduceat(np.where(side, c, 0), first)[:, None]
+        t = np.add.reduceat(np.where(side, c, 0).astype(float), first)[:, None]
         rest = np.maximum(total[None, :] - np.where(to[None, :] == own[word][:, None], t, 0), 0)
         gain -= _xlx(rest + t) - _xlx(rest)
     gain[:, 0] = -np.inf
@@ -266,46 +276,44 @@ def best_classes(w: np.ndarray, k: np.ndarray, c: np.ndarray, own: np.ndarray, n
     return word, np.where(gain[at, best] > gain[at, now] + 1e-9, best, now)
 
 
-def exchange_words(docs: DataFrame, text_col: str, words: np.ndarray, own: np.ndarray, classes: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def exchange_words(seqs: DataFrame, words: np.ndarray, own: np.ndarray, classes: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """The class of each item after the rounds, and the counts of neighbouring classes."""
     best, still = None, 0
+    spark = seqs.sparkSession
     for turn in range(rounds + 1):
-        last = turn == rounds
-        counts = class_counts(docs, text_col, words, own, classes)
-        counts = counts if last else materialize(counts.groupBy("w", "k").agg(F.sum("c").alias("c")))
-        n = class_bigrams(counts, words, own, classes)
+        n = bigrams_of(seqs, own, classes)
         if best is None or likelihood(n) > best[0]:
             best = likelihood(n), own, n
-        if last:
+        if turn == rounds or still == 2:
             break
-        held = docs.sparkSession.sparkContext.broadcast((own, n))
+        held = spark.sparkContext.broadcast((own, n))
+        turning = np.zeros(len(own), bool)
+        turning[: len(words)] = (words >> 7) & 1 == turn % 2
 
         def run(batches, held=held):
             own, n = held.value
-            kept = []
+            gains, kept = gains_of(n), []
             for batch in batches:
                 rows = [np.concatenate(x) for x in zip(*kept, [batch.column(x).to_numpy() for x in range(3)], strict=True)]
                 # The last word may go on in the next batch.
                 end = np.searchsorted(rows[0], rows[0][-1]) if len(rows[0]) else 0
                 kept = [[x[end:] for x in rows]]
                 if end:
-                    yield moves(*(x[:end] for x in rows), own, n)
+                    yield moves(*(x[:end] for x in rows), own, n, gains)
             if kept and len(kept[0][0]):
-                yield moves(*kept[0], own, n)
+                yield moves(*kept[0], own, n, gains)
 
-        def moves(w, k, c, own, n):
-            word, to = best_classes(w, k, c, own, n)
+        def moves(w, k, c, own, n, gains):
+            word, to = best_classes(w, k, c, own, n, gains)
             moved = to != own[word]
             return pa.RecordBatch.from_arrays([pa.array(word[moved]), pa.array(to[moved].astype(np.int32))], ["w", "b"])
 
-        dealt = counts.where((F.col("w") >= 0) & (F.pmod(F.xxhash64("w"), F.lit(2)) == turn % 2))
-        dealt = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "w").sortWithinPartitions("w")
-        moved = dealt.mapInArrow(run, "w long, b int").toArrow()
+        # Tasks have summed what they hand on, so it is shuffled by word at once, and summed and sorted where it arrives.
+        dealt = class_counts(seqs, own, turning, classes).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "w")
+        moved = dealt.groupBy("w", "k").agg(F.sum("c").alias("c")).sortWithinPartitions("w").mapInArrow(tidy(run), "w long, b int").toArrow()
         own = own.copy()
         own[moved.column("w").to_numpy()] = moved.column("b").to_numpy()
         still = 0 if len(moved) else still + 1
-        if still == 2:
-            break
     return best[1:]
 
 
@@ -334,7 +342,6 @@ def fit_class_lm(docs: DataFrame, learn: Column, *, text_col: str = "text", item
     end = counts.where(F.col("h") == END).select("c").first()
     top = counts.where(F.col("h") != END).orderBy(F.desc("c"), "h").limit(items).select("h", "s").collect()
     seeds = np.sort(np.array([r.h for r in top], np.int64))
-    seed_class = exchange(item_bigrams(train, text_col, seeds), classes, passes)
     table = counts.where((F.col("c") >= least) & (F.col("h") != END)).select("h", "s", "c").toArrow()
     h, s, c = (table.column(x).to_numpy() for x in ("h", "s", "c"))
     order = np.argsort(h)
@@ -346,8 +353,11 @@ def fit_class_lm(docs: DataFrame, learn: Column, *, text_col: str = "text", item
         clustered, group = np.append(h, [r.h for r in lone]), np.append(s, [r.s for r in lone])
         order = np.argsort(clustered)
         clustered, group = clustered[order], group[order]
-    own = np.concatenate([seed_class[items_of(clustered, group, seeds)], seed_class[len(seeds) :]]).astype(np.int16)
-    own, pairs = exchange_words(train, text_col, clustered, own, classes, rounds)
+    seqs = materialize(sequences(train, text_col, clustered))
+    seed = np.concatenate([items_of(clustered, group, seeds), len(seeds) + np.arange(GROUPS + 1)]).astype(np.int32)
+    seed_class = exchange(bigrams_of(seqs, seed, len(seeds) + GROUPS + 1), classes, passes)
+    own, pairs = exchange_words(seqs, clustered, seed_class[seed].astype(np.int16), classes, rounds)
+    forget(seqs)
     seen = pairs.sum(0)  # tokens of each class: each follows something once
     distinct = np.ones(len(own))
     distinct[len(clustered) : -1] = 0
@@ -380,10 +390,12 @@ def score_class_lm(docs: DataFrame, model: ClassModel, tail: DataFrame, held_out
                 row, h, s = tokens_of(data, at)
                 count = np.bincount(row, minlength=n)
                 seq = np.full(len(h) + n + 1, end)
-                seq[1 + np.arange(len(h)) + row] = items_of(h, s, model.items)
+                place, hit = find(h, model.items)
+                seq[1 + np.arange(len(h)) + row] = np.where(hit, place, len(model.items) + s)
                 cls = model.own[seq]
                 each = model.step[cls[:-1], cls[1:]] - model.spread[cls[1:]]
-                place, hit = find(h, model.head)
+                if model.head is not model.items:
+                    place, hit = find(h, model.head)
                 c = np.where(hit, model.head_counts[place], 0) if len(model.head) else np.zeros(len(h), np.int64)
                 known = sums_by(hit, count)
                 base = sums_by(np.where(hit, np.log10(c + 1), 0), count) + np.log10(model.end_count + 1) - (count + 1) * denominator
@@ -403,7 +415,7 @@ def score_class_lm(docs: DataFrame, model: ClassModel, tail: DataFrame, held_out
                     k = len(first)
                     yield pa.RecordBatch.from_arrays([pa.array(t[first]), pa.array(uid[r[first]]), pa.array(times), pa.nulls(k, ids.type), *(pa.nulls(k, x) for x in types[4:])], names)
 
-    each = docs.select(F.col(id_col).alias("id"), held_out.alias("held"), F.col(text_col).alias("text")).mapInArrow(run, f"h long, uid long, m long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
+    each = docs.select(F.col(id_col).alias("id"), held_out.alias("held"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"h long, uid long, m long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double")
     both = each.join(tail.hint("shuffle_hash"), "h", "left")
     c, m = F.coalesce("c", F.lit(0)), F.col("m")
     both = both.select("uid", "id", "held_out", "n_tokens", F.coalesce("n_known", F.when(c > 0, m), F.lit(0)).alias("n_known"), F.coalesce("base", m * F.log10(c + 1)).alias("base"), F.coalesce("score", m * F.log10(c + model.add)).alias("score"))

@@ -16,7 +16,8 @@ the Jaccard similarity of their sets reaches a threshold. The steps:
    out those that verified links have joined already, so a cell gives fewer links than it has members. Members of a
    bucket's largest component are never paired with each other, so a large group of copies costs no pairs.
 
-Nothing is capped: a bucket of any size is dealt with by the last step. Components are by alternating large-star and
+Nothing is capped: a bucket of any size is dealt with by the last step, in cells bounded by members and by bytes. What is
+known of a bucket or of a node with very many members is broadcast to them, so they needn't meet in one task. Components are by alternating large-star and
 small-star; every round is written to the shared folder.
 
 Cases: a text that is null, empty or without words has an empty set and is linked with nothing; a null id is linked with
@@ -33,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Hashes, blocks, borders, materialize, mix, small_batches
+from .common import NOT_SPACE, blocks, borders, forget, join_groups, materialize, mix, small_batches, tidy, word_hashes
 
-#: Members of a bucket that meet in one cell at most, on each of its two sides.
-CELL = 1024
+#: Members of a bucket, and bytes of their sets, that meet in one cell at most (on average), on each of its two sides.
+CELL, CELL_BYTES = 1024, 16 << 20
 #: Bits of the filter that stands for a set of ids: 4 MB, whatever the number of ids.
 FILTER_BITS = 1 << 25
 
@@ -48,7 +49,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray,
     row = np.searchsorted(at, starts, "right") - 1
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(n, np.int64)
-    word = Hashes(data, True).of(starts, ends)
+    word = word_hashes(data, starts, ends, True)
     count = np.bincount(row, minlength=n)
     h = np.zeros(len(word), np.uint64)
     own = np.zeros(len(word), np.uint64)  # how many words the shingle that starts here has
@@ -123,7 +124,7 @@ def sketches(docs: DataFrame, k: int, rows: int, bands: int, id_col: str, text_c
                     ["id", "n", "f1", "f2", "sig", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, n long, f1 long, f2 long, sig binary, keys array<long>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(run), f"id {kind}, n long, f1 long, f2 long, sig binary, keys array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str, bits: int = FILTER_BITS) -> DataFrame:
@@ -152,7 +153,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(sizes)), pa.array(f1), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "f1", "hashes"])
 
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return own.withColumn("place", place).mapInArrow(run, f"id {kind}, f1 long, hashes binary").dropDuplicates(["id", "f1"])
+    return own.withColumn("place", place).mapInArrow(tidy(run), f"id {kind}, f1 long, hashes binary").dropDuplicates(["id", "f1"])
 
 
 def near_components(docs: DataFrame, *, k: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", rows: int = 7, miss: float = 1e-5) -> DataFrame:
@@ -166,23 +167,27 @@ def near_components(docs: DataFrame, *, k: int = 3, percent: int = 85, id_col: s
     member = materialize(live.select("id", "f1", "f2", "n").distinct().join(classes, ["f1", "f2", "n"]))
     links = member.where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     heads = live.join(classes.withColumnRenamed("rep", "id"), ["f1", "f2", "n", "id"], "left_semi").dropDuplicates(["id", "f1", "f2"])
-    bucket = heads.select("id", "f1", F.posexplode("keys").alias("band", "key"))
+    bucket = heads.select("id", "f1", "n", F.posexplode("keys").alias("band", "key"))
     shared = materialize(bucket.groupBy("key").agg(F.min(F.struct("id", "f1")).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1"))
-    bucket = materialize(bucket.join(shared.select("key"), "key", "left_semi"))
+    bucket = materialize(join_groups(bucket, shared, "key", "many"))
     sigs = heads.select("id", "f1", "n", "sig")
-    star = bucket.join(shared, "key").select("id", "f1", F.col("first.id").alias("id2"), F.col("first.f1").alias("g1")).where("id != id2 or f1 != g1").distinct()
-    found = materialize(_verified(docs, materialize(_screened(star, sigs, rows * bands, percent)), k, percent, id_col, text_col))
+    star = bucket.select("id", "f1", F.col("first.id").alias("id2"), F.col("first.f1").alias("g1")).where("id != id2 or f1 != g1").distinct()
+    bucket = bucket.select("key", "id", "f1", "n", "band")
+    screened = materialize(_screened(star, sigs, rows * bands, percent))
+    found = materialize(_verified(docs, screened, k, percent, id_col, text_col))
+    forget(screened, shared)
     group = materialize(_classes(found, heads))
     # Buckets with members of several components.
     at = bucket.join(group, ["id", "f1"])
-    mixed = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-    at = materialize(at.join(mixed, "key"))
-    sizes = materialize(at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")))
-    total = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"))
-    plan = total.select("key", F.col("top.comp").alias("major"), F.ceil(F.col("top.m") / CELL).cast("int").alias("nb"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top.m")) / CELL)).cast("int").alias("na"))
+    mixed = materialize(at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("many")).where("x != y").select("key", "many"))
+    at = materialize(join_groups(at, mixed, "key", "many").drop("many"))
+    sizes = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n") * 8).alias("size"))
+    total = sizes.groupBy("key").agg(F.max(F.struct("m", "comp", "size")).alias("top"), F.sum("m").alias("all"), F.sum("size").alias("all_size"))
+    cuts = lambda m, size: F.greatest(F.lit(1), F.ceil(m / CELL), F.ceil(size / CELL_BYTES)).cast("int")
+    plan = materialize(total.select("key", "all", F.col("top.comp").alias("major"), cuts(F.col("top.m"), F.col("top.size")).alias("nb"), cuts(F.col("all") - F.col("top.m"), F.col("all_size") - F.col("top.size")).alias("na")))
     spot = F.xxhash64("id", "f1")
     # A pair's first shared band is told by the keys of the bands before this one: low bytes may agree where minima don't.
-    at = at.join(plan, "key").join(heads.select("id", "f1", "n", "sig", "keys"), ["id", "f1"]).withColumn("earlier", F.slice("keys", F.lit(1), F.col("band")))
+    at = join_groups(at, plan, "key", "all").join(heads.select("id", "f1", "sig", "keys"), ["id", "f1"]).withColumn("earlier", F.slice("keys", F.lit(1), F.col("band")))
     minor, major = F.col("comp") != F.col("major"), F.col("comp") == F.col("major")
     own = F.pmod(spot, F.when(minor, F.col("na")).otherwise(F.col("nb"))).cast("int")
     everywhere = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda j: F.struct(F.least(own, j).alias("a"), F.greatest(own, j).alias("b")))
@@ -259,7 +264,7 @@ def _screened(pairs: DataFrame, sigs: DataFrame, width: int, percent: int) -> Da
             x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, width) for i in (4, 5))
             yield b.select([0, 1, 2, 3]).filter(pa.array((x == y).sum(1) >= least))
 
-    return both.select("id", "f1", "id2", "g1", "sig", "sig2").mapInArrow(run, f"id {kind}, f1 long, id2 {kind}, g1 long")
+    return both.select("id", "f1", "id2", "g1", "sig", "sig2").mapInArrow(tidy(run), f"id {kind}, f1 long, id2 {kind}, g1 long")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -275,7 +280,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: s
             keep = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(b.column(4), b.column(5), strict=True)]
             yield b.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("id", "f1", "id2", "g1", "hashes", "other").mapInArrow(run, f"id {kind}, f1 long, id2 {kind}, g1 long")
+    return both.select("id", "f1", "id2", "g1", "hashes", "other").mapInArrow(tidy(run), f"id {kind}, f1 long, id2 {kind}, g1 long")
 
 
 def _classes(found: DataFrame, heads: DataFrame) -> DataFrame:
@@ -289,17 +294,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, comp) of every node of the edges (a, b): the smallest node that it reaches.
 
     Large-star links the larger neighbours of each node to the smallest of the node and its neighbours; small-star links
-    the node and its smaller neighbours to that smallest. They alternate until neither changes the edges.
+    the node and its smaller neighbours to that smallest. They alternate until neither changes the edges. What a node with
+    very many neighbours has is broadcast to their rows, so its edges needn't meet in one task.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
-        edges = materialize(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct())
-        least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")))
-        down = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("many")))
+        wide = materialize(join_groups(both.where("b > a"), least, "a", "many").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct())
+        forget(edges, least)
+        least = materialize(wide.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("many")))
+        down = join_groups(wide, least, "a", "many").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         edges = materialize(down.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        forget(wide, least)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if tuple(now) == mark:
             return edges.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "id").unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())

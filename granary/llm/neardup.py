@@ -171,11 +171,11 @@ def near_components(docs: DataFrame, *, k: int = 3, percent: int = 85, id_col: s
     shared = materialize(bucket.groupBy("key").agg(F.min(F.struct("id", "f1")).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1"))
     bucket = materialize(join_groups(bucket, shared, "key", "many"))
     sigs = heads.select("id", "f1", "n", "sig")
-    star = bucket.select("id", "f1", F.col("first.id").alias("id2"), F.col("first.f1").alias("g1")).where("id != id2 or f1 != g1").distinct()
+    star = materialize(bucket.select("id", "f1", F.col("first.id").alias("id2"), F.col("first.f1").alias("g1")).where("id != id2 or f1 != g1").distinct())
     bucket = bucket.select("key", "id", "f1", "n", "band")
     screened = materialize(_screened(star, sigs, rows * bands, percent))
     found = materialize(_verified(docs, screened, k, percent, id_col, text_col))
-    forget(screened, shared)
+    forget(star, screened, shared)
     group = materialize(_classes(found, heads))
     # Buckets with members of several components.
     at = bucket.join(group, ["id", "f1"])
@@ -252,10 +252,20 @@ def _least_agreement(width: int, percent: int) -> int:
     return max(1, int(width * t - 6 * math.sqrt(width * t * (1 - t))))
 
 
+def _spread(pairs: DataFrame, size: int = 1000):
+    """pairs with a salt, and a function that copies a table of (id2, g1) for each salt: of a partner of very many, at most about size meet in one place."""
+    many = pairs.groupBy("id2", "g1").agg(F.count(F.lit(1)).alias("many"))
+    hot = F.broadcast(many.where(F.col("many") > max(size, pairs.count() // 50_000)).select("id2", "g1", F.ceil(F.col("many") / size).cast("int").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    salted = pairs.join(hot, ["id2", "g1"], "left").withColumn("salt", F.pmod(F.xxhash64("id", "f1"), salts).cast("int")).drop("salts")
+    return salted, lambda t: t.join(hot, ["id2", "g1"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+
+
 def _screened(pairs: DataFrame, sigs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs whose sizes and signatures allow a link."""
     least = _least_agreement(width, percent)
-    both = pairs.join(sigs, ["id", "f1"]).join(sigs.select(F.col("id").alias("id2"), F.col("f1").alias("g1"), F.col("n").alias("n2"), F.col("sig").alias("sig2")), ["id2", "g1"])
+    pairs, copied = _spread(pairs)
+    both = pairs.join(sigs, ["id", "f1"]).join(copied(sigs.select(F.col("id").alias("id2"), F.col("f1").alias("g1"), F.col("n").alias("n2"), F.col("sig").alias("sig2"))), ["id2", "g1", "salt"])
     both = both.where(F.least("n", "n2") * 100 >= percent * F.greatest("n", "n2"))
     kind = pairs.schema["id"].dataType.simpleString()
 
@@ -273,7 +283,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: s
     ids = pairs.select("id").unionByName(pairs.select(F.col("id2").alias("id"))).distinct()
     # Not written: both joins take the sets as full_sets deals them out, so they are shuffled once for the two.
     sets = full_sets(docs, ids, k, id_col, text_col)
-    both = pairs.join(sets, ["id", "f1"]).join(sets.select(F.col("id").alias("id2"), F.col("f1").alias("g1"), F.col("hashes").alias("other")), ["id2", "g1"])
+    pairs, copied = _spread(pairs)
+    both = pairs.join(sets, ["id", "f1"]).join(copied(sets.select(F.col("id").alias("id2"), F.col("f1").alias("g1"), F.col("hashes").alias("other"))), ["id2", "g1", "salt"])
 
     def run(batches):
         for b in batches:

@@ -27,8 +27,8 @@ from .common import small_batches, tidy
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-#: Chunks that a worker remembers at most: some 100 MB.
-CACHE = 250_000
+#: Chunks that a worker remembers at most, some 60 MB, and characters of the texts that are cut into chunks at once.
+CACHE, AT_ONCE = 150_000, 1 << 20
 #: Symbols of a chunk from which it gets a heap.
 LONG = 48
 #: Symbols that aren't pieces count from here, by code point.
@@ -180,6 +180,18 @@ class PieceCodec:
         return joined.count(",") + 1, joined, b"".join(parts).decode("utf-8", "replace").removeprefix(" ")
 
 
+    def each(self, texts: list[str | None]):
+        """coded of each text, some texts at a time."""
+        lo, size = 0, 0
+        for hi, text in enumerate(texts, 1):
+            size += len(text or "")
+            if size >= AT_ONCE or hi == len(texts):
+                own = [self.chunks(x or "") for x in texts[lo:hi]]
+                self.remember(own)
+                yield from map(self.coded, own)
+                lo, size = hi, 0
+
+
 _codecs: dict[str, PieceCodec] = {}
 
 
@@ -199,10 +211,7 @@ def encode_pieces(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", t
         coder = codec(model_path)
         for batch in batches:
             cols: list[list] = [[] for _ in names[1:]]
-            own = [coder.chunks(x or "") for x in batch.column(1).to_pylist()]
-            coder.remember(own)
-            for chunks in own:
-                n, joined, decoded = coder.coded(chunks)
+            for n, joined, decoded in coder.each(batch.column(1).to_pylist()):
                 row = (n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
                 for c, v in zip(cols, row + (([int(i) for i in joined.split(",")] if joined else [], decoded) if with_ids else ()), strict=True):
                     c.append(v)

@@ -38,6 +38,10 @@ def blended(semantic: Column, lexical: Column, entity: Column) -> Column:
     return F.least(F.when(strong >= 2, value + 0.25 * (1 - value)).otherwise(value), F.lit(1.0))
 
 
+# Weights of the semantic, lexical and entity signals.
+HYBRID = (0.55, 0.30, 0.15)
+
+
 def hybrid(semantic: Column, lexical: Column, entity: Column) -> Column:
     """Fixed weights, whether or not a signal is there."""
     return 0.55 * F.coalesce(semantic, F.lit(0.0)) + 0.30 * F.coalesce(lexical, F.lit(0.0)) + 0.15 * F.coalesce(entity, F.lit(0.0))

@@ -1,11 +1,13 @@
-"""Hybrid retrieval: sparse hashed embeddings, lexical and entity signals, governed top-k."""
+"""Hybrid retrieval: hashed embeddings, lexical and entity signals, governed top-k."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions import scores, text
+from granary.functions import embedding, scores, text
 
 
 def exploded_tokens(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -13,27 +15,9 @@ def exploded_tokens(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(text.tokens(F.col(text_col)))).alias("token"))
 
 
-def sparse_embedding(rows: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
-    """(id, i, v): signed-hash word features, summed by index; kept as rows, so a cosine is an equi-join."""
-    each = rows.select(F.col(id_col).alias("id"), F.explode(text.tokens(F.col(text_col))).alias("token")).withColumn("h", F.md5(F.concat(F.lit("w:"), "token")))
-    index = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % dim
-    sign = F.when(F.substring("h", 9, 1).rlike("[0-7]"), 1.0).otherwise(-1.0)
-    return each.groupBy("id", index.alias("i")).agg(F.sum(sign).alias("v"))
-
-
-def semantic(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, id, semantic): cosine of sparse embeddings, within 0 and 1."""
-    norm = lambda e: e.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    q = queries.select(F.col("id").alias("query_id"), "i", F.col("v").alias("w"))
-    dots = chunks.join(q, "i").groupBy("query_id", "id").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    out = dots.join(norm(chunks), "id").join(norm(queries).select(F.col("id").alias("query_id"), F.col("norm").alias("qnorm")), "query_id")
-    cos = F.col("dot") / (F.col("norm") * F.col("qnorm"))
-    return out.select("query_id", "id", F.least(F.greatest(F.when((F.col("norm") > 0) & (F.col("qnorm") > 0), cos).otherwise(0.0), F.lit(0.0)), F.lit(1.0)).alias("semantic"))
-
-
 def lexical(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, id, lexical): share of a query's distinct tokens that a chunk has; both sides are (id, token)."""
-    q = queries.withColumn("asked", F.count(F.lit(1)).over(Window.partitionBy("id"))).select(F.col("id").alias("query_id"), "token", "asked")
+    """(query_id, id, lexical): share of a query's distinct tokens, of more than two characters, that a chunk has; both sides are (id, token)."""
+    q = queries.where(F.length("token") > 2).withColumn("asked", F.count(F.lit(1)).over(Window.partitionBy("id"))).select(F.col("id").alias("query_id"), "token", "asked")
     return chunks.join(q, "token").groupBy("query_id", "id").agg((F.count(F.lit(1)) / F.max("asked")).alias("lexical"))
 
 
@@ -48,23 +32,76 @@ def top_k(scored: DataFrame, group: str, score: str, tie: str, k: int) -> DataFr
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, *, k: int = 6, dictionary: list[str] | None = None) -> DataFrame:
+#: Queries that are sent to the chunks at once: some 10 MB of vectors and tokens.
+SLICE_QUERIES = 2000
+
+
+def hybrid_search(queries: DataFrame, chunks: DataFrame, *, k: int = 6, dictionary: list[str] | None = None, weights: tuple[float, float, float] = scores.HYBRID, slice_queries: int = SLICE_QUERIES) -> DataFrame:
     """(query_id, id, semantic, lexical, entity, score, rank) of the k best chunks of positive score.
 
-    queries and chunks are (id, text). Both signals join on an exploded key, so no pair without a common key is made.
+    queries and chunks are (id, text). The queries are broadcast, slice_queries at a time; one pass over the chunks scores each
+    against all of them and keeps the k best of its task, so no chunk is shuffled and no join is by token or index. Null texts
+    have no words; equal scores go by id; a query without words finds nothing.
     """
-    s = semantic(sparse_embedding(queries, "id", "text"), sparse_embedding(chunks, "id", "text"))
-    x = lexical(exploded_tokens(queries, "id", "text"), exploded_tokens(chunks, "id", "text"))
-    both = s.join(x, ["query_id", "id"], "full")
-    if dictionary:
-        names = lambda d: d.select("id", F.explode(entities_of(F.col("text"), dictionary)).alias("token"))
-        e = lexical(names(queries), names(chunks)).withColumnRenamed("lexical", "entity")
-        both = both.join(e, ["query_id", "id"], "left")
-    else:
-        both = both.withColumn("entity", F.lit(0.0))
-    score = F.round(scores.hybrid(F.col("semantic"), F.col("lexical"), F.col("entity")), 6)
-    filled = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("semantic", "lexical", "entity")]
-    return top_k(both.select("query_id", "id", *filled, score.alias("score")).where("score > 0"), "query_id", "score", "id", k)
+    names = entities_of(F.col("text"), dictionary) if dictionary else F.array().cast("array<string>")
+    parts = [F.col("id"), text.tokens(F.col("text")).alias("tokens"), names.alias("names")]
+    asked = queries.select(*parts)
+    n = queries.count()
+    slices = max(1, -(-n // slice_queries))
+    kinds = queries.schema["id"].dataType.simpleString(), chunks.schema["id"].dataType.simpleString()
+    schema = "query_id {}, id {}, semantic double, lexical double, entity double, score double".format(*kinds)
+    found = None
+    for part in range(slices):
+        own = asked.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(slices)) == part).toArrow()
+        held = queries.sparkSession.sparkContext.broadcast(_Asked(own))
+        each = chunks.select(*parts).mapInArrow(lambda batches, held=held: held.value.best(batches, k, weights), schema)
+        found = each if found is None else found.unionByName(each)
+    return top_k(found, "query_id", "score", "id", k)
+
+
+class _Asked:
+    """One slice of the queries: unit vectors, and for each word and name the queries that have it."""
+
+    def __init__(self, rows: pa.Table):
+        self.ids, tokens, names = rows.column("id").combine_chunks(), rows.column("tokens").to_pylist(), rows.column("names").to_pylist()
+        self.vectors = embedding.HashSpace().unit(tokens)
+        self.words = self._index([{t for t in x if len(t) > 2} for x in tokens])
+        self.names = self._index([set(x) for x in names])
+
+    @staticmethod
+    def _index(sets: list[set[str]]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        by: dict[str, list[int]] = {}
+        for i, own in enumerate(sets):
+            for x in own:
+                by.setdefault(x, []).append(i)
+        return {x: np.array(v) for x, v in by.items()}, np.array([max(1, len(x)) for x in sets], float)
+
+    def _shares(self, sets: list[list[str]], index: tuple[dict[str, np.ndarray], np.ndarray]) -> np.ndarray:
+        """(rows, queries): the share of a query's set that each row has."""
+        by, size = index
+        out = np.zeros((len(sets), len(size)))
+        for row, own in zip(out, sets, strict=True):
+            for x in by.keys() & set(own):
+                row[by[x]] += 1
+        return out / size
+
+    def best(self, batches, k: int, weights: tuple[float, float, float]):
+        kept = None
+        for b in batches:
+            tokens = b.column(1).to_pylist()
+            # Some rows at a time, so that a step's matrices stay small.
+            for lo in range(0, len(tokens), 500):
+                part = tokens[lo : lo + 500]
+                signals = np.clip(embedding.space().unit(part) @ self.vectors.T, 0, 1), self._shares(part, self.words), self._shares(b.column(2).slice(lo, 500).to_pylist(), self.names)
+                score = np.round(sum(w * s for w, s in zip(weights, signals, strict=True)), 6).T
+                query, row = np.nonzero(score > 0)
+                new = pa.table([pa.array(query), b.column(0).slice(lo, 500).take(pa.array(row)), *(pa.array(s.T[query, row]) for s in signals), pa.array(score[query, row])], ["query", "id", "semantic", "lexical", "entity", "score"])
+                both = (new if kept is None else pa.concat_tables([kept, new])).sort_by([("query", "ascending"), ("score", "descending"), ("id", "ascending")])
+                q = both.column("query").to_numpy()
+                kept = both.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < k)).combine_chunks()
+        if kept is not None and len(kept):
+            cols = [self.ids.take(kept.column("query").combine_chunks()), *(kept.column(c).combine_chunks() for c in ("id", "semantic", "lexical", "entity", "score"))]
+            yield pa.RecordBatch.from_arrays(cols, ["query_id", "id", "semantic", "lexical", "entity", "score"])
 
 
 def context_budget(blocks: DataFrame, group: str, rank: str, size: str, budget: int) -> DataFrame:

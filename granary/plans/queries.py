@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.functions import scores, text
+from granary.functions import embedding, scores, text
 from granary.operators import datasets, evaluation, graph, policy, retrieval, tables
 from granary.streaming import events as streams
 
@@ -147,15 +147,29 @@ def vec_topk(spark, d):
 
 # --- retrieval -------------------------------------------------------------------------------------------------------
 
+DICTIONARY = ["the", "and", "que", "der", "les"]
+_ENTITY_SQL = "list_filter([" + ", ".join(rf"CASE WHEN regexp_matches(coalesce(text, ''), '(?i)(^|[^\p{{L}}\p{{N}}_]){w}([^\p{{L}}\p{{N}}_]|$)') THEN '{w}' END" for w in DICTIONARY) + "], lambda x: x IS NOT NULL)"
+
+
+def embedded(name: str, rows: str) -> str:
+    """Common tables name_t (id, t: tokens) and name (id, i, v: tenths of the hashed features) of rows (id, text)."""
+    return rf"""{name}_t AS (SELECT id, {TOKENS} AS t FROM ({rows})), {name}_j AS (SELECT id, t, string_split(array_to_string(t, ' '), '') AS c FROM {name}_t),
+{name}_f AS (SELECT id, unnest(list_concat(list_transform(t, lambda x: 'w:' || x), list_transform(range(1, len(t)), lambda n: 'b:' || t[n] || '_' || t[n + 1]), list_transform(range(1, len(c) - 2), lambda n: 'c:' || c[n] || c[n + 1] || c[n + 2] || c[n + 3]))) AS f FROM {name}_j),
+{name}_h AS (SELECT id, f[1] AS kind, md5(f) AS m FROM {name}_f),
+{name} AS (SELECT id, ('0x' || substr(m, 1, 8))::BIGINT % 384 AS i, sum(CASE kind WHEN 'w' THEN 10 WHEN 'b' THEN 6 ELSE 3 END * CASE WHEN substr(m, 9, 1) BETWEEN '0' AND '7' THEN 1 ELSE -1 END)::DOUBLE AS v FROM {name}_h GROUP BY ALL)"""
+
+
 _RETRIEVE = rf"""
 WITH tc AS (SELECT doc_id AS id, unnest({TOKENS}) AS token FROM documents), tq AS (SELECT item_id AS id, unnest({TOKENS}) AS token FROM benchmark),
-hc AS (SELECT id, ('0x' || substr(md5('w:' || token), 1, 8))::BIGINT % 64 AS i, sum(CASE WHEN substr(md5('w:' || token), 9, 1) BETWEEN '0' AND '7' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS v FROM tc GROUP BY ALL),
-hq AS (SELECT id, ('0x' || substr(md5('w:' || token), 1, 8))::BIGINT % 64 AS i, sum(CASE WHEN substr(md5('w:' || token), 9, 1) BETWEEN '0' AND '7' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS v FROM tq GROUP BY ALL),
+{embedded('hc', 'SELECT doc_id AS id, text FROM documents')}, {embedded('hq', 'SELECT item_id AS id, text FROM benchmark')},
 nc AS (SELECT id, sqrt(sum(v * v)) AS n FROM hc GROUP BY id), nq AS (SELECT id, sqrt(sum(v * v)) AS n FROM hq GROUP BY id),
 dot AS (SELECT hq.id AS query_id, hc.id, sum(hq.v * hc.v) AS d FROM hc JOIN hq USING (i) GROUP BY ALL),
 sem AS (SELECT query_id, dot.id, least(greatest(CASE WHEN nc.n > 0 AND nq.n > 0 THEN d / (nc.n * nq.n) ELSE 0 END, 0), 1) AS semantic FROM dot JOIN nc ON nc.id = dot.id JOIN nq ON nq.id = dot.query_id),
-dq AS (SELECT DISTINCT id, token FROM tq), dc AS (SELECT DISTINCT id, token FROM tc), asked AS (SELECT id, count(*) AS n FROM dq GROUP BY id),
-lex AS (SELECT dq.id AS query_id, dc.id, count(*)::DOUBLE / any_value(asked.n) AS lexical FROM dc JOIN dq USING (token) JOIN asked ON asked.id = dq.id GROUP BY ALL)
+dq AS (SELECT DISTINCT id, token FROM tq WHERE length(token) > 2), dc AS (SELECT DISTINCT id, token FROM tc), asked AS (SELECT id, count(*) AS n FROM dq GROUP BY id),
+lex AS (SELECT dq.id AS query_id, dc.id, count(*)::DOUBLE / any_value(asked.n) AS lexical FROM dc JOIN dq USING (token) JOIN asked ON asked.id = dq.id GROUP BY ALL),
+ec AS (SELECT doc_id AS id, unnest({_ENTITY_SQL}) AS name FROM documents), eq AS (SELECT item_id AS id, unnest({_ENTITY_SQL}) AS name FROM benchmark), en AS (SELECT id, count(*) AS n FROM eq GROUP BY id),
+ent AS (SELECT eq.id AS query_id, ec.id, count(*)::DOUBLE / any_value(en.n) AS entity FROM ec JOIN eq USING (name) JOIN en ON en.id = eq.id GROUP BY ALL),
+s AS (SELECT query_id, id, round(0.55::DOUBLE * coalesce(semantic, 0) + 0.30::DOUBLE * coalesce(lexical, 0) + 0.15::DOUBLE * coalesce(entity, 0), 6) AS score FROM sem FULL JOIN lex USING (query_id, id) FULL JOIN ent USING (query_id, id))
 """
 
 
@@ -166,28 +180,57 @@ def retrieve_lexical(spark, d):
     return found.where("lexical >= 0.5").select("query_id", "id", F.round("lexical", 6).alias("lexical"))
 
 
-@query(_RETRIEVE + ", s AS (SELECT query_id, id, round(0.55::DOUBLE * coalesce(semantic, 0) + 0.30::DOUBLE * coalesce(lexical, 0), 6) AS score FROM sem FULL JOIN lex USING (query_id, id)) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 6")
+@query(_RETRIEVE + "SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 6")
 def retrieve_hybrid_topk(spark, d):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
     c = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return retrieval.hybrid_search(q, c).select("query_id", "id", "score", "rank")
+    return retrieval.hybrid_search(q, c, dictionary=DICTIONARY).select("query_id", "id", "score", "rank")
+
+
+@query("WITH " + embedded("h", "SELECT doc_id AS id, text FROM documents") + ", n AS (SELECT id, sqrt(sum(v * v)) AS n FROM h GROUP BY id) SELECT id AS doc_id, i::INTEGER AS i, round(v / n, 6) AS v FROM h JOIN n USING (id) WHERE v <> 0")
+def embed_hash(spark, d):
+    each = embedding.embed(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.posexplode("vector").alias("i", "v"))
+    return each.where("v <> 0").select("doc_id", "i", F.round("v", 6).alias("v"))
+
+
+@query("WITH " + embedded("h", "SELECT p_partkey AS id, p_name || ' ' || p_type AS text FROM part") + "SELECT id, count(*) AS n_features, count(*) FILTER (kind = 'w') AS words, count(*) FILTER (kind = 'b') AS bigrams, count(*) FILTER (kind = 'c') AS runs FROM h_h GROUP BY id")
+def embed_features(spark, d):
+    t = text.tokens(F.concat_ws(" ", "p_name", "p_type"))
+    joined = F.length(F.array_join("t", " "))
+    runs = F.greatest(F.lit(0), joined - (embedding.RUN - 1))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), t.alias("t")).select("id", F.size("t").cast("long").alias("words"), F.greatest(F.lit(0), F.size("t") - 1).cast("long").alias("bigrams"), runs.cast("long").alias("runs"))
+    return parts.select("id", (F.col("words") + F.col("bigrams") + F.col("runs")).alias("n_features"), "words", "bigrams", "runs").where("n_features > 0")
+
+
+@query("WITH " + embedded("h", "SELECT n_nationkey AS id, n_name AS text FROM nation") + ", n AS (SELECT id, sqrt(sum(v * v)) AS n FROM h GROUP BY id) SELECT id, 'hash:signed-hashing:384' AS signature, round(sum(CASE WHEN id % 3 = 0 THEN (i + 1) * v / n ELSE 384 * 385 / 2.0::DOUBLE END / CASE WHEN id % 3 = 0 THEN 1 ELSE (SELECT count(*) FROM h x WHERE x.id = h.id) END), 4) AS checksum FROM h JOIN n USING (id) GROUP BY id")
+def vec_reindex(spark, d):
+    """Every third row is of another space and embedded anew; the others keep their vectors, which are ones here."""
+    ones = F.array_repeat(F.lit(1.0), embedding.DIM)
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("text"), ones.alias("vector"), F.when(F.col("n_nationkey") % 3 == 0, "hash:old:64").otherwise(embedding.SIGNATURE).alias("signature"))
+    weighed = F.aggregate(F.transform("vector", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return embedding.reindexed(rows, "id", "text").select("id", "signature", F.round(weighed, 4).alias("checksum"))
+
+
+@query("WITH " + embedded("hc", "SELECT p_partkey AS id, p_name || ' ' || p_type AS text FROM part") + ", " + embedded("hq", "SELECT n_nationkey AS id, n_name AS text FROM nation") + """, nc AS (SELECT id, sqrt(sum(v * v)) AS n FROM hc GROUP BY id), nq AS (SELECT id, sqrt(sum(v * v)) AS n FROM hq GROUP BY id),
+dot AS (SELECT hq.id AS query_id, hc.id, sum(hq.v * hc.v) AS d FROM hc JOIN hq USING (i) GROUP BY ALL), s AS (SELECT query_id, dot.id, round(d / (nc.n * nq.n), 6) AS cosine FROM dot JOIN nc ON nc.id = dot.id JOIN nq ON nq.id = dot.query_id WHERE d > 0)
+SELECT query_id, id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id)::INTEGER AS rank FROM s WHERE cosine > 0 QUALIFY rank <= 5""")
+def graph_semantic_topk(spark, d):
+    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    asked = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("text"))
+    return retrieval.hybrid_search(asked, nodes, k=5, weights=(1.0, 0.0, 0.0)).select("query_id", "id", F.col("score").alias("cosine"), "rank")
 
 
 READERS = [policy.Policy("p-public", "allow", 10, resources=("sensitivity:public",)), policy.Policy("p-deny", "deny", 200, resources=("sensitivity:restricted",)), policy.Policy("p-review", "require_approval", 150, resources=("sensitivity:confidential",))]
 
 
-@query(_RETRIEVE + f", docs AS ({fx.SQL['docs']}), s AS (SELECT query_id, id, round(0.55::DOUBLE * coalesce(semantic, 0) + 0.30::DOUBLE * coalesce(lexical, 0), 6) AS score FROM sem FULL JOIN lex USING (query_id, id)), g AS (SELECT s.*, CASE WHEN sensitivity = 'confidential' THEN 'require_approval' ELSE 'allow' END AS effect FROM s JOIN docs ON document_id = id WHERE sensitivity <> 'restricted' AND score > 0) SELECT query_id, id, score, effect, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 6")
+@query(_RETRIEVE + f", docs AS ({fx.SQL['docs']}), g AS (SELECT s.*, CASE WHEN sensitivity = 'confidential' THEN 'require_approval' ELSE 'allow' END AS effect FROM s JOIN docs ON document_id = id WHERE sensitivity <> 'restricted' AND score > 0) SELECT query_id, id, score, effect, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 6")
 def retrieve_governed(spark, d):
     """The flagship: hybrid search over what the policies let through, filtered before the top-k."""
     docs = fx.documents(spark, d).select(F.col("document_id").alias("id"), "text", "sensitivity", F.col("domain").alias("resource_domain"))
     judged = docs.withColumn("d", policy.decision(READERS))
     allowed = judged.where("d.effect <> 'deny'").select("id", "text", F.col("d.effect").alias("effect"))
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return retrieval.hybrid_search(q, allowed).join(allowed.select("id", "effect"), "id").select("query_id", "id", "score", "effect", "rank")
-
-
-DICTIONARY = ["the", "and", "que", "der", "les"]
-_ENTITY_SQL = "list_filter([" + ", ".join(rf"CASE WHEN regexp_matches(coalesce(text, ''), '(?i)(^|[^\p{{L}}\p{{N}}_]){w}([^\p{{L}}\p{{N}}_]|$)') THEN '{w}' END" for w in DICTIONARY) + "], lambda x: x IS NOT NULL)"
+    return retrieval.hybrid_search(q, allowed, dictionary=DICTIONARY).join(allowed.select("id", "effect"), "id").select("query_id", "id", "score", "effect", "rank")
 
 
 @query(f"SELECT doc_id, array_to_string({_ENTITY_SQL}, ',') AS entities FROM documents")

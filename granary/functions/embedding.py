@@ -27,12 +27,12 @@ class HashSpace:
     """Places of features; the vectors are whole tenths, so sums are exact."""
 
     def __init__(self):
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known: dict[str, int] = {}
 
-    def place(self, feature: str) -> tuple[int, int]:
-        """Index and signed weight."""
+    def place(self, feature: str) -> int:
+        """Index times 32, and the signed weight plus 16."""
         digest = hashlib.md5(feature.encode()).hexdigest()
-        return int(digest[:8], 16) % DIM, WEIGHTS[feature[0]] * (1 if digest[8] < "8" else -1)
+        return int(digest[:8], 16) % DIM * 32 + 16 + WEIGHTS[feature[0]] * (1 if digest[8] < "8" else -1)
 
     def vector(self, tokens: list[str]) -> np.ndarray:
         if len(self.known) > CACHE:
@@ -41,10 +41,9 @@ class HashSpace:
         features = [f"w:{t}" for t in tokens] + [f"b:{a}_{b}" for a, b in zip(tokens, tokens[1:], strict=False)] + [f"c:{joined[i : i + RUN]}" for i in range(len(joined) - RUN + 1)]
         out = np.zeros(DIM)
         if features:
-            for f in set(features) - self.known.keys():
-                self.known[f] = self.place(f)
-            at, weight = np.array([self.known[f] for f in features]).T
-            out += np.bincount(at, weight, minlength=DIM)
+            self.known.update((f, self.place(f)) for f in set(features) if f not in self.known)
+            place = np.fromiter(map(self.known.__getitem__, features), np.int64, len(features))
+            out += np.bincount(place >> 5, (place & 31) - 16, minlength=DIM)
         return out
 
     def unit(self, many: list[list[str]]) -> np.ndarray:

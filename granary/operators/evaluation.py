@@ -63,9 +63,9 @@ def metrics(results: DataFrame, *by: str) -> DataFrame:
     """The six metrics and their parts for each group; errors count in all denominators but that of consistency."""
     share = lambda c: F.avg(F.col(c).cast("int"))
     out = results.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("cases"), F.round(share("correct"), 6).alias("accuracy"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.sum("cost_usd"), 6).alias("cost_total"), F.round(F.avg("cost_usd"), 8).alias("cost_mean"),
-        F.round(F.avg("latency_ms"), 3).alias("latency_mean"), F.round(share("used_fallback"), 6).alias("fallback_rate"),
-        F.round(consistency(F.when(~F.col("errored"), F.col("score"))), 6).alias("consistency"), F.round(share("trace_complete"), 6).alias("auditability"), F.sum("tokens").alias("tokens"), F.count_if("errored").alias("errors"),
+        F.count(F.lit(1)).alias("cases"), F.round(share("correct"), 4).alias("accuracy"), F.round(F.avg("score"), 4).alias("mean_score"), F.round(F.sum("cost_usd"), 8).alias("cost_total"), F.round(F.avg("cost_usd"), 8).alias("cost_mean"),
+        F.round(F.avg("latency_ms"), 3).alias("latency_mean"), F.round(share("used_fallback"), 4).alias("fallback_rate"),
+        F.round(consistency(F.when(~F.col("errored"), F.col("score"))), 4).alias("consistency"), F.round(share("trace_complete"), 4).alias("auditability"), F.round(F.avg("tokens"), 2).alias("tokens_per_query"), F.count_if("errored").alias("errors"),
     )
     at = out.columns.index("latency_mean") + 1
     order = [*out.columns[:at], "latency_p50", "latency_p95", *out.columns[at:]]
@@ -108,3 +108,17 @@ def drift(history: DataFrame, expert: str, at: str, *, lookback: int = 10, min_s
     keep = lambda c: F.when(judged, F.col(c)).otherwise(0.0).alias(c)
     flagged = F.when(judged, F.array_join(reasons, ",")).otherwise("")
     return d.select(expert, F.col("sample_count").alias("recent_samples"), "baseline_samples", keep("accuracy_delta"), keep("fallback_delta"), keep("latency_delta_ms"), judged.alias("judged"), flagged.alias("reasons"), (flagged != "").alias("drifted"))
+
+
+def audit_summary(log: DataFrame, hours: int) -> DataFrame:
+    """(expert, allow, deny, total, allowed, denied, deny_rate) of the hours before the newest record of log (expert_id, ts, decision).
+
+    A blank expert is "-". For an expert whatever isn't "deny" counts as allowed; in the totals, which every row carries, whatever isn't "allow" as denied.
+    """
+    newest = log.agg(F.max("ts")).first()[0]
+    own = log.where(F.col("ts") >= F.lit(newest) - F.expr(f"INTERVAL {hours} HOURS"))
+    expert = F.coalesce(F.nullif("expert_id", F.lit("")), F.lit("-")).alias("expert")
+    by = own.groupBy(expert).agg(F.count_if(F.col("decision") != "deny").alias("allow"), F.count_if(F.col("decision") == "deny").alias("deny"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("decision") == "allow").alias("ok"))
+    every = Window.partitionBy(F.lit(1))  # a row for each expert
+    total, allowed = F.sum("n").over(every), F.sum("ok").over(every)
+    return by.select("expert", "allow", "deny", total.alias("total"), allowed.alias("allowed"), (total - allowed).alias("denied"), F.round((total - allowed) / total, 4).alias("deny_rate"))

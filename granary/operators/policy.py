@@ -63,8 +63,10 @@ def resource_matches(selector: str) -> Column:
         return level_rank(F.col("sensitivity")) >= level_rank(name)
     if kind == "entity":
         return F.array_contains("entities", name)
-    if kind in ("domain", "capability", "model"):
-        return F.col({"domain": "resource_domain", "capability": "capability_id", "model": "model_id"}[kind]) == name
+    if kind == "domain":
+        return F.coalesce(F.nullif("resource_domain", F.lit("")), "domain") == name
+    if kind in ("capability", "model"):
+        return F.col({"capability": "capability_id", "model": "model_id"}[kind]) == name
     return F.col("resource_id") == selector.strip()
 
 
@@ -74,8 +76,8 @@ def in_order(policies: Sequence[Policy], point: str = "", tenant: str = "default
     return sorted(own, key=lambda p: (EFFECTS.index(p.effect), -p.priority, p.id))
 
 
-def decision(policies: Sequence[Policy], *, point: str = "", tenant: str = "default", default: str = "deny") -> Column:
-    """struct(effect, policy_id) of the first policy that matches a row's subject, resource, action and claims."""
+def decision(policies: Sequence[Policy], *, point: str = "", tenant: str = "default", default: str = "allow") -> Column:
+    """struct(effect, policy_id) of the first policy that matches a row's subject, resource, action and claims; default where none does."""
     tests = []
     for p in in_order(policies, point, tenant):
         hit = _any([subject_matches(s) for s in p.subjects or ("*",)]) & _any([resource_matches(s) for s in p.resources or ("*",)])

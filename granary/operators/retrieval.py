@@ -27,6 +27,15 @@ def entities_of(text_col: Column, dictionary: list[str]) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def keywords(rows: DataFrame, id_col: str, text_col: str, *, limit: int = 12, least: int = 4) -> DataFrame:
+    """(id_col, keywords) of each id: its most frequent tokens of least characters or more, in that order, joined by spaces; ties by first appearance. Ids without such tokens have no row."""
+    each = rows.select(F.col(id_col), F.posexplode(F.filter(text.tokens(F.col(text_col)), lambda x: F.length(x) >= least)).alias("pos", "token"))
+    counts = each.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("n"), "pos"))
+    best = counts.withColumn("rank", rank).where(F.col("rank") <= limit)
+    return best.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]), " ").alias("keywords"))
+
+
 def top_k(scored: DataFrame, group: str, score: str, tie: str, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), tie))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -1,12 +1,16 @@
-"""Queries of chunking; importing this module adds them to those of queries."""
+"""Queries of chunking, selectors, envelopes and file sources; importing this module adds them to those of queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.operators import chunks
+from granary.operators import chunks, policy
+from granary.sources import files
+from granary.sources.scratch import shared_dir
+from granary.streaming import events as streams
 
-from .fixtures import table
+from . import fixtures as fx
+from .fixtures import sql, table
 from .queries import query
 
 
@@ -33,3 +37,56 @@ SELECT p_partkey, unnest([0, 2, 5, 7])::INTEGER AS line, unnest([1, 2, 3, 1])::I
        unnest([trim(p_brand), trim(p_brand) || ' › ' || trim(p_type), trim(p_brand) || ' › ' || trim(p_type) || ' › size ' || p_size, 'End']) AS path FROM part""")
 def chunk_headings(spark, d):
     return chunks.headings(manuals(spark, d), "p_partkey", "text")
+
+
+SELECTORS = ["domain:de", "sensitivity:confidential", "entity:the", "expert:e1", "*"]
+
+
+@query(sql("SELECT document_id, domain = 'de' AS s0, sensitivity IN ('confidential', 'restricted') AS s1, contains(coalesce(text, ''), 'the') AS s2, document_id % 2 = 1 AS s3, true AS s4 FROM docs", "docs"))
+def ibac_selectors(spark, d):
+    """Whether each selector matches, for a resource whose own domain is blank and so is the request's."""
+    has = F.when(F.contains(F.coalesce("text", F.lit("")), F.lit("the")), F.array(F.lit("the"))).otherwise(F.array().cast("array<string>"))
+    own = fx.documents(spark, d).withColumns({"resource_domain": F.lit(""), "entities": has, "expert_id": F.concat(F.lit("e"), F.col("document_id") % 2), "resource_id": F.col("uri")})
+    tests = [policy.subject_matches(s) if s.startswith("expert") else policy.resource_matches(s) for s in SELECTORS]
+    return own.select("document_id", *(t.alias(f"s{i}") for i, t in enumerate(tests)))
+
+
+ORDERED = [policy.Policy("b", "allow", 500), policy.Policy("a", "allow", 500), policy.Policy("z", "deny", 1), policy.Policy("y", "require_approval", 900), policy.Policy("x", "deny", 2), policy.Policy("off", "deny", 9, enabled=False), policy.Policy("t", "deny", 9, tenants=("other",))]
+
+
+@query("SELECT unnest(['x', 'z', 'y', 'a', 'b']) AS id, unnest([0, 1, 2, 3, 4])::BIGINT AS place")
+def ibac_policy_order(spark, d):
+    return spark.createDataFrame([(p.id, i) for i, p in enumerate(policy.in_order(ORDERED))], "id string, place long")
+
+
+@query("SELECT event_id, 'event' AS type, 'agent' AS sender_kind, 'u' || user_id AS sender_id, md5('s' || user_id) AS trace_id, event_type AS body FROM events")
+def stream_envelopes(spark, d):
+    return streams.written(streams.envelopes(streams.read_events(spark, f"{d}/events.parquet")))
+
+
+@query(sql("SELECT decision, count(*) AS n, min(id) AS first FROM audit GROUP BY decision", "audit"))
+def audit_append(spark, d):
+    """Two appends to one log, read back."""
+    log, path = fx.audit_log(spark, d), shared_dir(spark)
+    for part in ("deny", "allow"):
+        files.append_rows(log.where(F.col("decision") == part), path)
+    return spark.read.schema(log.schema).parquet(path).groupBy("decision").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+
+
+@query("SELECT 'c' || item_id AS id, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'cases' END AS domain, text AS question, '' AS expected, CASE WHEN item_id % 3 = 0 THEN 'exact' ELSE 'keywords' END AS grader, 1.0::DOUBLE AS weight FROM benchmark")
+def src_jsonl_eval(spark, d):
+    b, folder = table(spark, d, "benchmark"), shared_dir(spark)
+    lines = b.select(F.to_json(F.struct(F.concat(F.lit("c"), "item_id").alias("id"), F.when(F.col("item_id") % 2 == 0, "even").alias("domain"), F.col("text").alias("question"), F.when(F.col("item_id") % 3 == 0, "exact").alias("grader"))).alias("value"))
+    comments = spark.createDataFrame([("# a comment",), ("",), ("// another",)], "value string")
+    lines.unionByName(comments).write.text(folder)
+    cases = files.read_eval_jsonl(spark, folder)
+    return cases.withColumn("domain", F.when(F.col("domain") == "even", "even").otherwise("cases"))  # files are named by the writer
+
+
+@query("SELECT lang AS domain, sum(length(coalesce(text, '')) + 1)::BIGINT AS chars FROM documents GROUP BY lang")
+def src_corpus_scan(spark, d):
+    """Documents as text files in a folder for each language, written (with a line end after each) and scanned again."""
+    root = shared_dir(spark)
+    table(spark, d, "documents").select("lang", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("lang").text(root)
+    found = files.scan_corpus(spark, root)
+    return found.groupBy(F.regexp_replace("domain", "^lang=", "").alias("domain")).agg(F.sum(F.length("text")).alias("chars"))

@@ -39,9 +39,9 @@ def sql_list(words: list[str]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-@query(f"SELECT doc_id, len({TOKENS})::INTEGER AS n_tokens, len(list_distinct({TOKENS}))::INTEGER AS n_distinct FROM documents")
+@query(f"SELECT doc_id, len({TOKENS})::INTEGER AS n_tokens, len(list_distinct({TOKENS}))::INTEGER AS n_distinct, md5(array_to_string({TOKENS}, ' ')) AS digest FROM documents")
 def fn_tokenise(spark, d):
-    return table(spark, d, "documents").withColumn("t", text.tokens(F.col("text"))).select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
+    return table(spark, d, "documents").withColumn("t", text.tokens(F.col("text"))).select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
 @query(f"SELECT doc_id, len(list_filter(list_distinct({LONG_TOKENS}), lambda x: NOT list_contains({sql_list(text.ROUTING_STOP_WORDS)}, x)))::INTEGER AS n_tokens FROM documents")
@@ -280,7 +280,7 @@ def ibac_first_match(spark, d):
 GATES = [policy.Policy("g-error", "deny", subjects=("expert:e3",), actions=("error",)), policy.Policy("g-claim", "allow", 50, when_claims=("reader",), unless_claims=("suspended",)), policy.Policy("g-off", "deny", 999, enabled=False)]
 
 
-@query(sql("SELECT id, CASE WHEN expert_id = 'e3' AND action = 'error' THEN 'g-error' WHEN id % 2 = 0 AND id % 5 <> 0 THEN 'g-claim' ELSE '' END AS policy_id, CASE WHEN expert_id = 'e3' AND action = 'error' THEN 'deny' WHEN id % 2 = 0 AND id % 5 <> 0 THEN 'allow' ELSE 'deny' END AS effect FROM audit", "audit"))
+@query(sql("SELECT id, CASE WHEN expert_id = 'e3' AND action = 'error' THEN 'g-error' WHEN id % 2 = 0 AND id % 5 <> 0 THEN 'g-claim' ELSE '' END AS policy_id, CASE WHEN expert_id = 'e3' AND action = 'error' THEN 'deny' WHEN id % 2 = 0 AND id % 5 <> 0 THEN 'allow' ELSE 'allow' END AS effect FROM audit", "audit"))
 def ibac_gates(spark, d):
     a = fx.audit_log(spark, d).withColumn("claims", F.array_compact(F.array(F.when(F.col("id") % 2 == 0, "reader"), F.when(F.col("id") % 5 == 0, "suspended"))))
     return a.withColumn("d", policy.decision(GATES)).select("id", "d.policy_id", "d.effect")
@@ -301,10 +301,10 @@ def agg_max_sensitivity(spark, d):
 # --- aggregates, evaluation, drift, audit ---------------------------------------------------------------------------
 
 _RANK = "round(list_sort(list({c}))[greatest(1, least(count(*), round_even({f}::DOUBLE * count(*) + 0.5::DOUBLE, 0)::BIGINT))], 3)"
-_SIX = f"""count(*) AS cases, round(avg(correct::INT), 6) AS accuracy, round(avg(score), 6) AS mean_score, round(sum(cost_usd), 6) AS cost_total, round(avg(cost_usd), 8) AS cost_mean,
- round(avg(latency_ms), 3) AS latency_mean, {_RANK.format(c='latency_ms', f=0.5)} AS latency_p50, {_RANK.format(c='latency_ms', f=0.95)} AS latency_p95, round(avg(used_fallback::INT), 6) AS fallback_rate,
- round(CASE WHEN count(*) FILTER (NOT errored) < 2 THEN 1 ELSE greatest(0, 1 - least(stddev_pop(score) FILTER (NOT errored) / 0.5, 1)) END, 6) AS consistency,
- round(avg(trace_complete::INT), 6) AS auditability, sum(tokens)::BIGINT AS tokens, count(*) FILTER (errored) AS errors"""
+_SIX = f"""count(*) AS cases, round(avg(correct::INT), 4) AS accuracy, round(avg(score), 4) AS mean_score, round(sum(cost_usd), 8) AS cost_total, round(avg(cost_usd), 8) AS cost_mean,
+ round(avg(latency_ms), 3) AS latency_mean, {_RANK.format(c='latency_ms', f=0.5)} AS latency_p50, {_RANK.format(c='latency_ms', f=0.95)} AS latency_p95, round(avg(used_fallback::INT), 4) AS fallback_rate,
+ round(CASE WHEN count(*) FILTER (NOT errored) < 2 THEN 1 ELSE greatest(0, 1 - least(stddev_pop(score) FILTER (NOT errored) / 0.5, 1)) END, 4) AS consistency,
+ round(avg(trace_complete::INT), 4) AS auditability, round(avg(tokens), 2) AS tokens_per_query, count(*) FILTER (errored) AS errors"""
 
 
 @query(sql(f"SELECT arm, {_SIX} FROM results GROUP BY arm", "results"))
@@ -355,10 +355,12 @@ def agg_usage(spark, d):
     return a.groupingSets([["expert_id", "event_type"], ["expert_id"], []], "expert_id", "event_type").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("latency_ms"), 3).alias("latency"), F.round(F.avg("confidence"), 8).alias("confidence"))
 
 
-@query("WITH t AS (SELECT source, unnest(list_filter(" + TOKENS + ", lambda x: length(x) >= 4)) AS token, doc_id FROM documents), c AS (SELECT source, token, count(*) AS n FROM t GROUP BY ALL) SELECT source, token, n FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, token) <= 12")
+@query(f"""
+WITH t AS (SELECT doc_id, list_filter({TOKENS}, lambda x: length(x) >= 4) AS t FROM documents), e AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM t),
+c AS (SELECT doc_id, token, count(*) AS n, min(pos) AS pos FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS rank FROM c)
+SELECT doc_id, string_agg(token, ' ' ORDER BY rank) AS keywords FROM r WHERE rank <= 12 GROUP BY doc_id""")
 def agg_keywords(spark, d):
-    t = table(spark, d, "documents").select("source", F.explode(F.filter(text.tokens(F.col("text")), lambda x: F.length(x) >= 4)).alias("token"))
-    return retrieval.top_k(t.groupBy("source", "token").agg(F.count(F.lit(1)).alias("n")), "source", "n", "token", 12).drop("rank")
+    return retrieval.keywords(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query(sql("SELECT session_id, round(greatest(1, sum(latency_ms) / max(latency_ms)), 3) AS speedup FROM ans GROUP BY session_id HAVING max(latency_ms) > 0", "ans"))
@@ -367,9 +369,10 @@ def agg_speedup(spark, d):
     return a.select("session_id", F.round(F.greatest(F.lit(1.0), F.col("work") / F.col("wall")), 3).alias("speedup"))
 
 
-@query(sql("SELECT expert_id, count(*) AS total, count(*) FILTER (decision = 'deny') AS denied, count(*) FILTER (decision <> 'deny') AS allowed FROM audit GROUP BY expert_id", "audit"))
+@query(sql("""SELECT CASE WHEN coalesce(expert_id, '') = '' THEN '-' ELSE expert_id END AS expert, count(*) FILTER (decision <> 'deny') AS allow, count(*) FILTER (decision = 'deny') AS deny, any_value(t.total) AS total, any_value(t.allowed) AS allowed, any_value(t.denied) AS denied, any_value(round(t.denied / t.total, 4)) AS deny_rate
+FROM w, (SELECT count(*) AS total, count(*) FILTER (decision = 'allow') AS allowed, count(*) - count(*) FILTER (decision = 'allow') AS denied FROM w) t GROUP BY ALL""", "audit").replace("FROM w, (", "FROM (SELECT * FROM audit WHERE ts >= (SELECT max(ts) FROM audit) - INTERVAL 720 HOUR) w, (").replace("denied FROM w)", "denied FROM audit WHERE ts >= (SELECT max(ts) FROM audit) - INTERVAL 720 HOUR)"))
 def audit_summary(spark, d):
-    return fx.audit_log(spark, d).groupBy("expert_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("decision") == "deny").alias("denied"), F.count_if(F.col("decision") != "deny").alias("allowed"))
+    return evaluation.audit_summary(fx.audit_log(spark, d), 720)
 
 
 @query(sql("SELECT id, session_id, action FROM audit WHERE decision = 'deny' AND expert_id = 'e1' ORDER BY ts DESC, id DESC LIMIT 200", "audit"))
@@ -430,9 +433,9 @@ def grade_exact(spark, d):
     return fx.training_examples(spark, d).select("id", (text.normalised(F.col("completion")) == text.normalised(F.col("prompt"))).alias("correct"))
 
 
-@query(sql(f"SELECT id, contains({_NORM.format(c='completion')}, {_NORM.format(c='substr(prompt, 1, 3)')}) AS correct FROM examples", "examples"))
+@query(sql(f"SELECT id, contains({_NORM.format(c='completion')}, {_NORM.format(c="regexp_extract(prompt, '[^ ]+')")}) AS correct FROM examples", "examples"))
 def grade_contains(spark, d):
-    return fx.training_examples(spark, d).select("id", F.contains(text.normalised(F.col("completion")), text.normalised(F.substring("prompt", 1, 3))).alias("correct"))
+    return fx.training_examples(spark, d).select("id", F.contains(text.normalised(F.col("completion")), text.normalised(F.regexp_extract("prompt", "[^ ]+", 0))).alias("correct"))
 
 
 @query(r"SELECT doc_id, round(list_min(list_transform(regexp_extract_all(regexp_replace(coalesce(text, ''), ',', '', 'g'), '-?\d+(?:\.\d+)?'), lambda x: abs(x::DOUBLE - 100))) / 100, 4) AS gap FROM documents")

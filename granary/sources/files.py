@@ -60,3 +60,8 @@ def with_schema(rows: DataFrame, schema: T.StructType) -> DataFrame:
     """rows with the columns that schema has and they lack, as nulls; none is dropped or retyped."""
     have = set(rows.columns)
     return rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name not in have])
+
+
+def append_rows(rows: DataFrame, path: str) -> None:
+    """Append to a log of Parquet files; a task that is repeated adds nothing twice, as its files are committed as a whole."""
+    rows.write.mode("append").parquet(path)

@@ -52,3 +52,9 @@ def sessions(events: DataFrame, gap: str = "12 hours", late: str = "1 day") -> D
 def layer_counts(events: DataFrame) -> DataFrame:
     """(event_type, n, total): running counts of a trace by type."""
     return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def envelopes(events: DataFrame) -> DataFrame:
+    """(event_id, type, sender_kind, sender_id, trace_id, body): events as the bus carries them; a trace is a user's session."""
+    session = F.concat(F.lit("s"), F.col("user_id"))
+    return events.select("event_id", F.lit("event").alias("type"), F.lit("agent").alias("sender_kind"), F.concat(F.lit("u"), F.col("user_id")).alias("sender_id"), F.md5(session).alias("trace_id"), F.col("event_type").alias("body"))

@@ -103,3 +103,18 @@ def formatted_number(value: Column) -> Column:
     """A cell's number as a person writes it: whole numbers without a point, else six places without trailing zeros."""
     whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
     return F.when(value.isNull() | F.isnan(value), "").when(whole, value.cast("long").cast("string")).otherwise(F.regexp_replace(F.regexp_replace(F.format_string("%.6f", value), "0+$", ""), r"\.$", ""))
+
+
+def number_ptbr(x: Column, places: int = 1) -> Column:
+    """A number with a decimal comma and without grouping; n/d for null."""
+    return F.when(x.isNull(), "n/d").otherwise(F.translate(F.translate(F.format_number(x, places), ",", ""), ".", ","))
+
+
+def money_ptbr(x: Column, places: int = 0) -> Column:
+    """An amount with points between thousands and a decimal comma; n/d for null."""
+    return F.when(x.isNull(), "n/d").otherwise(F.concat(F.lit("R$ "), F.translate(F.format_number(x, places), ",.", ".,")))
+
+
+def percent_ptbr(x: Column, places: int = 1) -> Column:
+    """A share as a percentage."""
+    return F.when(x.isNull(), "n/d").otherwise(F.concat(number_ptbr(x * 100, places), F.lit("%")))

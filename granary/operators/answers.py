@@ -33,13 +33,17 @@ def incompatible(field: Column, a: Column, b: Column, tolerance: float = 0.02) -
     return F.when(x.isNotNull() & y.isNotNull(), F.when(numeric, "numeric_disagreement")).when(verdict, "verdict_disagreement")
 
 
+# Fields that say how an answer came about.
+NOT_COMPARED = ["confidence", "citations", "sources", "reasoning"]
+
+
 def conflicts(fields: DataFrame, tolerance: float = 0.02) -> DataFrame:
     """(request_id, field, first, second, kind): pairs of a request's answers whose values of a field disagree.
 
-    Distinct values meet, not answers, so many equal answers cost one comparison; the first answer of each stands for it.
+    fields is of answers that are usable; what says how an answer came about isn't compared. Distinct values meet, not answers, so many equal answers cost one comparison; the first answer of each stands for it.
     """
     value = F.trim("value")
-    stated = fields.where(value.isNotNull() & (value != "")).groupBy("request_id", "field", "value").agg(F.min("answer_id").alias("answer_id"))
+    stated = fields.where(value.isNotNull() & (value != "") & ~F.col("field").isin(NOT_COMPARED)).groupBy("request_id", "field", "value").agg(F.min("answer_id").alias("answer_id"))
     other = stated.select("request_id", "field", F.col("value").alias("value2"), F.col("answer_id").alias("second"))
     pairs = stated.join(other, ["request_id", "field"]).where("answer_id < second").withColumn("kind", incompatible(F.col("field"), F.col("value"), F.col("value2"), tolerance))
     return pairs.where("kind is not null").select("request_id", "field", F.col("answer_id").alias("first"), "second", "kind")

@@ -77,3 +77,50 @@ def feedback_prompts(answers: DataFrame, least: float) -> DataFrame:
     low = answers.where(~F.col("used_fallback") & (F.col("score") < least)).withColumn("kind", F.lit("failure"))
     status = F.when(F.coalesce("label", F.lit("")) == "", "needs_answer").otherwise("pending")
     return up.unionByName(low).select("id", "kind", "prompt", F.coalesce("label", F.lit("")).alias("completion"), status.alias("status"))
+
+
+# What reinforces a domain, how near to the best a domain must be, and when a request is planned or escalated.
+ENTITY_BONUS, DESCRIPTION_BONUS, NEAR, LEAST_SCORE = 0.15, 0.2, 0.6, 0.12
+PLAN_BELOW, ESCALATE_BELOW = 0.35, 0.55
+MARKERS = ["and then", "then", "after that", "as well as", "compare", "both", "also", "e depois", "então", "além disso", "ambos", "também"]
+
+
+def domain_scores(found: DataFrame, entities: DataFrame, described: DataFrame) -> DataFrame:
+    """(request_id, domain, score): a domain's best capability, reinforced by its entities in the request and by its description.
+
+    found is (request_id, domain, score) of capabilities, entities (request_id, domain) a row for each entity of a domain,
+    described (request_id, domain, share) the share of the request's tokens that a domain's description has. Domains without
+    any of these have no row, and count as 0.
+    """
+    keys = ["request_id", "domain"]
+    best = found.groupBy(*keys).agg(F.max("score").alias("score"))
+    counts = entities.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    all_ = best.join(counts, keys, "full").join(described.select(*keys, "share"), keys, "full")
+    filled = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    reinforced = F.least(F.lit(1.0), filled("score") + ENTITY_BONUS * filled("n"))
+    return all_.select(*keys, F.least(F.lit(1.0), reinforced + DESCRIPTION_BONUS * filled("share")).alias("score"))
+
+
+def classified(requests: DataFrame, scored: DataFrame) -> DataFrame:
+    """(request_id, domains, confidence) of each request: the domains near its best score, joined by commas from the best, ties by name; none and 0 if nothing matches."""
+    own = Window.partitionBy("request_id")
+    place = F.row_number().over(own.orderBy(F.desc("score"), "domain"))
+    ranked = scored.withColumn("best", F.max("score").over(own)).withColumn("place", place).where("best > 0")
+    near = F.when(F.col("score") >= F.greatest(F.col("best") * NEAR, F.lit(LEAST_SCORE)), F.struct("place", "domain"))
+    by = ranked.groupBy("request_id").agg(F.max("best").alias("best"), F.coalesce(F.max(F.when(F.col("place") == 2, F.col("score"))), F.lit(0.0)).alias("second"), F.sort_array(F.collect_list(near)).alias("near"))
+    named = by.select("request_id", F.array_join(F.transform("near", lambda x: x["domain"]), ",").alias("domains"), scores.margin_confidence(F.col("best"), F.col("second")).alias("confidence"))
+    return requests.select("request_id").join(named, "request_id", "left").select("request_id", F.coalesce("domains", F.lit("")).alias("domains"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+
+
+def should_plan(text_col: Column, domains: Column, outputs: Column, confidence: Column) -> Column:
+    """Whether a request spans domains, reads as several, wants several outputs, or is not understood."""
+    words = "|".join(MARKERS)
+    several = F.coalesce(text_col, F.lit("")).rlike(rf"(?i)(^|[^\p{{L}}\p{{N}}_])({words})([^\p{{L}}\p{{N}}_]|$)")
+    return F.contains(domains, F.lit(",")) | several | (outputs > 1) | (confidence < PLAN_BELOW)
+
+
+def escalation(requests: DataFrame, plan: DataFrame) -> DataFrame:
+    """(request_id, subtasks, best, reason): why a request goes to the single orchestrator task, null where it doesn't; plan is (request_id, score)."""
+    by = plan.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top"))
+    out = requests.select("request_id").join(by, "request_id", "left").select("request_id", F.coalesce("n", F.lit(0)).alias("subtasks"), F.coalesce("top", F.lit(0.0)).alias("best"))
+    return out.withColumn("reason", F.when(F.col("subtasks") == 0, "no capability matched").when(F.col("best") < ESCALATE_BELOW, "low confidence"))

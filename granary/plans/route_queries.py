@@ -184,3 +184,60 @@ def stream_session(spark, d):
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def stream_trace_counts(spark, d):
     return streams.written(streams.layer_counts(streams.read_events(spark, f"{d}/events.parquet")), "complete")
+
+
+DOMAIN_OF = {"der": "de", "les": "fr", "que": "fr", "the": "en", "and": "en"}
+ABOUT = {"de": "ung ich der sch", "fr": "les des ment", "en": "the and tion", "es": "que los ción"}
+_CLASSIFY = f"""{{match}}, e(name, domain) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in DOMAIN_OF.items())}), dd(domain, w) AS (VALUES {", ".join(f"('{k}', {sql_list([w for w in v.split() if len(w) > 2 and w not in text.ROUTING_STOP_WORDS])})" for k, v in ABOUT.items())}),
+md AS (SELECT request_id, domain, max(score) AS s FROM m GROUP BY ALL), eh AS (SELECT request_id, domain, count(*) AS n FROM (SELECT request_id, unnest(ents) AS name FROM q) JOIN e USING (name) GROUP BY ALL),
+ov AS (SELECT request_id, domain, len(list_intersect(t, w)) / len(t) AS share FROM q, dd WHERE len(list_intersect(t, w)) > 0),
+sc AS (SELECT request_id, domain, least(1.0::DOUBLE, least(1.0::DOUBLE, coalesce(s, 0) + 0.15::DOUBLE * coalesce(n, 0)) + 0.2::DOUBLE * coalesce(share, 0)) AS score FROM md FULL JOIN eh USING (request_id, domain) FULL JOIN ov USING (request_id, domain)),
+rk AS (SELECT *, max(score) OVER (PARTITION BY request_id) AS best, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, domain) AS place FROM sc),
+cl AS (SELECT request_id, string_agg(domain, ',' ORDER BY place) FILTER (score >= greatest(best * 0.6::DOUBLE, 0.12)) AS domains, max(best) AS best, coalesce(max(score) FILTER (place = 2), 0) AS second FROM rk WHERE best > 0 GROUP BY request_id),
+cls AS (SELECT item_id AS request_id, text, coalesce(domains, '') AS domains, CASE WHEN coalesce(best, 0) <= 0 THEN 0.0 ELSE round(least(1, least(best, 1) * (0.65::DOUBLE + 0.35::DOUBLE * greatest(0, (best - second) / best))), 4) END AS confidence FROM benchmark LEFT JOIN cl ON cl.request_id = item_id)"""
+
+
+def _classify_sql() -> str:
+    return _CLASSIFY.replace("{match}", _match_sql())
+
+
+def _classified(spark, d):
+    asked = fx.requests(spark, d)
+    tokens = asked.select("request_id", text.token_set(F.col("text"), text.ROUTING_STOP_WORDS).alias("t"))
+    about = spark.createDataFrame(list(ABOUT.items()), "domain string, about string").select("domain", F.explode(text.token_set(F.col("about"), text.ROUTING_STOP_WORDS)).alias("token"))
+    described = tokens.select("request_id", F.size("t").alias("n"), F.explode("t").alias("token")).join(F.broadcast(about), "token").groupBy("request_id", "domain").agg((F.count(F.lit(1)) / F.max("n")).alias("share"))
+    known = spark.createDataFrame(list(DOMAIN_OF.items()), "name string, domain string")
+    named = asked.select("request_id", F.explode(entities_of(F.col("text"), DICTIONARY)).alias("name")).join(F.broadcast(known), "name")
+    return routing.classified(asked, routing.domain_scores(_found(spark, d).select("request_id", "domain", "score"), named, described))
+
+
+@query("WITH " + _classify_sql() + " SELECT request_id, domains, confidence FROM cls")
+def route_classify(spark, d):
+    return _classified(spark, d)
+
+
+_MARKED = r"regexp_matches(coalesce(text, ''), '(?i)(^|[^\p{L}\p{N}_])(" + "|".join(routing.MARKERS) + r")([^\p{L}\p{N}_]|$)')"
+
+
+@query("WITH " + _classify_sql() + f" SELECT request_id, (contains(domains, ',') OR {_MARKED} OR 1 + request_id % 2 > 1 OR confidence < 0.35) AS planned FROM cls")
+def route_should_plan(spark, d):
+    both = _classified(spark, d).join(fx.requests(spark, d), "request_id")
+    return both.select("request_id", routing.should_plan(F.col("text"), F.col("domains"), 1 + F.col("request_id") % 2, F.col("confidence")).alias("planned"))
+
+
+@query("WITH " + _match_sql() + ", best AS (SELECT request_id, max(score) AS top FROM m GROUP BY ALL) SELECT item_id AS request_id, round(CASE WHEN coalesce(top, 0) >= 0.2 THEN top ELSE 0 END, 6) AS best, CASE WHEN coalesce(top, 0) < 0.2 THEN 'no capability matched' WHEN top < 0.55 THEN 'low confidence' END AS reason FROM benchmark LEFT JOIN best ON best.request_id = item_id")
+def route_escalate(spark, d):
+    return routing.escalation(fx.requests(spark, d), routing.planned(_found(spark, d))).select("request_id", F.round("best", 6).alias("best"), "reason")
+
+
+@query("WITH " + _classify_sql() + ", top AS (SELECT request_id, capability_id, score FROM m QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, capability_id) = 1) SELECT cls.request_id, domains, confidence, capability_id, round(score, 6) AS score, coalesce(score < 0.55, true) AS would_escalate FROM cls LEFT JOIN top USING (request_id)")
+def route_explain(spark, d):
+    """A dry run: what routing sees in a request, and whether it would be escalated."""
+    best = routing.best_matches(_found(spark, d), 1).select("request_id", "capability_id", "score")
+    return _classified(spark, d).join(best, "request_id", "left").select("request_id", "domains", "confidence", "capability_id", F.round("score", 6).alias("score"), F.coalesce(F.col("score") < routing.ESCALATE_BELOW, F.lit(True)).alias("would_escalate"))
+
+
+@query("SELECT o_orderkey, 'R$ ' || translate(format('{:,.2f}', o_totalprice::DOUBLE), ',.', '.,') AS money, translate(format('{:.1f}', o_totalprice::DOUBLE / 1000), '.', ',') AS number, coalesce(translate(format('{:.1f}', CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice::DOUBLE / 5000 END), '.', ',') || '%', 'n/d') AS percent FROM orders")
+def tab_format_ptbr(spark, d):
+    o = table(spark, d, "orders").withColumn("x", F.col("o_totalprice").cast("double"))
+    return o.select("o_orderkey", text.money_ptbr(F.col("x"), 2).alias("money"), text.number_ptbr(F.col("x") / 1000, 1).alias("number"), text.percent_ptbr(F.when(F.col("o_orderkey") % 7 != 0, F.col("x") / 500000), 1).alias("percent"))

@@ -46,6 +46,22 @@ def tidy(run):
     return wrapped
 
 
+def regrouped(batches, rows: int, most_bytes: int = 64 << 20):
+    """Tables of that many rows (fewer if they have most_bytes bytes, and in the last), whatever batches Spark hands over."""
+    held, n, size = [], 0, 0
+    for b in batches:
+        while b.num_rows:
+            own = max(1, b.nbytes // b.num_rows)
+            take = min(b.num_rows, rows - n, max(1, (most_bytes - size) // own))
+            held.append(b.slice(0, take))
+            n, size, b = n + take, size + take * own, b.slice(take)
+            if n == rows or size >= most_bytes - own:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, n, size = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, most: int = 50_000) -> DataFrame:
     """Inner join of many rows with one row for each key, where size is the number of rows of the key.
 

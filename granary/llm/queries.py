@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, class_lm, decontam, neardup, pieces, quality, token_counts, toxicity, warc
+from . import ann, centroids, chat, class_lm, decontam, licences, neardup, negatives, pieces, quality, token_counts, toxicity, warc
 from . import pipeline as stages
 from .common import crc_mod, table, vocabulary
 
@@ -63,11 +63,38 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan_licences(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("spans").alias("n_spans"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _centroid_rounds(n: int) -> str:
+    """The common tables c1 to cn of centroids (c: number, e: components) from c0, and from each the assignments a0 to an (vec_id, e, c, d)."""
+    out = []
+    for i in range(n + 1):
+        near = f"SELECT k.vec_id, k.e, c.c, list_sum(list_transform(list_zip(k.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM k, c{i} c QUALIFY row_number() OVER (PARTITION BY k.vec_id ORDER BY d, c.c) = 1"
+        out.append(f"a{i} AS MATERIALIZED ({near})")
+        if i < n:
+            s = f"SELECT c, p, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(e) AS x, unnest(range(1, len(e) + 1)) AS p FROM a{i}) GROUP BY c, p"
+            moved = f"SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS e FROM ({s}) GROUP BY c"
+            out.append(f"c{i + 1} AS MATERIALIZED (SELECT c0.c, coalesce(m.e, o.e) AS e FROM c0 JOIN c{i} o USING (c) LEFT JOIN ({moved}) m USING (c))")
+    return ",\n".join(out)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_class_lm, op4_warc, op5_pieces, op6_minhash, op7_ann, op8_token_counts, op9_chat, op10_decontamination, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_class_lm, op4_warc, op5_pieces, op6_minhash, op7_ann, op8_token_counts, op9_chat, op10_decontamination, op11_hard_negatives, op12_licence_scan, op13_centroids, pipeline)}
 
 ORACLE_SQL = {
     "op4_warc": """
@@ -118,4 +145,19 @@ r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, e.b FROM r JOIN e ON
 m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.x = d.doc_id""",
+    "op11_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE label <> own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10""",
+    "op13_centroids": f"""
+WITH k AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id))::INTEGER - 1 AS c, e FROM k ORDER BY sha256('3:' || vec_id) LIMIT 8),
+{_centroid_rounds(10)}
+SELECT vec_id, c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c10.e, ',')) AS centroid_sha256
+FROM a10 JOIN c10 USING (c)""",
 }

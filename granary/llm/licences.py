@@ -214,12 +214,10 @@ class Text:
 def chained(matches: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
     """(words covered, first word, last word) of the best chain that ends with each match of one template; matches are in the order of their last words."""
     out: list[tuple[int, int, int]] = []
-    back = 0
+    ends = [m[0] for m in matches]
     for end, place, length in matches:
-        while matches[back][0] < end - length - gap:
-            back += 1
         best = (length, end - length + 1)
-        for k in range(back, len(out)):
+        for k in range(bisect_left(ends, end - length - gap), len(out)):
             before, at, _ = matches[k]
             gain = min(length, end - before, place - at)
             if gain > 0:

@@ -52,6 +52,24 @@ def promoted(versions: DataFrame, metric: str = "accuracy", min_improvement: flo
     return marked.withColumn("status", status).drop("_best", "_win", "_any")
 
 
+def rolled_back(versions: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """versions with their status after a rollback, and (model_id, problem) of models that can't be rolled back.
+
+    wanted is (model_id, version), a row for each model; a null version stands for the retired one that was created last (not
+    the one that was retired last). It becomes active, and what was active retires; other models stay as they are.
+    """
+    order = F.struct("created_at", "version")
+    last = versions.groupBy("model_id").agg(F.max_by(F.when(F.col("status") == "retired", F.col("version")), F.when(F.col("status") == "retired", order)).alias("_last"))
+    named = wanted.select("model_id", F.col("version").alias("_asked")).join(last, "model_id", "left").withColumn("_target", F.coalesce("_asked", "_last"))
+    held = named.join(versions.select("model_id", F.col("version").alias("_target"), F.lit(True).alias("_there")), ["model_id", "_target"], "left")
+    known = versions.select("model_id").distinct().withColumn("_known", F.lit(True))
+    problem = F.when(F.col("_known").isNull(), "no version history").when(F.col("_target").isNull(), "no retired version").when(F.col("_there").isNull(), "no such version")
+    bad = held.join(known, "model_id", "left").select("model_id", problem.alias("problem")).where("problem is not null")
+    target = held.where("_there").select("model_id", "_target").distinct()
+    status = F.when(F.col("version") == F.col("_target"), "active").when(F.col("_target").isNotNull() & (F.col("status") == "active"), "retired").otherwise(F.col("status"))
+    return versions.join(target, "model_id", "left").withColumn("status", status).drop("_target"), bad
+
+
 def promotion_triggers(usage: DataFrame, volume: int = 50_000) -> DataFrame:
     """usage (expert_id, sovereign, calls, p95_ms, required_ms, accuracy, target) with the names of confirmed triggers; any one promotes."""
     names = F.array_compact(F.array(F.when(F.col("sovereign"), "sovereignty"), F.when(F.col("calls") >= volume, "volume"), F.when(F.col("p95_ms") > F.col("required_ms"), "latency"), F.when(F.col("accuracy") < F.col("target"), "accuracy")))

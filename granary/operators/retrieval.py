@@ -113,6 +113,21 @@ class _Asked:
             yield pa.RecordBatch.from_arrays(cols, ["query_id", "id", "semantic", "lexical", "entity", "score"])
 
 
+def governed(found: DataFrame, judged: DataFrame, k: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Allowed rows (found's columns, effect, rank) and denials (query_id, id, effect, policy_id, rank) of a search that fetched more than k.
+
+    found is (query_id, id, ..., rank), judged (id, effect, policy_id) has one row for each chunk. A query's rows are walked in
+    their order until k are allowed; only denials met before that are reported, and rows beyond what was fetched are not seen,
+    so fewer than k may be left although more would be allowed. A chunk without a judgement is denied.
+    """
+    before = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    walked = found.join(judged.select("id", "effect", "policy_id"), "id", "left").withColumn("effect", F.coalesce("effect", F.lit("deny"))).withColumn("_ok", F.col("effect") != "deny")
+    seen = walked.withColumn("_before", F.coalesce(F.sum(F.col("_ok").cast("int")).over(before), F.lit(0))).where(F.col("_before") < k)
+    allowed = seen.where("_ok").withColumn("rank", (F.col("_before") + 1).cast("int")).select(*found.columns, "effect")
+    denied = seen.where("not _ok").select("query_id", "id", "effect", F.coalesce("policy_id", F.lit("")).alias("policy_id"), "rank")
+    return allowed, denied
+
+
 def context_budget(blocks: DataFrame, group: str, rank: str, size: str, budget: int) -> DataFrame:
     """Blocks in rank order while their sizes stay within the budget; the first always."""
     run = F.sum(size).over(Window.partitionBy(group).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0))

@@ -7,34 +7,54 @@ from pyspark.sql import functions as F
 
 from granary.functions import scores, text
 
-#: Declared capabilities beyond this many are joined by Spark's own choice, not broadcast.
+from .registry import plan_confidence
+from .retrieval import hybrid_search
+
+#: Declared capabilities that are broadcast to the requests at most; more are joined on what they share with them.
 BROADCAST_CAPABILITIES = 10_000
+CAPABILITY = "capability_id string, expert_id string, domain string, keywords array<string>, examples array<string>, description string, operates_on array<string>"
+
+
+def _paired(asked: DataFrame, own: DataFrame, most: int) -> DataFrame:
+    """Requests with capabilities: all pairs while the capabilities are few and broadcast, else those that share a word or an entity."""
+    if own.count() <= most:
+        return asked.crossJoin(F.broadcast(own))
+    shared = lambda c: F.explode(F.array_distinct(F.concat(F.transform(c[0], lambda x: F.concat(F.lit("w:"), x)), F.transform(c[1], lambda x: F.concat(F.lit("e:"), x))))).alias("_key")
+    words = F.array_union(F.array_union("k", "e"), F.col("d"))
+    pairs = asked.select("request_id", shared((F.col("asked"), F.col("entities")))).join(own.select("capability_id", shared((words, F.col("operates_on")))), "_key").select("request_id", "capability_id").distinct()
+    return pairs.join(asked, "request_id").join(own, "capability_id")
 
 
-def matches(requests: DataFrame, capabilities: list[tuple], domain_scores: dict[str, float] | None = None) -> DataFrame:
-    """(request_id, capability_id, expert_id, domain, lexical, entity, score) of every request and capability.
+def matches(requests: DataFrame, capabilities: list[tuple] | DataFrame, domain_scores: dict[str, float] | None = None, *, embedded: bool = False, most: int = BROADCAST_CAPABILITIES) -> DataFrame:
+    """(request_id, capability_id, expert_id, domain, semantic, lexical, entity, score) of requests and capabilities.
 
-    requests is (request_id, text, entities); capabilities are (id, expert, domain, keywords, examples, description,
-    operates_on), at most BROADCAST_CAPABILITIES. A request without entities is judged by its words alone; a null text
-    has no words and scores 0.
+    requests is (request_id, text, entities), ids once each; capabilities are (id, expert, domain, keywords, examples,
+    description, operates_on). A request without entities is judged without them; a null text has no words. embedded adds the
+    cosine of the two texts, negative ones as 0: every candidate is scored, so one that is far from the request is weighed as
+    such (it is not left out of a list of the best of the whole graph). Without it semantic is null, and not weighed.
+    With up to `most` capabilities every pair has a row; with more only pairs that share a word or an entity have one.
     """
-    if len(capabilities) > BROADCAST_CAPABILITIES:
-        raise ValueError(f"more than {BROADCAST_CAPABILITIES} capabilities")
-    shape = "capability_id string, expert_id string, domain string, keywords array<string>, examples array<string>, description string, operates_on array<string>"
     stop = text.ROUTING_STOP_WORDS
-    own = requests.sparkSession.createDataFrame(capabilities, shape).select(
+    given = capabilities if isinstance(capabilities, DataFrame) else requests.sparkSession.createDataFrame(capabilities, CAPABILITY)
+    own = given.select(
         "capability_id", "expert_id", "domain", "operates_on", text.token_set(F.array_join("keywords", " "), stop).alias("k"), text.token_set(F.array_join("examples", " "), stop).alias("e"),
         text.token_set(F.concat_ws(" ", F.translate("capability_id", "_", " "), "description"), stop).alias("d"),
     )
-    both = requests.withColumn("asked", text.token_set(F.col("text"), stop)).crossJoin(F.broadcast(own))
+    both = _paired(requests.withColumn("asked", text.token_set(F.col("text"), stop)), own, most)
+    semantic = F.lit(None).cast("double")
+    if embedded:
+        said = F.concat_ws(" ", F.translate("capability_id", "_", " "), "description", F.array_join("keywords", " "), F.array_join("examples", " "))
+        near = hybrid_search(requests.select(F.col("request_id").alias("id"), "text"), given.select(F.col("capability_id").alias("id"), said.alias("text")), k=max(1, given.count()), weights=(1.0, 0.0, 0.0))
+        both = both.join(near.select(F.col("query_id").alias("request_id"), F.col("id").alias("capability_id"), F.col("score").alias("near")), ["request_id", "capability_id"], "left")
+        semantic = F.coalesce("near", F.lit(0.0))
     entity = F.when(F.size("entities") > 0, scores.scope_match(F.col("entities"), F.col("operates_on")))
-    both = both.withColumn("lexical", scores.declared_match(F.col("asked"), F.col("e"), F.col("k"), F.col("d"))).withColumn("entity", entity)
+    both = both.withColumn("lexical", scores.declared_match(F.col("asked"), F.col("e"), F.col("k"), F.col("d"))).withColumn("entity", entity).withColumn("semantic", semantic)
     weight = F.lit(1.0)
     if domain_scores:
         known = F.create_map(*(F.lit(x) for pair in domain_scores.items() for x in pair))
         weight = 0.6 + 0.4 * F.coalesce(F.try_element_at(known, F.col("domain")), F.lit(0.0))
-    score = scores.blended(F.lit(None).cast("double"), F.col("lexical"), F.col("entity")) * weight
-    return both.select("request_id", "capability_id", "expert_id", "domain", F.round("lexical", 6).alias("lexical"), F.round("entity", 6).alias("entity"), F.round(F.least(score, F.lit(1.0)), 6).alias("score"))
+    score = scores.blended(F.col("semantic"), F.col("lexical"), F.col("entity")) * weight
+    return both.select("request_id", "capability_id", "expert_id", "domain", F.round("semantic", 6).alias("semantic"), F.round("lexical", 6).alias("lexical"), F.round("entity", 6).alias("entity"), F.round(F.least(score, F.lit(1.0)), 6).alias("score"))
 
 
 def best_matches(found: DataFrame, k: int = 8) -> DataFrame:
@@ -119,8 +139,14 @@ def should_plan(text_col: Column, domains: Column, outputs: Column, confidence:
     return F.contains(domains, F.lit(",")) | several | (outputs > 1) | (confidence < PLAN_BELOW)
 
 
-def escalation(requests: DataFrame, plan: DataFrame) -> DataFrame:
-    """(request_id, subtasks, best, reason): why a request goes to the single orchestrator task, null where it doesn't; plan is (request_id, score)."""
-    by = plan.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top"))
-    out = requests.select("request_id").join(by, "request_id", "left").select("request_id", F.coalesce("n", F.lit(0)).alias("subtasks"), F.coalesce("top", F.lit(0.0)).alias("best"))
-    return out.withColumn("reason", F.when(F.col("subtasks") == 0, "no capability matched").when(F.col("best") < ESCALATE_BELOW, "low confidence"))
+def escalation(requests: DataFrame, steps: DataFrame, threshold: float = ESCALATE_BELOW) -> DataFrame:
+    """(request_id, subtasks, confidence, reason): why a request goes to the single orchestrator task, null where it doesn't.
+
+    steps is (request_id, confidence, matched, classification), as for registry.plan_confidence, whose value decides.
+    """
+    by = steps.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("matched").alias("hits"))
+    sure = plan_confidence(steps.withColumnRenamed("request_id", "plan_id")).withColumnRenamed("plan_id", "request_id")
+    out = requests.select("request_id").join(by.join(sure, "request_id"), "request_id", "left").select("request_id", F.coalesce("n", F.lit(0)).alias("subtasks"), F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    low = F.format_string(f"routing confidence %.2f is below the {threshold:.2f} threshold", "confidence")
+    reason = F.when(F.col("subtasks") == 0, "no capability in the graph covers this request").when(F.col("hits") == 0, "no subtask matched a declared capability").when(F.col("confidence") < threshold, low)
+    return out.withColumn("reason", reason).drop("hits")

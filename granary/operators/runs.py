@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.sources.scratch import materialize
@@ -19,6 +19,18 @@ def complete_traces(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id").agg(F.least(*seen).alias("complete")).withColumn("complete", F.col("complete") == 1)
 
 
+def newest_runs(runs: DataFrame, cases: DataFrame, *, tenant: str = "default", limit: int = 20) -> DataFrame:
+    """(run_id, created_at, arm, place, and the columns of cases) of a tenant's newest limit runs with their cases in the order of their ids.
+
+    runs is (run_id, tenant, arm, created_at); of equal times the larger id is newer. The limit comes before the join: at most
+    that many runs are broadcast to the cases, and a run without cases has one row without a case.
+    """
+    own = runs.where(F.col("tenant") == tenant).orderBy(F.desc("created_at"), F.desc("run_id")).limit(limit).select("run_id", "created_at", "arm")
+    mine = cases.join(F.broadcast(own.select("run_id")), "run_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("case_id"))
+    return own.join(mine.withColumn("place", place), "run_id", "left")
+
+
 def export_rows(log: DataFrame, limit: int) -> DataFrame:
     """The newest limit rows as JSON, oldest first; ties by id."""
     newest = log.orderBy(F.desc("ts"), F.desc("id")).limit(limit)

@@ -142,6 +142,17 @@ def versions_promote(spark, d):
     return R.promoted(versions(spark, d)).select("model_id", "version", "status")
 
 
+@query("WITH " + VERSIONS + """, w AS (SELECT c_custkey AS model_id, CASE WHEN c_custkey % 5 = 0 THEN (SELECT max(version) FROM v WHERE v.model_id = c_custkey AND status = 'candidate') END AS asked FROM customer WHERE c_custkey % 3 <> 0),
+t AS (SELECT w.model_id, coalesce(asked, (list(version ORDER BY created_at DESC, version DESC) FILTER (status = 'retired'))[1]) AS target FROM w JOIN v USING (model_id) GROUP BY w.model_id, asked)
+SELECT v.model_id, version, CASE WHEN version = target THEN 'active' WHEN target IS NOT NULL AND status = 'active' THEN 'retired' ELSE status END AS status FROM v LEFT JOIN t USING (model_id)""")
+def versions_rollback(spark, d):
+    """Two thirds of the models go back to their retired version that was created last, some to a candidate that is named."""
+    all_ = versions(spark, d)
+    named = all_.where("status = 'candidate'").groupBy("model_id").agg(F.max("version").alias("version"))
+    wanted = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("model_id")).join(named, "model_id", "left").select("model_id", F.when(F.col("model_id") % 5 == 0, F.col("version")).alias("version"))
+    return R.rolled_back(all_, wanted)[0].select("model_id", "version", "status")
+
+
 @query("SELECT s_suppkey AS expert_id, concat_ws(',', CASE WHEN s_nationkey % 5 = 0 THEN 'sovereignty' END, CASE WHEN s_suppkey * 100 >= 5000 THEN 'volume' END, CASE WHEN s_acctbal > 5000 THEN 'latency' END, CASE WHEN s_nationkey < 3 THEN 'accuracy' END) AS triggers FROM supplier")
 def promo_triggers(spark, d):
     u = table(spark, d, "supplier").select(F.col("s_suppkey").alias("expert_id"), (F.col("s_nationkey") % 5 == 0).alias("sovereign"), (F.col("s_suppkey") * 100).alias("calls"), F.col("s_acctbal").alias("p95_ms"), F.lit(5000).alias("required_ms"), F.col("s_nationkey").alias("accuracy"), F.lit(3).alias("target"))

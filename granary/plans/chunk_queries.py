@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from granary.operators import chunks, policy
+from granary.operators import chunks, policy, uploads
 from granary.sources import files
 from granary.sources.scratch import shared_dir
 from granary.streaming import events as streams
@@ -90,3 +91,30 @@ def src_corpus_scan(spark, d):
     table(spark, d, "documents").select("lang", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("lang").text(root)
     found = files.scan_corpus(spark, root)
     return found.groupBy(F.regexp_replace("domain", "^lang=", "").alias("domain")).agg(F.sum(F.length("text")).alias("chars"))
+
+
+def _sheets(spark, d, edited: bool):
+    """A file with a sheet for each brand; edited, some sheets lose a third of their rows."""
+    p = table(spark, d, "part")
+    kept = p.where("not (p_brand like '%1' and p_partkey % 3 = 0)") if edited else p
+    price = F.when(F.col("p_partkey") % 5 > 0, F.translate(F.col("p_retailprice").cast("decimal(12,2)").cast("string"), ".", ",")).otherwise("")
+    row = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    return kept.select(F.lit("parts.csv").alias("filename"), F.col("p_brand").alias("sheet"), row.alias("row"), F.array(*map(F.lit, ["key", "type", "price"])).alias("headers"), F.array(F.col("p_partkey").cast("string"), F.col("p_type"), price).alias("cells"))
+
+
+@query("""WITH p AS (SELECT p_brand AS sheet, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r, p_partkey AS k, p_type AS t, CASE WHEN p_partkey % 5 > 0 THEN p_retailprice END AS x FROM part WHERE NOT (p_brand LIKE '%1' AND p_partkey % 3 = 0)),
+l AS (SELECT *, 'key: ' || k || '; type: ' || t || coalesce('; price: ' || replace(x::DECIMAL(12, 2)::VARCHAR, '.', ','), '') AS line, count(*) OVER (PARTITION BY sheet) AS n FROM p),
+c AS (SELECT sheet, (r - 1) // 12 + 1 AS ordinal, 'table_rows' AS kind, sheet || ' — registros ' || min(r) || ' a ' || max(r) || ' de ' || any_value(n) || chr(10) || 'Colunas: key, type, price' || chr(10) || chr(10) || string_agg('[' || r || '] ' || line, chr(10) ORDER BY r) AS text FROM l GROUP BY 1, 2),
+f AS (SELECT x, CASE WHEN x = floor(x) THEN x::BIGINT::VARCHAR ELSE regexp_replace(regexp_replace(printf('%.6f', x), '0+$', ''), '\\.$', '') END AS s FROM (SELECT DISTINCT x::DECIMAL(12, 2)::DOUBLE AS x FROM p)),
+m AS (SELECT sheet, any_value(n) AS n, min(k) AS k0, max(k) AS k1, count(x) AS xs, min(x::DECIMAL(12, 2)::DOUBLE) AS x0, max(x::DECIMAL(12, 2)::DOUBLE) AS x1, string_agg('- ' || line, chr(10) ORDER BY r) FILTER (r <= 3) AS sample FROM l GROUP BY 1),
+s AS (SELECT sheet, 0 AS ordinal, 'table_schema' AS kind, '# ' || sheet || ' — estrutura dos dados' || chr(10) || chr(10) || 'Origem: parts.csv' || chr(10) || 'Registros: ' || n || chr(10) || 'Colunas (3): key, type, price'
+  || CASE WHEN n >= 2 OR xs >= greatest(2, floor(n * 0.6)) THEN chr(10) || chr(10) || 'Colunas numéricas:' ELSE '' END || CASE WHEN n >= 2 THEN chr(10) || '- key: numérica, de ' || k0 || ' a ' || k1 || ' (' || n || ' valores)' ELSE '' END
+  || CASE WHEN xs >= greatest(2, floor(n * 0.6)) THEN chr(10) || '- price: numérica, de ' || a.s || ' a ' || b.s || ' (' || xs || ' valores)' ELSE '' END || chr(10) || chr(10) || 'Primeiros registros como amostra:' || chr(10) || sample AS text
+  FROM m LEFT JOIN f a ON a.x = x0 LEFT JOIN f b ON b.x = x1)
+SELECT 'upload://parts.csv#' || sheet AS uri, ordinal, kind, text FROM (SELECT * FROM c UNION ALL SELECT * FROM s)""".replace("\\\\", "\\"))
+def tab_ingest(spark, d):
+    """Uploaded, edited and uploaded again: only the edited sheets are replaced, and none of their old rows shows."""
+    base = shared_dir(spark)
+    uploads.ingest(_sheets(spark, d, False), base, domain="parts")
+    uploads.ingest(_sheets(spark, d, True), base, domain="parts")
+    return uploads.live_chunks(spark, base).select("uri", "ordinal", "kind", "text")

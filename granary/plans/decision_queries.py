@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.functions import tolerant_json
+from granary.functions import text, tolerant_json
+from granary.operators import answering, arbitration, extraction, policy
 from granary.operators import answers as A
-from granary.operators import arbitration, extraction
 
+from . import fixtures as fx
 from .fixtures import table
-from .queries import query, sql_list
+from .queries import _ENTITY_SQL, _GOVERNED, DICTIONARY, LONG_TOKENS, READERS, query, sql_list
 from .route_queries import _SENTENCES, ASKED
 
 
@@ -141,3 +142,45 @@ def json_extract(spark, d):
     rows = table(spark, d, "documents").withColumn("j", j).select("doc_id", tolerant_json.extracted(raw).alias("v"))
     get = lambda path, kind: F.try_variant_get("v", path, kind)
     return rows.select("doc_id", tolerant_json.kind(F.col("v")).alias("kind"), get("$.doc", "bigint").alias("doc"), get("$.text", "string").alias("text"), get("$[0]", "bigint").alias("head"))
+
+
+# --- whole answers -----------------------------------------------------------------------------------------------------
+
+GATES = [policy.Policy("g-closed", "deny", subjects=("expert:e3",))]
+ANSWER_SCHEMA = {"properties": {"risk": {"enum": ["tion", "der", "que"]}, "summary": {"type": "string"}, "confidence": {"type": "number"}}}
+
+
+def _answered(spark, d):
+    e = F.concat(F.lit("e"), F.col("item_id") % 5)
+    requests = table(spark, d, "benchmark").select(F.col("item_id").alias("request_id"), e.alias("expert_id"), "text")
+    docs = fx.documents(spark, d).select(F.col("document_id").alias("id"), "text", "sensitivity", F.col("domain").alias("resource_domain"))
+    fits = spark.createDataFrame([(f"e{i}", 1.5, -0.25, i > 0) for i in range(4)], "expert_id string, slope double, bias double, fitted boolean")
+    return answering.answered(requests, docs, gates=GATES, readers=READERS, schema=ANSWER_SCHEMA, calibrations=fits, dictionary=DICTIONARY, produced=["Answer", "the"])
+
+
+_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '\S+'))"
+_ANSWERED = _GOVERNED + rf""",
+wanted AS (SELECT item_id AS request_id, 'e' || (item_id % 5) AS expert_id, item_id % 5 = 3 AS skip, list_filter(list_distinct({LONG_TOKENS}), lambda x: NOT list_contains({sql_list(text.EXTRACTIVE_STOP_WORDS)}, x)) AS tokens FROM benchmark),
+six AS (SELECT query_id AS request_id, walked.id, score, before + 1 AS rank, text, {_ENTITY_SQL} AS names, sum(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE greatest(floor({_WORDS} * 1.3::DOUBLE)::BIGINT + 1, length(text) // 4) END) OVER (PARTITION BY query_id ORDER BY rank) AS running
+  FROM walked JOIN documents ON doc_id = walked.id WHERE effect <> 'deny' AND before < 6 AND query_id % 5 <> 3),
+kept AS (SELECT * FROM six WHERE running <= 1500 OR rank = 1),
+ps AS (SELECT request_id, rank, unnest(q) AS sentence, generate_subscripts(q, 1) AS pos FROM (SELECT request_id, rank, {_SENTENCES} AS q FROM kept)),
+fs AS (SELECT * FROM ps QUALIFY row_number() OVER (PARTITION BY request_id, lower(substr(sentence, 1, 80)) ORDER BY rank, pos) = 1),
+rs AS (SELECT fs.*, len(list_intersect(list_distinct(regexp_extract_all(lower(sentence), '[\p{{L}}\p{{N}}_×÷]{{3,}}')), tokens)) / len(tokens) AS hit FROM fs JOIN wanted USING (request_id) WHERE len(tokens) > 0),
+best AS (SELECT request_id, (list(sentence ORDER BY hit DESC, rank, pos))[1:3] AS said, count(*) AS found, max(hit) AS top FROM rs WHERE hit > 0 GROUP BY 1),
+cites AS (SELECT request_id, list(id ORDER BY rank) AS ids FROM kept GROUP BY 1),
+whole AS (SELECT wanted.*, coalesce(said, []) AS said, lower(coalesce(array_to_string(said, ' '), '')) AS hay, ids, CASE WHEN skip THEN 0 WHEN found IS NULL THEN 0.1 ELSE round(least(0.95, 0.25::DOUBLE + 0.55::DOUBLE * top + 0.20::DOUBLE * least(found, 5) / 5), 4) END::DOUBLE AS raw_confidence,
+  list_concat(['Answer', 'the'], coalesce(flatten((SELECT list(names ORDER BY rank) FROM kept WHERE kept.request_id = wanted.request_id AND rank <= 5)), [])) AS named FROM wanted LEFT JOIN best USING (request_id) LEFT JOIN cites USING (request_id))"""
+
+
+@query(_ANSWERED + f""", hits AS (SELECT *, list_transform(['tion', 'der', 'que'], lambda c: (length(hay) - length(replace(hay, c, ''))) // length(c)) AS h, least(greatest(raw_confidence, 1e-6), 1 - 1e-6) AS p FROM whole)
+SELECT request_id, CASE WHEN skip THEN 'skipped' ELSE 'ok' END AS status, CASE WHEN skip THEN '' WHEN len(said) = 0 THEN '{extraction.NOTHING_FOUND}' ELSE array_to_string(list_transform(said, lambda q: rtrim(q, '.') || '.'), ' ') END AS content,
+(['tion', 'der', 'que'])[list_position(h, list_max(h))] AS risk, raw_confidence, CASE WHEN skip THEN 0 WHEN expert_id IN ('e1', 'e2') THEN round(1 / (1 + exp(-(1.5::DOUBLE * ln(p / (1 - p)) - 0.25::DOUBLE))), 6) ELSE round(0.5::DOUBLE + (raw_confidence - 0.5::DOUBLE) * 0.6::DOUBLE, 6) END::DOUBLE AS confidence,
+expert_id IN ('e1', 'e2') AS calibrated, coalesce(array_to_string(ids, ','), '') AS citations FROM hits""")
+def answer_pipeline(spark, d):
+    return _answered(spark, d).select("request_id", "status", "content", "structured.risk", "raw_confidence", "confidence", "calibrated", F.array_join(F.transform("citations", lambda x: x.cast("string")), ",").alias("citations"))
+
+
+@query(_ANSWERED + " SELECT request_id, CASE WHEN skip THEN '' ELSE array_to_string(list_filter(named, lambda n, i: list_position(named, n) = i), ',') END AS entities FROM whole")
+def answer_entities(spark, d):
+    return _answered(spark, d).select("request_id", F.array_join(F.transform("entities", lambda x: x["name"]), ",").alias("entities"))

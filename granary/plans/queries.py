@@ -223,14 +223,29 @@ def graph_semantic_topk(spark, d):
 READERS = [policy.Policy("p-public", "allow", 10, resources=("sensitivity:public",)), policy.Policy("p-deny", "deny", 200, resources=("sensitivity:restricted",)), policy.Policy("p-review", "require_approval", 150, resources=("sensitivity:confidential",))]
 
 
-@query(_RETRIEVE + f", docs AS ({fx.SQL['docs']}), g AS (SELECT s.*, CASE WHEN sensitivity = 'confidential' THEN 'require_approval' ELSE 'allow' END AS effect FROM s JOIN docs ON document_id = id WHERE sensitivity <> 'restricted' AND score > 0) SELECT query_id, id, score, effect, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 6")
-def retrieve_governed(spark, d):
-    """The flagship: hybrid search over what the policies let through, filtered before the top-k."""
+_GOVERNED = _RETRIEVE + f""", docs AS ({fx.SQL['docs']}), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM s WHERE score > 0 QUALIFY rank <= 18),
+g AS (SELECT top.*, sensitivity, CASE WHEN sensitivity = 'restricted' THEN 'deny' WHEN sensitivity = 'confidential' THEN 'require_approval' ELSE 'allow' END AS effect FROM top JOIN docs ON document_id = id),
+walked AS (SELECT *, coalesce(count(*) FILTER (effect <> 'deny') OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g)"""
+
+
+def _governed(spark, d):
+    """Three times as many as wanted are fetched, and walked in their order."""
     docs = fx.documents(spark, d).select(F.col("document_id").alias("id"), "text", "sensitivity", F.col("domain").alias("resource_domain"))
-    judged = docs.withColumn("d", policy.decision(READERS))
-    allowed = judged.where("d.effect <> 'deny'").select("id", "text", F.col("d.effect").alias("effect"))
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return retrieval.hybrid_search(q, allowed, dictionary=DICTIONARY).join(allowed.select("id", "effect"), "id").select("query_id", "id", "score", "effect", "rank")
+    found = retrieval.hybrid_search(q, docs.select("id", "text"), k=18, dictionary=DICTIONARY)
+    judged = docs.withColumn("d", policy.decision(READERS)).select("id", "d.effect", "d.policy_id")
+    return retrieval.governed(found, judged)
+
+
+@query(_GOVERNED + " SELECT query_id, id, score, effect, (before + 1)::INTEGER AS rank FROM walked WHERE effect <> 'deny' AND before < 6")
+def retrieve_governed(spark, d):
+    """The flagship: hybrid search, of which policies let through the first six."""
+    return _governed(spark, d)[0].select("query_id", "id", "score", "effect", "rank")
+
+
+@query(_GOVERNED + " SELECT query_id, id, 'p-deny' AS policy_id, rank FROM walked WHERE effect = 'deny' AND before < 6")
+def retrieve_denials(spark, d):
+    return _governed(spark, d)[1].select("query_id", "id", "policy_id", "rank")
 
 
 @query(f"SELECT doc_id, array_to_string({_ENTITY_SQL}, ',') AS entities FROM documents")

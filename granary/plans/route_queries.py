@@ -11,7 +11,7 @@ from granary.streaming import events as streams
 
 from . import fixtures as fx
 from .fixtures import sql, table
-from .queries import _ENTITY_SQL, _PLAN, DICTIONARY, LONG_TOKENS, _plan, query, sql_list
+from .queries import _ENTITY_SQL, _PLAN, DICTIONARY, LONG_TOKENS, _plan, embedded, query, sql_list
 
 CAPABILITIES = [
     ("german_terms", "e0", "de", ["der", "die", "und"], ["von der", "die sich"], "ein text", ["der"]),
@@ -48,9 +48,23 @@ def route_lexical(spark, d):
     return _found(spark, d).select("request_id", "capability_id", "lexical")
 
 
-@query(f"WITH {_match_sql()} SELECT *, row_number() OVER w AS rank FROM m WINDOW w AS (PARTITION BY request_id ORDER BY score DESC, capability_id) QUALIFY row_number() OVER w <= 3")
+def _said() -> str:
+    """The texts of the capabilities, as rows (id, text)."""
+    rows = ", ".join(f"('{c}', '{' '.join([c.replace('_', ' '), s, *k, *e])}')" for c, _, _, k, e, s, _ in CAPABILITIES)
+    return f"SELECT * FROM (VALUES {rows}) x(id, text)"
+
+
+@query(f"""WITH {_match_sql()}, {embedded("hq", "SELECT item_id AS id, text FROM benchmark")}, {embedded("hk", _said())},
+nq AS (SELECT id, sqrt(sum(v * v)) AS n FROM hq GROUP BY id), nk AS (SELECT id, sqrt(sum(v * v)) AS n FROM hk GROUP BY id),
+near AS (SELECT hq.id AS request_id, hk.id AS capability_id, round(greatest(0, sum(hq.v * hk.v) / any_value(nq.n * nk.n)), 6) AS semantic FROM hq JOIN hk USING (i) JOIN nq ON nq.id = hq.id JOIN nk ON nk.id = hk.id GROUP BY ALL),
+w AS (SELECT b.*, coalesce(near.semantic, 0) AS semantic, (0.45::DOUBLE * coalesce(near.semantic, 0) + 0.35::DOUBLE * lex + 0.20::DOUBLE * coalesce(ent, 0)) / (0.80::DOUBLE + CASE WHEN ent IS NULL THEN 0 ELSE 0.20::DOUBLE END) AS x FROM b LEFT JOIN near USING (request_id, capability_id)),
+z AS (SELECT request_id, capability_id, expert_id, domain, semantic, round(lex, 6) AS lexical, round(ent, 6) AS entity,
+  round(least(least(CASE WHEN (semantic >= 0.4)::INT + (lex >= 0.4)::INT + (coalesce(ent, 0) >= 0.4)::INT >= 2 THEN x + 0.25::DOUBLE * (1 - x) ELSE x END, 1) * (0.6::DOUBLE + 0.4::DOUBLE * ds), 1.0), 6) AS score FROM w)
+SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, capability_id)::INTEGER AS rank FROM z QUALIFY rank <= 3""")
 def route_match(spark, d):
-    return routing.best_matches(_found(spark, d), 3)
+    """With the cosine of request and capability as a third signal."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("request_id"), "text", entities_of(F.col("text"), DICTIONARY).alias("entities"))
+    return routing.best_matches(routing.matches(asked, CAPABILITIES, DOMAIN_SCORES, embedded=True), 3)
 
 
 @query(f"""WITH {_match_sql()}, n AS (SELECT *, max(score) OVER (PARTITION BY request_id) AS best FROM m WHERE score >= 0.2),
@@ -225,9 +239,16 @@ def route_should_plan(spark, d):
     return both.select("request_id", routing.should_plan(F.col("text"), F.col("domains"), 1 + F.col("request_id") % 2, F.col("confidence")).alias("planned"))
 
 
-@query("WITH " + _match_sql() + ", best AS (SELECT request_id, max(score) AS top FROM m GROUP BY ALL) SELECT item_id AS request_id, round(CASE WHEN coalesce(top, 0) >= 0.2 THEN top ELSE 0 END, 6) AS best, CASE WHEN coalesce(top, 0) < 0.2 THEN 'no capability matched' WHEN top < 0.55 THEN 'low confidence' END AS reason FROM benchmark LEFT JOIN best ON best.request_id = item_id")
+@query("WITH " + _classify_sql() + """, n AS (SELECT *, max(score) OVER (PARTITION BY request_id) AS best FROM m WHERE score >= 0.2),
+x AS (SELECT * FROM n WHERE score >= greatest(0.2, best * 0.55::DOUBLE) QUALIFY row_number() OVER (PARTITION BY request_id, expert_id ORDER BY score DESC, capability_id) = 1),
+g AS (SELECT request_id, count(*) AS subtasks, 0.6::DOUBLE * min(score) + 0.4::DOUBLE * avg(score) AS core FROM x GROUP BY 1),
+p AS (SELECT cls.request_id, coalesce(subtasks, 0) AS subtasks, CASE WHEN core IS NULL THEN 0 ELSE round(greatest(0, least(1, core + (1 - core) * 0.35::DOUBLE * confidence)), 4) END::DOUBLE AS confidence FROM cls LEFT JOIN g USING (request_id))
+SELECT request_id, subtasks, confidence, CASE WHEN subtasks = 0 THEN 'no capability in the graph covers this request' WHEN confidence < 0.55 THEN 'below' END AS reason FROM p""")
 def route_escalate(spark, d):
-    return routing.escalation(fx.requests(spark, d), routing.planned(_found(spark, d))).select("request_id", F.round("best", 6).alias("best"), "reason")
+    """By the confidence of the whole plan: its weakest step, their mean, and how well the request was classified."""
+    steps = routing.planned(_found(spark, d)).join(_classified(spark, d).select("request_id", F.col("confidence").alias("classification")), "request_id").select("request_id", F.col("score").alias("confidence"), F.lit(True).alias("matched"), "classification")
+    out = routing.escalation(fx.requests(spark, d), steps)
+    return out.withColumn("reason", F.when(F.startswith("reason", F.lit("routing confidence")), "below").otherwise(F.col("reason")))
 
 
 @query("WITH " + _classify_sql() + ", top AS (SELECT request_id, capability_id, score FROM m QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, capability_id) = 1) SELECT cls.request_id, domains, confidence, capability_id, round(score, 6) AS score, coalesce(score < 0.55, true) AS would_escalate FROM cls LEFT JOIN top USING (request_id)")

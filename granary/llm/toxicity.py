@@ -1,17 +1,17 @@
 """Toxicity: a linear-chain conditional random field tags toxic tokens; its marginals give document scores and offsets.
 
 Tokens are runs of letters, digits and bytes beyond ASCII, lower-cased A-Z. Labels are of documents, so the tags of their
-tokens are latent. They begin as a guess: a token of a toxic document is tagged if one of its prefixes (3 to 8 bytes, or the
-whole token) stands in at least min_docs toxic documents and min_share of them, and its share of toxic documents is min_ratio
-times that of clean ones; training documents of equal tokens count once. The field is trained on the guess; then its own
-marginals tag the toxic documents anew (clean documents have no toxic token), and it is trained on
-those tags, for as many turns as asked: hard expectation maximisation of the document labels. One turn is the default, as
-further ones flag more clean documents where labels are noisy.
-The field has two tags; its emissions are hashed prefixes, suffix, whole token and the neighbours' five-byte prefixes,
-its transitions are the pairs of tags. It is trained by gradient ascent on the conditional log-likelihood of sentences
-of up to 64 tokens, with the expected counts of forward-backward. A document's score is a logistic function, fitted on
-the training documents, of the log-odds that none of its tokens is toxic and the log of the expected number of toxic
-tokens.
+tokens are latent: a clean document has no toxic token, a toxic one has one at least. They are found by expectation
+maximisation. To begin with, a toxic document has one toxic token in all, shared out over its tokens by the odds that
+toxic documents rather than clean ones have its features; where all are alike, as in a phrase of ordinary words, evenly. In
+each turn the field is trained on these expected tags and pairs of tags, and expects new ones: its marginals divided by its
+probability that the document has a toxic token, where a share of labels may be wrong.
+
+The field has two tags; its emissions are hashed prefixes (3 to 8 bytes), suffix, whole token, and the token with each of its
+neighbours; its transitions are the pairs of tags. It is trained by gradient ascent on the conditional log-likelihood of
+sentences of up to 64 tokens, with the expected counts of forward-backward; training documents of equal tokens count once, and
+features of a single document don't. A document's score is a logistic function, fitted on the training documents, of the
+log-odds of the chain that some token is toxic and the log of the expected number of toxic tokens.
 
 Cases: a null or empty text has no token and scores 0; rows keep their number; without labels of both classes all
 scores are 0. Columns other than the id and the text are not read.
@@ -60,8 +60,9 @@ def token_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
             long, e = n >= 3, ends[lo:hi] - a
             f[lo:hi, SUFFIX][long] = mix(h.of(e[long] - 3, e[long]) + np.uint64(100))
     same = row[1:] == row[:-1]
-    f[1:, BEFORE][same] = mix(five[:-1][same] + np.uint64(101))
-    f[:-1, AFTER][same] = mix(five[1:][same] + np.uint64(102))
+    pair = mix(mix(five[:-1][same]) ^ five[1:][same])
+    f[1:, BEFORE][same] = mix(pair + np.uint64(101))
+    f[:-1, AFTER][same] = mix(pair + np.uint64(102))
     return starts, ends, row, f
 
 
@@ -90,7 +91,7 @@ class ToxicityModel:
     def scores(self, texts: pa.Array) -> np.ndarray:
         out = np.zeros(len(texts))
         for lo, _, _, row, p, _, _, n in self.tagged(texts):
-            out[lo : lo + n] = self.link_of(*summary(row, p, n))
+            out[lo : lo + n] = self.link_of(*summary(row, p, self.step, n))
         return out
 
     def link_of(self, odds: np.ndarray, count: np.ndarray, any_: np.ndarray) -> np.ndarray:
@@ -98,9 +99,9 @@ class ToxicityModel:
         return np.where(any_, 1 / (1 + np.exp(-np.clip(z, -40, 40))), 0.0)
 
 
-def summary(row: np.ndarray, p: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def summary(row: np.ndarray, p: np.ndarray, step: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each document: log-odds that a token is toxic (within 12 of 0), log of the expected number, whether it has tokens."""
-    none = np.bincount(row, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n)
+    none = log_none(p, row, step, n)
     odds = np.log(np.maximum(-np.expm1(none), 1e-12)) - none
     return np.clip(odds, -12, 12), np.log1p(np.bincount(row, p, minlength=n)), np.bincount(row, minlength=n) > 0
 
@@ -181,93 +182,143 @@ def _tokens(batches):
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["y", "f"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 18, epochs: int = 6, least_steps: int = 200, turns: int = 1, rate: float = 0.2, min_docs: int = 2, min_share: float = 0.015, min_ratio: float = 20.0, max_rows: int = MAX_TRAIN_ROWS, max_bytes: int = MAX_TRAIN_BYTES, seed: int = 11) -> ToxicityModel:
-    """Fit on a bounded sample of labelled documents, up to max_rows and max_bytes of each class; learn is a condition on the column id."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAIN_ROWS, max_bytes: int = MAX_TRAIN_BYTES, **training) -> ToxicityModel:
+    """Fit on a bounded sample of labelled documents, up to max_rows and max_bytes of each class; learn is a condition on the column id, training as in fit_field."""
     small_batches(docs.sparkSession)
     learn = F.lit(True) if learn is None else learn
     sample = bounded_sample(docs, labels, label, learn, id_col, text_col, max_rows, max_bytes, True)
     rows = sample.mapInArrow(tidy(_tokens), "y int, f binary").collect()
-    rows.sort(key=lambda r: (r.y, r.f))
-    ys = np.array([r.y for r in rows], np.int64)
-    empty = ToxicityModel(np.zeros(buckets, np.float32), np.zeros((2, 2)), -30.0)
-    if not len(ys) or ys.min() == ys.max():
-        return empty
-    rows = list({(r.y, r.f): r for r in rows}.values())
-    ys = np.array([r.y for r in rows], np.int64)
-    feats = [np.frombuffer(r.f, np.uint64).reshape(-1, WIDTH) for r in rows]
-    del rows
-    bad = toxic_prefixes(feats, ys, max(min_docs, min_share * ys.sum()), min_ratio)
-    tags = [np.isin(f[:, : 1 + len(PREFIXES)], bad).any(1) if y else np.zeros(len(f), bool) for f, y in zip(feats, ys, strict=True)]
-    model = None
-    for turn in range(turns):
-        model = _train(feats, tags, model, buckets, epochs if turn == 0 else max(1, epochs // 3), least_steps, rate, seed + turn)
-        tags = _retagged(model, feats, ys)
+    rows = list({(r.y, r.f): r for r in sorted(rows, key=lambda r: (r.y, r.f))}.values())
+    return fit_field([np.frombuffer(r.f, np.uint64).reshape(-1, WIDTH) for r in rows], np.array([r.y for r in rows], np.int64), **training)
+
+
+def fit_field(feats: list[np.ndarray], ys: np.ndarray, *, buckets: int = 1 << 18, turns: int = 8, epochs: int = 1, least_steps: int = 40, rate: float = 0.2, noise: float = 0.05, min_docs: int = 2, sharpness: float = 2.0, missed: float = 2.5, seed: int = 11) -> ToxicityModel:
+    """The field of documents, each as its tokens' features, and their labels, by expectation maximisation over the tags."""
+    if not len(ys) or ys.min() == ys.max() or not sum(map(len, feats)):
+        return ToxicityModel(np.zeros(buckets, np.float32), np.zeros((2, 2)), -30.0)
     lens = np.array([len(f) for f in feats])
+    spans = sum(-(-n // SPAN) for n in lens)
+    held, odds = document_odds(feats, ys, min_docs)
+    whole, feats = feats, [np.where(held[np.minimum(np.searchsorted(held, f), len(held) - 1)] == f, f, np.uint64(0)) for f in feats]
+    model = ToxicityModel(np.zeros(buckets, np.float32), np.zeros((2, 2)), -float(np.log(max(2.0, lens[ys == 1].mean()))))
+    tags, pairs = soft_start(feats, ys, held, odds, sharpness)
+    for turn in range(turns):
+        model = _train(feats, tags, pairs, model, max(epochs, -(-least_steps * 64 // spans)), rate, seed + turn)
+        tags, pairs = expected(model, feats, ys, noise)
+    feats = whole
     row = np.repeat(np.arange(len(feats)), lens)
     p = np.concatenate([model.marginals(f, np.zeros(len(f), np.int64)) for f in feats])
-    odds, count, any_ = summary(row, p, len(feats))
-    model.link = _logistic(np.stack([odds, count], 1)[any_], ys[any_])
+    odds, count, any_ = summary(row, p, model.step, len(feats))
+    model.link = _logistic(np.stack([odds, count], 1)[any_], ys[any_], missed)
     return model
 
 
-def toxic_prefixes(feats: list[np.ndarray], ys: np.ndarray, min_docs: float, min_ratio: float) -> np.ndarray:
-    """Hashes of the prefixes and whole tokens that mark toxic documents."""
-    own = [np.unique(f[:, : 1 + len(PREFIXES)]) for f in feats]
-    bad, in_bad = np.unique(np.concatenate([x for x, y in zip(own, ys, strict=True) if y]), return_counts=True)
-    good, in_good = np.unique(np.concatenate([x for x, y in zip(own, ys, strict=True) if not y]), return_counts=True)
-    at = np.minimum(np.searchsorted(good, bad), max(0, len(good) - 1))
-    clean = np.where(good[at] == bad, in_good[at], 0) if len(good) else np.zeros(len(bad))
-    ratio = (in_bad / ys.sum()) / ((clean + 0.5) / (len(ys) - ys.sum() + 1))
-    return bad[(in_bad >= min_docs) & (ratio >= min_ratio) & (bad != 0)]
+def document_odds(feats: list[np.ndarray], ys: np.ndarray, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of min_docs documents or more, and the smoothed log-odds of toxic documents against clean ones to have each.
 
+    A feature that fewer documents have could only tell these documents apart, so training leaves it out.
+    """
+    own = [np.unique(f) for f in feats]
+    held, place = np.unique(np.concatenate(own), return_inverse=True)
+    bad = np.bincount(place, np.repeat(ys.astype(float), [len(x) for x in own]), minlength=len(held))
+    good = np.bincount(place, minlength=len(held)) - bad
+    odds = np.log((bad + 0.5) / (ys.sum() + 1)) - np.log((good + 0.5) / (len(ys) - ys.sum() + 1))
+    keep = (bad + good >= min_docs) & (held != 0)
+    return held[keep], odds[keep]
+
+
+def soft_start(feats: list[np.ndarray], ys: np.ndarray, held: np.ndarray, odds: np.ndarray, sharpness: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Tags and pairs to begin with: a toxic document has one toxic token, its tokens by their own best feature's odds; where all are alike each is as likely."""
+    tags, pairs = [], []
+    for f, y in zip(feats, ys, strict=True):
+        q = np.zeros(len(f))
+        if y and len(f):
+            at = np.minimum(np.searchsorted(held, f), len(held) - 1)
+            best = np.where(held[at] == f, odds[at], -1.0).max(1)
+            q = np.exp(sharpness * (best - best.max()))
+            q /= q.sum()
+        a, b = q[:-1], q[1:]
+        tags.append(q)
+        pairs.append(np.stack([(1 - a) * (1 - b), (1 - a) * b, a * (1 - b), a * b], 1).reshape(-1, 2, 2))
+    return tags, pairs
+
+
+def log_none(p: np.ndarray, row: np.ndarray, step: np.ndarray, n: int) -> np.ndarray:
+    """Of each document, the log of the chain's probability that no token is toxic: the first token's, then each one's after a clean one."""
+    if not len(p):
+        return np.zeros(n)
+    clean = np.log1p(-np.minimum(p, 1 - 1e-12))
+    after = np.empty(len(p))
+    after[0] = clean[0]
+    after[1:] = np.where(row[1:] == row[:-1], np.log(np.maximum(_pairs(p, step)[:, 0, 0], 1e-300)) - clean[:-1], clean[1:])
+    return np.bincount(row, np.minimum(after, 0), minlength=n)
+
+
+def expected(model: ToxicityModel, feats: list[np.ndarray], ys: np.ndarray, noise: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Tags and pairs of tags of each document, expected by the field given its label.
+
+    A clean document has no toxic token. A toxic one has one at least, so its marginals are divided by the probability of that;
+    noise is the share of documents without a toxic token that are labelled toxic, and leaves such a document as it is read.
+    """
+    tags, pairs = [], []
+    for f, y in zip(feats, ys, strict=True):
+        zero = np.zeros(len(f), np.int64)
+        if not y or not len(f):
+            none = np.zeros((max(0, len(f) - 1), 2, 2))
+            none[:, 0, 0] = 1
+            tags.append(np.zeros(len(f)))
+            pairs.append(none)
+            continue
+        p = model.marginals(f, zero)
+        clean = np.exp(log_none(p, zero, model.step, 1)[0])
+        scale = 1 / (1 - clean + noise * clean)
+        own = _pairs(p, model.step) * scale
+        tags.append(np.minimum(p * scale, 1.0))
+        own[:, 0, 0] = np.maximum(0, 1 - own[:, 0, 1] - own[:, 1, 0] - own[:, 1, 1])
+        pairs.append(own)
+    return tags, pairs
+
+
+def _gradients(f: np.ndarray, y: np.ndarray, seen: np.ndarray, row: np.ndarray, w: np.ndarray, step: np.ndarray, first: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Buckets and their gradients, and those of the transitions and the bias: what is expected given the labels less what the field expects.
+
+    y are the tags of the tokens of features f, from 0 to 1; seen the sum of their pairs.
+    """
+    bucket, on = (f & np.uint64(len(w) - 1)).astype(np.int64), f != 0
+    p = chain((w[bucket] * on).sum(1) + first, row, step)
+    diff = y - p
+    used, place = np.unique(bucket[on], return_inverse=True)
+    grad = np.bincount(place, np.repeat(diff[:, None], WIDTH, 1)[on], minlength=len(used))
+    return used, grad, seen - _pairs(p, step)[row[1:] == row[:-1]].sum(0), diff.sum()
 
-def _train(feats: list[np.ndarray], tags: list[np.ndarray], model: ToxicityModel | None, buckets: int, epochs: int, least_steps: int, rate: float, seed: int) -> ToxicityModel:
-    """Adagrad on spans of SPAN tokens, 64 at a time, from the weights of model if there is one."""
+
+def _train(feats: list[np.ndarray], tags: list[np.ndarray], pairs: list[np.ndarray], model: ToxicityModel, epochs: int, rate: float, seed: int) -> ToxicityModel:
+    """Adagrad on spans of SPAN tokens, 64 at a time, from the weights of model."""
     rng = np.random.default_rng(seed)
     spans = [(i, lo) for i, f in enumerate(feats) for lo in range(0, len(f), SPAN)]
-    w, g2 = np.zeros(buckets), np.full(buckets, 1e-2)
-    step, step2, first, first2 = np.zeros((2, 2)), np.full((2, 2), 1.0), -3.0, 1.0
-    if model is not None:
-        w, step, first = model.weights.astype(float), model.step.copy(), model.first
-    for _ in range(max(epochs, -(-least_steps * 64 // max(1, len(spans))))):
+    w, step, first = model.weights.astype(float), model.step.copy(), model.first
+    g2, step2, first2 = np.full(len(w), 1e-2), np.full((2, 2), 1.0), 1.0
+    for _ in range(epochs):
         order = rng.permutation(len(spans))
         for lo in range(0, len(order), 64):
             part = [spans[i] for i in order[lo : lo + 64]]
             f = np.concatenate([feats[i][a : a + SPAN] for i, a in part])
-            y = np.concatenate([tags[i][a : a + SPAN] for i, a in part]).astype(float)
+            y = np.concatenate([tags[i][a : a + SPAN] for i, a in part])
             row = np.repeat(np.arange(len(part)), [min(SPAN, len(feats[i]) - a) for i, a in part])
-            bucket, on = (f & np.uint64(buckets - 1)).astype(np.int64), f != 0
-            p = chain((w[bucket] * on).sum(1) + first, row, step)
-            diff = y - p  # observed less expected
-            used, place = np.unique(bucket[on], return_inverse=True)
-            grad = np.bincount(place, np.repeat(diff[:, None], WIDTH, 1)[on], minlength=len(used)) - 1e-4 * w[used]
+            seen = np.sum([pairs[i][a : a + SPAN - 1].sum(0) for i, a in part], 0)
+            used, grad, turn, bias = _gradients(f, y, seen, row, w, step, first)
+            grad -= 1e-4 * w[used]
             g2[used] += grad**2
             w[used] += rate * grad / np.sqrt(g2[used])
-            near = row[1:] == row[:-1]
-            pair = _pairs(p, step)[near].sum(0)
-            a, b = y[:-1][near].astype(int), y[1:][near].astype(int)
-            seen = np.bincount(2 * a + b, minlength=4).reshape(2, 2)
-            d = (seen - pair) / 64 - 1e-3 * step
+            d = turn / 64 - 1e-3 * step
             step2 += d**2
             step += rate * d / np.sqrt(step2)
-            d = diff.sum() / 64
+            d = bias / 64
             first2 += d**2
             first += rate * d / np.sqrt(first2)
     return ToxicityModel(w.astype(np.float32), step, float(first))
 
 
-def _retagged(model: ToxicityModel, feats: list[np.ndarray], ys: np.ndarray) -> list[np.ndarray]:
-    """The field's own reading of the labels: in a toxic document the tokens of marginal 0.5 or more, none in a clean one. Toxic labels that no token bears out are so taken as noise."""
-    out = []
-    for f, y in zip(feats, ys, strict=True):
-        tag = np.zeros(len(f), bool)
-        if y and len(f):
-            p = model.marginals(f, np.zeros(len(f), np.int64))
-            tag = p >= 0.5
-        out.append(tag)
-    return out
-
-
 def _pairs(p: np.ndarray, step: np.ndarray) -> np.ndarray:
     """Expected pairs of tags at each pair of neighbours, of the marginals p: the joint that has both marginals and the field's odds ratio.
 
@@ -284,10 +335,10 @@ def _pairs(p: np.ndarray, step: np.ndarray) -> np.ndarray:
     return np.stack([1 - a - b + both, b - both, a - both, both], 1).reshape(-1, 2, 2)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Newton's method with a small ridge; both classes weigh the same."""
+def _logistic(x: np.ndarray, y: np.ndarray, missed: float) -> np.ndarray:
+    """Newton's method with a small ridge; the toxic class weighs missed times the clean one, as the field knows training documents better than others."""
     x = np.concatenate([np.ones((len(x), 1)), x], 1)
-    weigh = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    weigh = np.where(y == 1, 0.5 * missed / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     beta = np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -309,7 +360,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
         for batch in batches:
             score, spans = np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
             for lo, starts, ends, row, p, at, data, n in held.value.tagged(batch.column(1)):
-                score[lo : lo + n] = held.value.link_of(*summary(row, p, n))
+                score[lo : lo + n] = held.value.link_of(*summary(row, p, held.value.step, n))
                 hot = np.flatnonzero(p >= token_threshold)
                 lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]) if len(hot) else None
                 for i in hot:

@@ -27,8 +27,10 @@ from .common import small_batches, tidy
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
+#: Where a chunk begins: a space or mark after something else.
+_BORDER = re.compile(f"(?<=[^ {MARK}])[ {MARK}]")
 #: Chunks that a worker remembers at most, some 60 MB, and characters of the texts that are cut into chunks at once.
-CACHE, AT_ONCE = 150_000, 1 << 20
+CACHE, AT_ONCE = 150_000, 1 << 18
 #: Symbols of a chunk from which it gets a heap.
 LONG = 48
 #: Symbols that aren't pieces count from here, by code point.
@@ -138,8 +140,9 @@ class PieceCodec:
         return out
 
     @staticmethod
-    def chunks(text: str) -> list[str]:
-        return _CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
+    def chunks(text: str, begun: bool = False) -> list[str]:
+        """The chunks of a text; of a part of one, begun tells that it isn't the first."""
+        return _CHUNK.findall((MARK if not begun else "") + text.replace(" ", MARK)) if text else []
 
     def learn(self, fresh: list[str]) -> None:
         """Encode chunks not seen before, check them, and keep the ids of each as text."""
@@ -171,25 +174,69 @@ class PieceCodec:
             finally:
                 gc.enable()
 
-    def coded(self, own: list[str]) -> tuple[int, str, str]:
-        """Number of ids, ids joined by commas, and decoded text of a text's known chunks."""
-        if not own:
-            return 0, "", ""
-        ids, parts = zip(*map(self.known.__getitem__, own), strict=True)
-        joined = ",".join(ids)
-        return joined.count(",") + 1, joined, b"".join(parts).decode("utf-8", "replace").removeprefix(" ")
-
-
-    def each(self, texts: list[str | None]):
-        """coded of each text, some texts at a time."""
-        lo, size = 0, 0
-        for hi, text in enumerate(texts, 1):
-            size += len(text or "")
-            if size >= AT_ONCE or hi == len(texts):
-                own = [self.chunks(x or "") for x in texts[lo:hi]]
-                self.remember(own)
-                yield from map(self.coded, own)
-                lo, size = hi, 0
+    def each(self, texts: list[str | None], keep: bool = False):
+        """The Result of each text, with ids and decoded text if keep.
+
+        Texts are cut into slices at chunk borders, so a long one is never held as chunks as a whole; the slices of AT_ONCE
+        characters are encoded together, whether they are of one text or of many.
+        """
+        held: list[tuple[Result, list[str], bool]] = []
+        size = 0
+        for text in texts:
+            out = Result(keep)
+            for part, last in sliced(text or ""):
+                held.append((out, self.chunks(part, out.begun), last))
+                out.begun = True
+                size += len(part)
+                if size >= AT_ONCE:
+                    yield from self._flush(held)
+                    held, size = [], 0
+        yield from self._flush(held)
+
+    def _flush(self, held: list[tuple[Result, list[str], bool]]):
+        self.remember([own for _, own, _ in held])
+        for out, own, last in held:
+            out.add(list(map(self.known.__getitem__, own)))
+            if last:
+                yield out
+
+
+class Result:
+    """What is known of a text's ids and of the text that they decode to, as far as it has been encoded."""
+
+    def __init__(self, keep: bool):
+        self.n_tokens, self.ids, self.bytes, self.begun = 0, hashlib.sha256(), hashlib.sha256(), False
+        self.kept: tuple[list[str], list[bytes]] | None = ([], []) if keep else None
+
+    def add(self, chunks: list[tuple[str, bytes]]) -> None:
+        if not chunks:
+            return
+        ids, parts = zip(*chunks, strict=True)
+        joined, decoded = ",".join(ids), b"".join(parts)
+        # Bytes of a chunk that aren't UTF-8 are replaced within it, as chunks begin with a space.
+        decoded = decoded.decode("utf-8", "replace").encode()
+        if self.n_tokens:
+            joined_on = "," + joined
+        else:
+            joined_on, decoded = joined, decoded.removeprefix(b" ")
+        self.n_tokens += joined.count(",") + 1
+        self.ids.update(joined_on.encode())
+        self.bytes.update(decoded)
+        if self.kept:
+            self.kept[0].append(joined)
+            self.kept[1].append(decoded)
+
+
+def sliced(text: str, size: int = AT_ONCE):
+    """(part, whether it is the last) of a text, cut where chunks begin, each of size characters or as many as it takes to the next such place."""
+    lo = 0
+    while True:
+        border = _BORDER.search(text, lo + size) if lo + size < len(text) else None
+        hi = border.start() if border else len(text)
+        yield text[lo:hi], hi == len(text)
+        if hi == len(text):
+            return
+        lo = hi
 
 
 _codecs: dict[str, PieceCodec] = {}
@@ -211,9 +258,9 @@ def encode_pieces(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", t
         coder = codec(model_path)
         for batch in batches:
             cols: list[list] = [[] for _ in names[1:]]
-            for n, joined, decoded in coder.each(batch.column(1).to_pylist()):
-                row = (n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                for c, v in zip(cols, row + (([int(i) for i in joined.split(",")] if joined else [], decoded) if with_ids else ()), strict=True):
+            for r in coder.each(batch.column(1).to_pylist(), with_ids):
+                more = ([int(i) for i in ",".join(r.kept[0]).split(",")] if r.n_tokens else [], b"".join(r.kept[1]).decode()) if with_ids else ()
+                for c, v in zip(cols, (r.n_tokens, r.ids.hexdigest(), r.bytes.hexdigest(), *more), strict=True):
                     c.append(v)
             kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names)

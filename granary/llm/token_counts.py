@@ -1,7 +1,9 @@
 """Token counts: the exact histogram of encoded lengths answers totals, quantiles and truncated totals for any limit.
 
 Each whole text is encoded to its length by a byte-level rank vocabulary. Documents are then only counted by length,
-and all answers are suffix sums over lengths.
+and all answers are suffix sums over lengths. The library looks ahead over white space by recursion, and ends the process on
+some million characters of it; so long runs are taken out and counted as the pieces that the pattern makes of them: all
+of the run but its last character, which goes with what follows, or the whole run at the end of a text.
 
 Cases: a null or empty text has length 0; repeated rows count each time; no rows give an empty histogram. Columns
 other than the text are not read.
@@ -10,6 +12,7 @@ other than the text are not read.
 from __future__ import annotations
 
 import base64
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,6 +21,10 @@ from pyspark.sql import functions as F
 from .common import materialize, small_batches, tidy
 
 
+#: Runs of white space, as the pattern has it, that are too long for the library's look-ahead.
+LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
+
 class LengthCounter:
     """Encoded lengths by one rank file, whose lines are a token in base 64 and its rank."""
 
@@ -26,10 +33,19 @@ class LengthCounter:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        coding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.encode, self.encode_piece = coding.encode_ordinary, coding._encode_single_piece
+        self.blanks = pattern.endswith(r"|\s+(?!\S)|\s+")
 
     def length(self, text: str) -> int:
-        return len(self.encode(text))
+        if not self.blanks:
+            return len(self.encode(text))
+        total = lo = 0
+        for run in LONG_BLANK.finditer(text):
+            cut = run.end() - (run.end() < len(text))
+            total += len(self.encode(text[lo : run.start()])) + len(self.encode_piece(text[run.start() : cut].encode()))
+            lo = cut
+        return total + len(self.encode(text[lo:]))
 
 
 _counters: dict[tuple[str, str], LengthCounter] = {}
@@ -49,7 +65,7 @@ def encoded_lengths(docs: DataFrame, ranks_path: str, pattern: str, *, text_col:
     def run(batches):
         own = counter(ranks_path, pattern)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([own.length(x.as_py() or "") for x in b.column(0)], pa.int64())], ["n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([own.length(x or "") for x in b.column(0).to_pylist()], pa.int64())], ["n_tokens"])
 
     return docs.select(F.col(text_col)).mapInArrow(tidy(run), "n_tokens long")
 

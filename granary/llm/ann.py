@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, small_batches, tidy
+from .common import forget, materialize, regrouped, tidy
 
 CENTRES = 16
 #: Rows, and bytes of their vectors, that the codebooks are fitted on at most.
@@ -187,7 +187,6 @@ def leading(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tu
 def nearest(embeddings: DataFrame, is_query: Column, *, k: int = 20, shortlist: int = 200, id_col: str = "vec_id", vec_col: str = "embedding", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where is_query, a condition on vec_id, the k rows of largest inner product found, other than itself."""
     spark = embeddings.sparkSession
-    small_batches(spark, BATCH_ROWS)
     rows = usable(embeddings, id_col, vec_col)
     books = fit_index(rows)
     coded = coded_rows(rows, books)
@@ -203,12 +202,12 @@ def nearest(embeddings: DataFrame, is_query: Column, *, k: int = 20, shortlist:
 
         def run(batches, held=held, known=known):
             kept: dict[int, list] = {}
-            for b in batches:
+            for b in regrouped(batches, BATCH_ROWS):
                 rows, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
                 for d, (at, x) in _by_length(b.column(2)).items():
                     if d in held.value:
                         book = known.value.get(d)
-                        codes = np.frombuffer(b"".join(b.column(3).take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1) if book else np.zeros((len(at), 0), np.uint8)
+                        codes = np.frombuffer(b"".join(b.column(3).combine_chunks().take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1) if book else np.zeros((len(at), 0), np.uint8)
                         found = best_of(rows[at], ids[at], x, codes, book, held.value[d][0], held.value[d][2], k, shortlist)
                         kept[d] = leading(*map(np.concatenate, zip(kept[d], found, strict=True)), k) if d in kept else found
             for d, (query, vec, score) in kept.items():

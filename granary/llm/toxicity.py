@@ -13,8 +13,8 @@ sentences of up to 64 tokens, with the expected counts of forward-backward; trai
 features of a single document don't. A document's score is a logistic function, fitted on the training documents, of the
 log-odds of the chain that some token is toxic and the log of the expected number of toxic tokens.
 
-Cases: a null or empty text has no token and scores 0; rows keep their number; without labels of both classes all
-scores are 0. Columns other than the id and the text are not read.
+Cases: a null or empty text has no token and scores 0; rows keep their number; without labels of both classes, or
+without a feature that two training documents share, all scores are 0. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -34,15 +34,21 @@ WHOLE, SUFFIX, BEFORE, AFTER, WIDTH = 0, 1 + len(PREFIXES), 2 + len(PREFIXES), 3
 #: Labelled documents of each class, and bytes of their text, that the field is fitted on at most.
 MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 800, 4 << 20
 SPAN = 64
+#: Tokens whose features are held at once when texts are scored.
+AT_ONCE = 1 << 15
 
 
 def token_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends, row and (tokens, WIDTH) feature hashes; 0 stands for none."""
     starts, ends = borders(data, at, ALNUM)
     row = np.searchsorted(at, starts, "right") - 1
+    return starts, ends, row, _features(data, starts, ends, row)
+
+
+def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> np.ndarray:
     f, size = np.zeros((len(starts), WIDTH), np.uint64), ends - starts
     if not len(starts):
-        return starts, ends, row, f
+        return f
     f[:, WHOLE] = word_hashes(data, starts, ends, True)
     head, five = np.minimum(size, 8), np.empty(len(starts), np.uint64)
     for lo, hi in slices(starts, ends):
@@ -63,7 +69,7 @@ def token_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
     pair = mix(mix(five[:-1][same]) ^ five[1:][same])
     f[1:, BEFORE][same] = mix(pair + np.uint64(101))
     f[:-1, AFTER][same] = mix(pair + np.uint64(102))
-    return starts, ends, row, f
+    return f
 
 
 @dataclass
@@ -76,17 +82,29 @@ class ToxicityModel:
     link: np.ndarray = field(default_factory=lambda: np.array([-50.0, 0.0, 0.0]))
 
     def marginals(self, f: np.ndarray, row: np.ndarray) -> np.ndarray:
+        return chain(self._emissions(f), row, self.step)
+
+    def _emissions(self, f: np.ndarray) -> np.ndarray:
         bucket = (f & np.uint64(len(self.weights) - 1)).astype(np.int64)
         emit = np.zeros(len(f))
         for k in range(WIDTH):
             emit += np.where(f[:, k] != 0, self.weights[bucket[:, k]], 0)
-        return chain(emit + self.first, row, self.step)
+        return emit + self.first
+
+    def emissions(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Of the tokens of texts of any length; features are made for AT_ONCE tokens at a time, with a neighbour on each side."""
+        emit = np.empty(len(starts))
+        for lo in range(0, len(starts), AT_ONCE):
+            a, b = max(0, lo - 1), min(len(starts), lo + AT_ONCE + 1)
+            emit[lo : lo + AT_ONCE] = self._emissions(_features(data, starts[a:b], ends[a:b], row[a:b])[lo - a :][:AT_ONCE])
+        return emit
 
     def tagged(self, texts: pa.Array):
         """(first row, starts, ends, row, marginals, offsets, data, rows) of each block."""
         for lo, data, at in blocks(texts):
-            starts, ends, row, f = token_features(data, at)
-            yield lo, starts, ends, row, self.marginals(f, row), at, data, len(at) - 1
+            starts, ends = borders(data, at, ALNUM)
+            row = np.searchsorted(at, starts, "right") - 1
+            yield lo, starts, ends, row, chain(self.emissions(data, starts, ends, row), row, self.step), at, data, len(at) - 1
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         out = np.zeros(len(texts))
@@ -199,6 +217,8 @@ def fit_field(feats: list[np.ndarray], ys: np.ndarray, *, buckets: int = 1 << 18
     lens = np.array([len(f) for f in feats])
     spans = sum(-(-n // SPAN) for n in lens)
     held, odds = document_odds(feats, ys, min_docs)
+    if not len(held):
+        return ToxicityModel(np.zeros(buckets, np.float32), np.zeros((2, 2)), -30.0)
     whole, feats = feats, [np.where(held[np.minimum(np.searchsorted(held, f), len(held) - 1)] == f, f, np.uint64(0)) for f in feats]
     model = ToxicityModel(np.zeros(buckets, np.float32), np.zeros((2, 2)), -float(np.log(max(2.0, lens[ys == 1].mean()))))
     tags, pairs = soft_start(feats, ys, held, odds, sharpness)

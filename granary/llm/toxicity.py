@@ -34,8 +34,8 @@ WHOLE, SUFFIX, BEFORE, AFTER, WIDTH = 0, 1 + len(PREFIXES), 2 + len(PREFIXES), 3
 #: Labelled documents of each class, and bytes of their text, that the field is fitted on at most.
 MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 800, 4 << 20
 SPAN = 64
-#: Tokens whose features are held at once when texts are scored.
-AT_ONCE = 1 << 15
+#: Tokens whose features are held at once when texts are scored, and bits of a feature by which documents that have it are counted.
+AT_ONCE, ODDS_BITS = 1 << 15, 23
 
 
 def token_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -207,25 +207,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
     sample = bounded_sample(docs, labels, label, learn, id_col, text_col, max_rows, max_bytes, True)
     rows = sample.mapInArrow(tidy(_tokens), "y int, f binary").collect()
     rows = list({(r.y, r.f): r for r in sorted(rows, key=lambda r: (r.y, r.f))}.values())
-    return fit_field([np.frombuffer(r.f, np.uint64).reshape(-1, WIDTH) for r in rows], np.array([r.y for r in rows], np.int64), **training)
+    ys, feats = np.array([r.y for r in rows], np.int64), [np.frombuffer(r.f, np.uint64).reshape(-1, WIDTH) for r in rows]
+    del rows
+    return fit_field(feats, ys, **training)
 
 
-def fit_field(feats: list[np.ndarray], ys: np.ndarray, *, buckets: int = 1 << 18, turns: int = 8, epochs: int = 1, least_steps: int = 40, rate: float = 0.2, noise: float = 0.05, min_docs: int = 2, sharpness: float = 2.0, missed: float = 2.5, seed: int = 11) -> ToxicityModel:
-    """The field of documents, each as its tokens' features, and their labels, by expectation maximisation over the tags."""
+def fit_field(feats: list[np.ndarray], ys: np.ndarray, *, buckets: int = 1 << 18, turns: int = 8, epochs: int = 1, least_steps: int = 40, rate: float = 0.2, noise: float = 0.05, min_docs: int = 2, sharpness: float = 2.0, missed: float = 6.0, seed: int = 11) -> ToxicityModel:
+    """The field of documents, each as its tokens' features, and their labels, by expectation maximisation over the tags; feats is used up."""
     if not len(ys) or ys.min() == ys.max() or not sum(map(len, feats)):
         return ToxicityModel(np.zeros(buckets, np.float32), np.zeros((2, 2)), -30.0)
     lens = np.array([len(f) for f in feats])
     spans = sum(-(-n // SPAN) for n in lens)
-    held, odds = document_odds(feats, ys, min_docs)
-    if not len(held):
+    odds = document_odds(feats, ys, min_docs)
+    if not np.isfinite(odds).any():
         return ToxicityModel(np.zeros(buckets, np.float32), np.zeros((2, 2)), -30.0)
-    whole, feats = feats, [np.where(held[np.minimum(np.searchsorted(held, f), len(held) - 1)] == f, f, np.uint64(0)) for f in feats]
+    for i, f in enumerate(feats):
+        feats[i] = np.where(np.isfinite(odds[_odds_bits(f)]), f, np.uint64(0))
     model = ToxicityModel(np.zeros(buckets, np.float32), np.zeros((2, 2)), -float(np.log(max(2.0, lens[ys == 1].mean()))))
-    tags, pairs = soft_start(feats, ys, held, odds, sharpness)
+    tags, pairs = soft_start(feats, ys, odds, sharpness)
     for turn in range(turns):
         model = _train(feats, tags, pairs, model, max(epochs, -(-least_steps * 64 // spans)), rate, seed + turn)
-        tags, pairs = expected(model, feats, ys, noise)
-    feats = whole
+        tags, pairs = expected(model, feats, ys, noise) if turn + 1 < turns else ([], [])
     row = np.repeat(np.arange(len(feats)), lens)
     p = np.concatenate([model.marginals(f, np.zeros(len(f), np.int64)) for f in feats])
     odds, count, any_ = summary(row, p, model.step, len(feats))
@@ -233,33 +235,38 @@ def fit_field(feats: list[np.ndarray], ys: np.ndarray, *, buckets: int = 1 << 18
     return model
 
 
-def document_odds(feats: list[np.ndarray], ys: np.ndarray, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features of min_docs documents or more, and the smoothed log-odds of toxic documents against clean ones to have each.
+def document_odds(feats: list[np.ndarray], ys: np.ndarray, min_docs: int) -> np.ndarray:
+    """By the last ODDS_BITS bits of a feature, the smoothed log-odds of toxic documents against clean ones to have it; -inf for features of fewer than min_docs documents.
 
     A feature that fewer documents have could only tell these documents apart, so training leaves it out.
     """
-    own = [np.unique(f) for f in feats]
-    held, place = np.unique(np.concatenate(own), return_inverse=True)
-    bad = np.bincount(place, np.repeat(ys.astype(float), [len(x) for x in own]), minlength=len(held))
-    good = np.bincount(place, minlength=len(held)) - bad
-    odds = np.log((bad + 0.5) / (ys.sum() + 1)) - np.log((good + 0.5) / (len(ys) - ys.sum() + 1))
-    keep = (bad + good >= min_docs) & (held != 0)
-    return held[keep], odds[keep]
+    counts = np.zeros((2, 1 << ODDS_BITS), np.uint16)
+    for f, y in zip(feats, ys, strict=True):
+        own = np.sort(_odds_bits(f[f != 0]))
+        counts[y, own[np.append(True, own[1:] != own[:-1])] if len(own) else own] += 1
+    held = np.flatnonzero(counts[0].astype(np.int32) + counts[1] >= min_docs)
+    good, bad = counts[:, held].astype(float)
+    out = np.full(1 << ODDS_BITS, -np.inf, np.float32)
+    out[held] = np.log((bad + 0.5) / (ys.sum() + 1)) - np.log((good + 0.5) / (len(ys) - ys.sum() + 1))
+    return out
+
+
+def _odds_bits(f: np.ndarray) -> np.ndarray:
+    return (f & np.uint64((1 << ODDS_BITS) - 1)).astype(np.int32)
 
 
-def soft_start(feats: list[np.ndarray], ys: np.ndarray, held: np.ndarray, odds: np.ndarray, sharpness: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def soft_start(feats: list[np.ndarray], ys: np.ndarray, odds: np.ndarray, sharpness: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Tags and pairs to begin with: a toxic document has one toxic token, its tokens by their own best feature's odds; where all are alike each is as likely."""
     tags, pairs = [], []
     for f, y in zip(feats, ys, strict=True):
         q = np.zeros(len(f))
         if y and len(f):
-            at = np.minimum(np.searchsorted(held, f), len(held) - 1)
-            best = np.where(held[at] == f, odds[at], -1.0).max(1)
+            best = np.maximum(np.where(f != 0, odds[_odds_bits(f)], -1.0).max(1), -1.0)
             q = np.exp(sharpness * (best - best.max()))
             q /= q.sum()
         a, b = q[:-1], q[1:]
         tags.append(q)
-        pairs.append(np.stack([(1 - a) * (1 - b), (1 - a) * b, a * (1 - b), a * b], 1).reshape(-1, 2, 2))
+        pairs.append(np.stack([(1 - a) * (1 - b), (1 - a) * b, a * (1 - b), a * b], 1).reshape(-1, 2, 2).astype(np.float32))
     return tags, pairs
 
 
@@ -284,7 +291,7 @@ def expected(model: ToxicityModel, feats: list[np.ndarray], ys: np.ndarray, nois
     for f, y in zip(feats, ys, strict=True):
         zero = np.zeros(len(f), np.int64)
         if not y or not len(f):
-            none = np.zeros((max(0, len(f) - 1), 2, 2))
+            none = np.zeros((max(0, len(f) - 1), 2, 2), np.float32)
             none[:, 0, 0] = 1
             tags.append(np.zeros(len(f)))
             pairs.append(none)
@@ -295,7 +302,7 @@ def expected(model: ToxicityModel, feats: list[np.ndarray], ys: np.ndarray, nois
         own = _pairs(p, model.step) * scale
         tags.append(np.minimum(p * scale, 1.0))
         own[:, 0, 0] = np.maximum(0, 1 - own[:, 0, 1] - own[:, 1, 0] - own[:, 1, 1])
-        pairs.append(own)
+        pairs.append(own.astype(np.float32))
     return tags, pairs
 
 

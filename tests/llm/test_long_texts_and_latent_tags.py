@@ -157,6 +157,13 @@ def test_gradients_are_those_of_the_likelihood():
     assert bias == pytest.approx((likelihood(w, step, first + tiny) - likelihood(w, step, first - tiny)) / (2 * tiny), abs=1e-5)
 
 
+def test_odds_are_of_documents():
+    feats = features(["bad bad good", "bad", "good", "good once"])
+    odds = toxicity.document_odds(feats, np.array([1, 1, 0, 0]), 2)
+    own = lambda word: odds[toxicity._odds_bits(features([word])[0][:, toxicity.WHOLE])][0]
+    assert own("bad") == pytest.approx(np.log(2.5 / 3) - np.log(0.5 / 3), abs=1e-5) and own("good") == pytest.approx(np.log(1.5 / 3) - np.log(2.5 / 3), abs=1e-5) and own("once") == -np.inf
+
+
 def test_a_phrase_of_ordinary_words_is_learnt():
     rng = np.random.default_rng(7)
     words, texts = [f"w{i}" for i in range(200)], []

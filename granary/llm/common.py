@@ -39,13 +39,18 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return wrapped
 
 
+def give_back() -> None:
+    """Memory that isn't used goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def regrouped(batches, rows: int, most_bytes: int = 64 << 20):
     """Tables of that many rows (fewer if they have most_bytes bytes, and in the last), whatever batches Spark hands over."""
     held, n, size = [], 0, 0

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, SLICE, Hashes, blocks, borders, bounded_sample, long_hash, mix, slices, small_batches, tidy, word_hashes
+from .common import ALNUM, SLICE, Hashes, blocks, borders, bounded_sample, give_back, long_hash, mix, slices, small_batches, tidy, word_hashes
 
 PREFIXES = (3, 4, 5, 6, 8)
 #: Columns of a token's features: whole token, prefixes, suffix of three bytes, the neighbours' prefixes of five bytes.
@@ -35,7 +35,7 @@ WHOLE, SUFFIX, BEFORE, AFTER, WIDTH = 0, 1 + len(PREFIXES), 2 + len(PREFIXES), 3
 MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 800, 4 << 20
 SPAN = 64
 #: Tokens whose features are held at once when texts are scored, and bits of a feature by which documents that have it are counted.
-AT_ONCE, ODDS_BITS = 1 << 15, 23
+AT_ONCE, ODDS_BITS = 1 << 15, 22
 
 
 def token_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -85,7 +85,7 @@ class ToxicityModel:
         return chain(self._emissions(f), row, self.step)
 
     def _emissions(self, f: np.ndarray) -> np.ndarray:
-        bucket = (f & np.uint64(len(self.weights) - 1)).astype(np.int64)
+        bucket = (f & f.dtype.type(len(self.weights) - 1)).astype(np.int32)
         emit = np.zeros(len(f))
         for k in range(WIDTH):
             emit += np.where(f[:, k] != 0, self.weights[bucket[:, k]], 0)
@@ -196,6 +196,7 @@ def _tokens(batches):
         for lo, data, at in blocks(batch.column("text")):
             _, _, row, f = token_features(data, at)
             cut = np.searchsorted(row, np.arange(len(at)))
+            f = f.astype(np.uint32)  # buckets and odds need no more bits
             out += [(ys[lo + i].as_py(), f[cut[i] : cut[i + 1]].tobytes()) for i in range(len(at) - 1)]
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["y", "f"])
 
@@ -207,9 +208,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
     sample = bounded_sample(docs, labels, label, learn, id_col, text_col, max_rows, max_bytes, True)
     rows = sample.mapInArrow(tidy(_tokens), "y int, f binary").collect()
     rows = list({(r.y, r.f): r for r in sorted(rows, key=lambda r: (r.y, r.f))}.values())
-    ys, feats = np.array([r.y for r in rows], np.int64), [np.frombuffer(r.f, np.uint64).reshape(-1, WIDTH) for r in rows]
+    ys, feats = np.array([r.y for r in rows], np.int64), [np.frombuffer(r.f, np.uint32).reshape(-1, WIDTH) for r in rows]
     del rows
-    return fit_field(feats, ys, **training)
+    model = fit_field(feats, ys, **training)
+    give_back()
+    return model
 
 
 def fit_field(feats: list[np.ndarray], ys: np.ndarray, *, buckets: int = 1 << 18, turns: int = 8, epochs: int = 1, least_steps: int = 40, rate: float = 0.2, noise: float = 0.05, min_docs: int = 2, sharpness: float = 2.0, missed: float = 6.0, seed: int = 11) -> ToxicityModel:
@@ -222,7 +225,7 @@ def fit_field(feats: list[np.ndarray], ys: np.ndarray, *, buckets: int = 1 << 18
     if not np.isfinite(odds).any():
         return ToxicityModel(np.zeros(buckets, np.float32), np.zeros((2, 2)), -30.0)
     for i, f in enumerate(feats):
-        feats[i] = np.where(np.isfinite(odds[_odds_bits(f)]), f, np.uint64(0))
+        feats[i] = np.where(np.isfinite(odds[_odds_bits(f)]), f, f.dtype.type(0))
     model = ToxicityModel(np.zeros(buckets, np.float32), np.zeros((2, 2)), -float(np.log(max(2.0, lens[ys == 1].mean()))))
     tags, pairs = soft_start(feats, ys, odds, sharpness)
     for turn in range(turns):
@@ -244,7 +247,7 @@ def document_odds(feats: list[np.ndarray], ys: np.ndarray, min_docs: int) -> np.
     for f, y in zip(feats, ys, strict=True):
         own = np.sort(_odds_bits(f[f != 0]))
         counts[y, own[np.append(True, own[1:] != own[:-1])] if len(own) else own] += 1
-    held = np.flatnonzero(counts[0].astype(np.int32) + counts[1] >= min_docs)
+    held = np.flatnonzero(counts[0] + counts[1] >= min_docs)
     good, bad = counts[:, held].astype(float)
     out = np.full(1 << ODDS_BITS, -np.inf, np.float32)
     out[held] = np.log((bad + 0.5) / (ys.sum() + 1)) - np.log((good + 0.5) / (len(ys) - ys.sum() + 1))
@@ -252,7 +255,7 @@ def document_odds(feats: list[np.ndarray], ys: np.ndarray, min_docs: int) -> np.
 
 
 def _odds_bits(f: np.ndarray) -> np.ndarray:
-    return (f & np.uint64((1 << ODDS_BITS) - 1)).astype(np.int32)
+    return (f & f.dtype.type((1 << ODDS_BITS) - 1)).astype(np.int32)
 
 
 def soft_start(feats: list[np.ndarray], ys: np.ndarray, odds: np.ndarray, sharpness: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -311,7 +314,7 @@ def _gradients(f: np.ndarray, y: np.ndarray, seen: np.ndarray, row: np.ndarray,
 
     y are the tags of the tokens of features f, from 0 to 1; seen the sum of their pairs.
     """
-    bucket, on = (f & np.uint64(len(w) - 1)).astype(np.int64), f != 0
+    bucket, on = (f & f.dtype.type(len(w) - 1)).astype(np.int32), f != 0
     p = chain((w[bucket] * on).sum(1) + first, row, step)
     diff = y - p
     used, place = np.unique(bucket[on], return_inverse=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,45 +54,58 @@ def split_long(text: str, most: int = MOST) -> list[str]:
     return [" ".join(p) for p in pieces]
 
 
+def borders(upto: np.ndarray, first: int, stop: int, carried: int, target: int, most: int, overlap: int):
+    """(lo, hi) of each chunk that paragraphs first to stop make; upto are the running sums of their words.
+
+    A chunk counts the words carried into it. It ends at the first border where it has target words, or at the last where it has
+    most or fewer, whichever is nearer; after an end of the second kind the next paragraph goes in whatever its size. What is
+    left at stop is a chunk too, if only of carried words.
+    """
+    lo, exempt = first, 0
+    while True:
+        base = upto[lo] - carried
+        full = max(lo + 1, int(np.searchsorted(upto, base + target)))
+        last = max(lo + exempt, int(np.searchsorted(upto, base + most, "right")) - 1)
+        over = min(full, last) >= stop and full > stop
+        hi = stop if over else min(full, last)
+        words = int(upto[hi] - base)
+        if words:
+            yield lo, hi
+        if over:
+            return
+        lo, exempt, carried = hi, int(last < full), min(overlap, words)
+
+
 def packed(paragraphs: list[str], target: int = TARGET, most: int = MOST, overlap: int = OVERLAP) -> list[str]:
-    """Chunks of one section: each begins with the last words of the one before, which stand alone at the end if nothing follows."""
-    done: list[str] = []
-    held: list[str] = []
-    size = 0
-
-    def close():
-        nonlocal size
-        body = "\n\n".join(held).strip()
-        held.clear()
-        size = 0
-        if body:
-            done.append(body)
-            if overlap > 0:
-                tail = body.split()[-overlap:]
-                held.append(" ".join(tail))
-                size = len(tail)
-
-    for paragraph in paragraphs:
-        n = len(paragraph.split())
-        if n > most:
-            close()
-            done += split_long(paragraph, most)
-            continue
-        if size + n > most:
-            close()
-        held.append(paragraph)
-        size += n
-        if size >= target:
-            close()
-    close()
-    return [d for d in done if d.strip()]
+    """Chunks of one section. Each begins with the last overlap words of the one before, which stand alone at the end if nothing follows.
+
+    A paragraph of more than most words is cut at sentences instead: its pieces take no overlap and give none, so the words
+    carried over it come after it.
+    """
+    own = [p for p in paragraphs if p.strip()]
+    sizes = [len(p.split()) for p in own]
+    upto = np.cumsum([0, *sizes])
+    out: list[str] = []
+    tail: list[str] = []
+    first = 0
+    for stop in [*(i for i, n in enumerate(sizes) if n > most), len(own)]:
+        for lo, hi in borders(upto, first, stop, len(tail), target, most, overlap):
+            out.append("\n\n".join([" ".join(tail), *own[lo:hi]]).strip())
+            tail = out[-1].split()[-overlap:] if overlap else []
+        out += [piece for long in own[stop : stop + 1] for piece in split_long(long, most) if piece.strip()]
+        first = stop + 1
+    return out
+
+
+#: Rows that are cut before their chunks are handed on.
+AT_ONCE = 64
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, *, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
     """(id_col, ordinal, section, text, words) of the chunks of each row; null or blank texts have none, a section without headings above it is null."""
 
     def run(batches):
-        for b in batches:
+        for b in (batch.slice(lo, AT_ONCE) for batch in batches for lo in range(0, batch.num_rows, AT_ONCE)):
             rows = []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = [(BETWEEN.join(path) or None, c) for path, paragraphs in sections(text or "") for c in packed(paragraphs, target, most, overlap)]

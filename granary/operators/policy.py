@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Sensitivity levels, least strict first; an unknown level counts as internal.
@@ -76,6 +76,19 @@ def in_order(policies: Sequence[Policy], point: str = "", tenant: str = "default
     return sorted(own, key=lambda p: (EFFECTS.index(p.effect), -p.priority, p.id))
 
 
+def applies(point: str = "", tenant: str = "default") -> Column:
+    """Whether a row of a policy table (enabled, points, tenants) is on and names the point and the tenant, or none; null lists name none."""
+    open_to = lambda c, own: (F.size(F.coalesce(c, F.array().cast("array<string>"))) == 0) | F.array_contains(c, own)
+    return F.coalesce(F.col("enabled"), F.lit(True)) & open_to(F.col("points"), point) & open_to(F.col("tenants"), tenant)
+
+
+def ordered(policies: DataFrame, group: str, id_col: str, *, point: str = "", tenant: str = "default") -> DataFrame:
+    """policies (group, id_col, effect, priority, enabled, points, tenants) that apply, with the place from 1 in which their group tries them: as in_order has it. An unknown effect comes last."""
+    effect = F.array_position(F.array(*map(F.lit, EFFECTS)), F.col("effect"))
+    order = [F.when(effect > 0, effect).otherwise(len(EFFECTS) + 1), F.desc("priority"), F.asc(id_col)]
+    return policies.where(applies(point, tenant)).withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+
+
 def decision(policies: Sequence[Policy], *, point: str = "", tenant: str = "default", default: str = "allow") -> Column:
     """struct(effect, policy_id) of the first policy that matches a row's subject, resource, action and claims; default where none does."""
     tests = []

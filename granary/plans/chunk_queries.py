@@ -16,20 +16,37 @@ from .queries import query
 
 
 def manuals(spark, d):
-    """Parts as small marked-up manuals: headings of brand, type and size, and the name as sentences of a long paragraph."""
+    """Parts as small marked-up manuals: headings of brand, type and size, and the name as sentences of a paragraph, more or less than 400 words long."""
     p = table(spark, d, "part")
-    body = F.concat(F.lit("# "), "p_brand", F.lit("\nIntro.\n## "), "p_type", F.lit("\n"), F.repeat(F.concat("p_name", F.lit(". ")), 200), F.lit("\n\n### size "), "p_size", F.lit("\nlast words\n# End\n"))
+    body = F.concat(F.lit("# "), "p_brand", F.lit("\nIntro.\n## "), "p_type", F.lit("\n"), F.repeat(F.concat("p_name", F.lit(". ")), (150 + F.col("p_partkey") % 450).cast("int")), F.lit("\n\n### size "), "p_size", F.lit("\nlast words\n# End\n"))
     return p.select("p_partkey", body.alias("text"))
 
 
-@query()
+def _chunks_sql(key: str, paragraphs: str) -> str:
+    """SQL of the chunks of paragraphs (id, place, section, text), each the only one of its section."""
+    return rf"""WITH RECURSIVE para AS (SELECT *, regexp_extract_all(text, '\S+') AS w FROM (SELECT id, place, section, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM ({paragraphs}))),
+sent AS (SELECT id, place, section, unnest(s) AS s, generate_subscripts(s, 1) AS k FROM (SELECT *, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM para WHERE len(w) > 400)),
+own AS (SELECT *, len(regexp_extract_all(s, '\S+')) AS n FROM sent), run AS (SELECT *, sum(n) OVER (PARTITION BY id, place ORDER BY k)::BIGINT AS upto FROM own),
+reach AS (SELECT *, min(k) OVER (PARTITION BY id, place ORDER BY upto RANGE BETWEEN greatest(401 - n, 0) FOLLOWING AND UNBOUNDED FOLLOWING) AS beyond FROM run),
+follows AS MATERIALIZED (SELECT id, place, k, greatest(k + 1, beyond) AS next FROM reach WHERE beyond > k OR (beyond = k AND EXISTS (SELECT 1 FROM run r WHERE r.id = reach.id AND r.place = reach.place AND r.k = reach.k + 1))),
+starts AS (SELECT id, place, 1::BIGINT AS k FROM sent WHERE k = 1 UNION ALL SELECT f.id, f.place, f.next FROM starts JOIN follows f USING (id, place, k)),
+piece AS (SELECT sent.*, count(starts.k) OVER (PARTITION BY id, place ORDER BY k) AS piece FROM sent LEFT JOIN starts USING (id, place, k)),
+every AS (SELECT id, place, section, 0 AS piece, text FROM para WHERE len(w) BETWEEN 1 AND 400
+UNION ALL SELECT id, place, section, 1, array_to_string(w[-40:], ' ') FROM para WHERE len(w) BETWEEN 220 AND 400
+UNION ALL SELECT id, place, section, piece, string_agg(s, ' ' ORDER BY k) FROM piece GROUP BY id, place, section, piece)
+SELECT id AS {key}, (row_number() OVER (PARTITION BY id ORDER BY place, piece) - 1)::INTEGER AS ordinal, section, len(regexp_extract_all(text, '\S+'))::INTEGER AS words, sha256(text) AS text_sha256 FROM every"""
+
+
+@query(_chunks_sql("doc_id", "SELECT doc_id AS id, 0 AS place, NULL::VARCHAR AS section, coalesce(text, '') AS text FROM documents"))
 def chunk_documents(spark, d):
+    """The tables' documents have no blank lines and no headings, so the SQL takes each as one paragraph."""
     return chunks.chunked(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "ordinal", "section", "words", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query()
+@query(_chunks_sql("p_partkey", """SELECT p_partkey AS id, unnest([0, 1, 2]) AS place, unnest([trim(p_brand), trim(p_brand) || ' › ' || trim(p_type), trim(p_brand) || ' › ' || trim(p_type) || ' › size ' || p_size]) AS section,
+unnest(['Intro.', repeat(p_name || '. ', (150 + p_partkey % 450)::BIGINT), 'last words']) AS text FROM part"""))
 def chunk_split_long(spark, d):
-    """Long paragraphs, in sections, cut at sentences."""
+    """Long paragraphs, in sections, cut at sentences; shorter ones with what they carry over."""
     return chunks.chunked(manuals(spark, d), "p_partkey", "text").select("p_partkey", "ordinal", "section", "words", F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -52,12 +69,13 @@ def ibac_selectors(spark, d):
     return own.select("document_id", *(t.alias(f"s{i}") for i, t in enumerate(tests)))
 
 
-ORDERED = [policy.Policy("b", "allow", 500), policy.Policy("a", "allow", 500), policy.Policy("z", "deny", 1), policy.Policy("y", "require_approval", 900), policy.Policy("x", "deny", 2), policy.Policy("off", "deny", 9, enabled=False), policy.Policy("t", "deny", 9, tenants=("other",))]
-
-
-@query("SELECT unnest(['x', 'z', 'y', 'a', 'b']) AS id, unnest([0, 1, 2, 3, 4])::BIGINT AS place")
+@query("SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY CASE p_type WHEN 'SMALL' THEN 0 WHEN 'ECONOMY' THEN 1 ELSE 2 END, p_size DESC, p_partkey)::INTEGER AS place FROM part WHERE p_partkey % 5 > 0 AND (p_partkey % 4 > 0 OR p_partkey % 7 = 0)")
 def ibac_policy_order(spark, d):
-    return spark.createDataFrame([(p.id, i) for i, p in enumerate(policy.in_order(ORDERED))], "id string, place long")
+    """Parts as a table of policies, the brand as what they are for: the order in which each brand's are tried."""
+    effect = F.when(F.col("p_type") == "SMALL", "deny").when(F.col("p_type") == "ECONOMY", "require_approval").otherwise("allow")
+    tenants = F.when(F.col("p_partkey") % 4 > 0, F.array().cast("array<string>")).when(F.col("p_partkey") % 7 == 0, F.array(F.lit("other"), F.lit("own"))).otherwise(F.array(F.lit("other")))
+    own = table(spark, d, "part").select("p_partkey", "p_brand", effect.alias("effect"), F.col("p_size").alias("priority"), (F.col("p_partkey") % 5 > 0).alias("enabled"), F.array(F.lit("emission")).alias("points"), tenants.alias("tenants"))
+    return policy.ordered(own, "p_brand", "p_partkey", point="emission", tenant="own").select("p_partkey", "p_brand", "place")
 
 
 @query("SELECT event_id, 'event' AS type, 'agent' AS sender_kind, 'u' || user_id AS sender_id, md5('s' || user_id) AS trace_id, event_type AS body FROM events")

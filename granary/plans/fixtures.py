@@ -12,10 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+def documents(spark: SparkSession, sf_dir: str, *, levels: bool = True) -> DataFrame:
+    """The documents; without levels they have no sensitivity, and labels are not read."""
+    docs = table(spark, sf_dir, "documents")
+    own = docs.select(F.col("doc_id").alias("document_id"), F.col("lang").alias("domain"), F.concat("source", F.lit("/"), F.col("doc_id")).alias("uri"), F.concat(F.lit("doc "), F.col("doc_id")).alias("title"), "text", T.content_hash(F.col("text")).alias("content_hash"))
+    if not levels:
+        return own
     level = F.when(F.col("toxic") == 1, "restricted").when(F.col("quality") == 0, "confidential").when(F.col("quality").isNotNull(), "internal").otherwise("public")
-    return docs.select(F.col("doc_id").alias("document_id"), F.col("lang").alias("domain"), F.concat("source", F.lit("/"), F.col("doc_id")).alias("uri"), F.concat(F.lit("doc "), F.col("doc_id")).alias("title"), "text", T.content_hash(F.col("text")).alias("content_hash"), level.alias("sensitivity"))
+    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id"), "quality", "toxic")
+    return own.join(marks, "document_id", "left").select(*own.columns, level.alias("sensitivity"))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

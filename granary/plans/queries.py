@@ -58,7 +58,7 @@ def fn_sentences(spark, d):
 
 @query(sql("SELECT document_id, content_hash FROM docs", "docs"))
 def fn_content_hash(spark, d):
-    return fx.documents(spark, d).select("document_id", "content_hash")
+    return fx.documents(spark, d, levels=False).select("document_id", "content_hash")
 
 
 @query("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")
@@ -103,7 +103,7 @@ def tab_format_cell(spark, d):
 
 @query(sql("SELECT document_id, CASE WHEN length(text) <= 400 THEN text ELSE substr(text, 1, 400) || ' … [+' || (length(text) - 400) || ' chars]' END AS snippet FROM docs", "docs"))
 def proj_citations(spark, d):
-    return fx.documents(spark, d).select("document_id", text.truncated(F.col("text"), 400).alias("snippet"))
+    return fx.documents(spark, d, levels=False).select("document_id", text.truncated(F.col("text"), 400).alias("snippet"))
 
 
 # --- filters, sets, vectors -----------------------------------------------------------------------------------------
@@ -111,7 +111,7 @@ def proj_citations(spark, d):
 
 @query(sql("SELECT document_id, title FROM docs WHERE domain = 'fr'", "docs"))
 def filter_domain_scan(spark, d):
-    return fx.documents(spark, d).where("domain = 'fr'").select("document_id", "title")
+    return fx.documents(spark, d, levels=False).where("domain = 'fr'").select("document_id", "title")
 
 
 @query("SELECT o_orderkey, list_distinct([o_orderpriority, o_orderstatus, o_orderpriority]).len()::INTEGER AS n FROM orders")
@@ -488,7 +488,7 @@ def distill_quality(spark, d):
 
 @query(sql(r"SELECT domain, document_id FROM docs WHERE len(regexp_extract_all(coalesce(text, ''), '\S+')) >= 30 QUALIFY row_number() OVER (PARTITION BY domain ORDER BY document_id) <= 50", "docs"))
 def distill_seed(spark, d):
-    long = fx.documents(spark, d).where(F.size(text.words(F.col("text"))) >= 30)
+    long = fx.documents(spark, d, levels=False).where(F.size(text.words(F.col("text"))) >= 30)
     return long.withColumn("rn", F.row_number().over(Window.partitionBy("domain").orderBy("document_id"))).where("rn <= 50").select("domain", "document_id")
 
 

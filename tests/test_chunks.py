@@ -42,3 +42,15 @@ def test_chunked_rows(spark):
     assert {r.id for r in got} == {1, None, 5} and [r.words for r in got if r.id == 5] == [5000]
     assert chunks.chunked(docs.where("false"), "id", "text").count() == 0
     assert {r.path for r in chunks.headings(docs, "id", "text").collect()} == {"One", "One › Two", "One › Two › Deep", "Three"}
+
+
+def test_paragraphs_too_long_leave_the_overlap_for_later():
+    long = " ".join(f"s{i} t." for i in range(30))
+    words = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    a, b = words("a", 6), words("b", 5)
+    out = chunks.packed([a, long, b, long], 20, 40, 3)
+    assert out[0] == a and " ".join(out[1:3]) == long
+    assert out[3] == "a3 a4 a5\n\n" + b and " ".join(out[4:6]) == long
+    assert out[6:] == ["b2 b3 b4"]
+    # What reaches the target leaves its tail as a chunk of its own; a paragraph that doesn't fit beside it comes after it.
+    assert chunks.packed([words("a", 20), words("b", 39)], 20, 40, 3) == [words("a", 20), "a17 a18 a19", "a17 a18 a19\n\n" + words("b", 39), "b36 b37 b38"]

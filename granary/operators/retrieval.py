@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import embedding, scores, text
+from granary.sources.scratch import materialize
 
 
 def exploded_tokens(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -49,8 +50,8 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, *, k: int = 6, dictiona
     """(query_id, id, semantic, lexical, entity, score, rank) of the k best chunks of positive score.
 
     queries and chunks are (id, text). The queries are broadcast, slice_queries at a time; one pass over the chunks scores each
-    against all of them and keeps the k best of its task, so no chunk is shuffled and no join is by token or index. Null texts
-    have no words; equal scores go by id; a query without words finds nothing.
+    against all of them and keeps the k best of its task, so no chunk is shuffled and no join is by token or index. More than
+    one slice reads chunks whose features were hashed once and written. Null texts have no words; equal scores go by id; a query without words finds nothing.
     """
     names = entities_of(F.col("text"), dictionary) if dictionary else F.array().cast("array<string>")
     parts = [F.col("id"), text.tokens(F.col("text")).alias("tokens"), names.alias("names")]
@@ -59,15 +60,29 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, *, k: int = 6, dictiona
     slices = max(1, -(-n // slice_queries))
     kinds = queries.schema["id"].dataType.simpleString(), chunks.schema["id"].dataType.simpleString()
     schema = "query_id {}, id {}, semantic double, lexical double, entity double, score double".format(*kinds)
+    if slices == 1:
+        rows = chunks.select(*parts)
+    else:
+        rows = materialize(chunks.select(*parts).mapInArrow(_with_sums, "id {}, tokens array<string>, names array<string>, sums array<int>".format(kinds[1])))
     found = None
     for part in range(slices):
         own = asked.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(slices)) == part).toArrow()
         held = queries.sparkSession.sparkContext.broadcast(_Asked(own))
-        each = chunks.select(*parts).mapInArrow(lambda batches, held=held: held.value.best(batches, k, weights), schema)
+        each = rows.mapInArrow(lambda batches, held=held: held.value.best(batches, k, weights), schema)
         found = each if found is None else found.unionByName(each)
     return top_k(found, "query_id", "score", "id", k)
 
 
+def _with_sums(batches):
+    """The rows with the sums of their features."""
+    for b in batches:
+        for lo, hi in embedding.parts(b.column(1)):
+            own = b.slice(lo, hi - lo)
+            m = embedding.space().sums(own.column(1)).astype(np.int32)
+            sums = pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, embedding.DIM, dtype=np.int32)), pa.array(m.ravel()))
+            yield pa.RecordBatch.from_arrays([*own.columns, sums], ["id", "tokens", "names", "sums"])
+
+
 class _Asked:
     """One slice of the queries: unit vectors, and for each word and name the queries that have it."""
 
@@ -95,19 +110,23 @@ class _Asked:
         return out / size
 
     def best(self, batches, k: int, weights: tuple[float, float, float]):
-        kept = None
-        for b in batches:
-            tokens = b.column(1).to_pylist()
-            # Some rows at a time, so that a step's matrices stay small.
-            for lo in range(0, len(tokens), 500):
-                part = tokens[lo : lo + 500]
-                signals = np.clip(embedding.space().unit(part) @ self.vectors.T, 0, 1), self._shares(part, self.words), self._shares(b.column(2).slice(lo, 500).to_pylist(), self.names)
-                score = np.round(sum(w * s for w, s in zip(weights, signals, strict=True)), 6).T
-                query, row = np.nonzero(score > 0)
-                new = pa.table([pa.array(query), b.column(0).slice(lo, 500).take(pa.array(row)), *(pa.array(s.T[query, row]) for s in signals), pa.array(score[query, row])], ["query", "id", "semantic", "lexical", "entity", "score"])
-                both = (new if kept is None else pa.concat_tables([kept, new])).sort_by([("query", "ascending"), ("score", "descending"), ("id", "ascending")])
-                q = both.column("query").to_numpy()
-                kept = both.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < k)).combine_chunks()
+        """The k best rows of each query, of rows (id, tokens, names) or those that _with_sums gave their sums."""
+        kept, least = None, np.zeros(len(self.ids))
+        # Some rows at a time, so that a step's matrices stay small.
+        for b in (batch.slice(lo, hi - lo) for batch in batches for lo, hi in embedding.parts(batch.column(1))):
+            sums = b.column(3).flatten().to_numpy().reshape(-1, embedding.DIM).astype(float) if b.num_columns > 3 else embedding.space().sums(b.column(1))
+            signals = np.clip(embedding.scaled(sums) @ self.vectors.T, 0, 1), self._shares(b.column(1).to_pylist(), self.words), self._shares(b.column(2).to_pylist(), self.names)
+            score = np.round(sum(w * s for w, s in zip(weights, signals, strict=True)), 6).T
+            # A row beyond the k best of its slice, or of what is kept, can't be among the k best; equal scores stay.
+            worst = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else 0.0
+            query, row = np.nonzero((score > 0) & (score >= np.maximum(worst, least)[:, None]))
+            new = pa.table([pa.array(query), b.column(0).take(pa.array(row)), *(pa.array(s.T[query, row]) for s in signals), pa.array(score[query, row])], ["query", "id", "semantic", "lexical", "entity", "score"])
+            both = (new if kept is None else pa.concat_tables([kept, new])).sort_by([("query", "ascending"), ("score", "descending"), ("id", "ascending")])
+            q = both.column("query").to_numpy()
+            kept = both.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < k)).combine_chunks()
+            q, size = kept.column("query").to_numpy(), np.bincount(kept.column("query").to_numpy(), minlength=len(least))
+            ends = np.searchsorted(q, np.flatnonzero(size >= k), "right") - 1
+            least[size >= k] = kept.column("score").to_numpy()[ends]
         if kept is not None and len(kept):
             cols = [self.ids.take(kept.column("query").combine_chunks()), *(kept.column(c).combine_chunks() for c in ("id", "semantic", "lexical", "entity", "score"))]
             yield pa.RecordBatch.from_arrays(cols, ["query_id", "id", "semantic", "lexical", "entity", "score"])

@@ -193,13 +193,11 @@ def embed_hash(spark, d):
     return each.where("v <> 0").select("doc_id", "i", F.round("v", 6).alias("v"))
 
 
-@query("WITH " + embedded("h", "SELECT p_partkey AS id, p_name || ' ' || p_type AS text FROM part") + "SELECT id, count(*) AS n_features, count(*) FILTER (kind = 'w') AS words, count(*) FILTER (kind = 'b') AS bigrams, count(*) FILTER (kind = 'c') AS runs FROM h_h GROUP BY id")
+@query("WITH " + embedded("h", "SELECT p_partkey AS id, p_name || ' ' || p_type AS text FROM part") + ", p AS (SELECT id, f, f[1] AS kind, md5(f) AS m FROM h_f) SELECT id, f AS feature, count(*) AS n, any_value(('0x' || substr(m, 1, 8))::BIGINT % 384)::INTEGER AS i, any_value(CASE kind WHEN 'w' THEN 10 WHEN 'b' THEN 6 ELSE 3 END * CASE WHEN substr(m, 9, 1) BETWEEN '0' AND '7' THEN 1 ELSE -1 END)::INTEGER AS weight FROM p GROUP BY id, f")
 def embed_features(spark, d):
-    t = text.tokens(F.concat_ws(" ", "p_name", "p_type"))
-    joined = F.length(F.array_join("t", " "))
-    runs = F.greatest(F.lit(0), joined - (embedding.RUN - 1))
-    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), t.alias("t")).select("id", F.size("t").cast("long").alias("words"), F.greatest(F.lit(0), F.size("t") - 1).cast("long").alias("bigrams"), runs.cast("long").alias("runs"))
-    return parts.select("id", (F.col("words") + F.col("bigrams") + F.col("runs")).alias("n_features"), "words", "bigrams", "runs").where("n_features > 0")
+    """Each word, pair of neighbours and run of four characters of a part, with where it is hashed to."""
+    each = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(embedding.features(text.tokens(F.concat_ws(" ", "p_name", "p_type")))).alias("feature"))
+    return each.groupBy("id", "feature").agg(F.count(F.lit(1)).alias("n")).select("id", "feature", "n", embedding.placed(F.col("feature")).alias("at")).select("id", "feature", "n", "at.i", "at.weight")
 
 
 @query("WITH " + embedded("h", "SELECT n_nationkey AS id, n_name AS text FROM nation") + ", n AS (SELECT id, sqrt(sum(v * v)) AS n FROM h GROUP BY id) SELECT id, 'hash:signed-hashing:384' AS signature, round(sum(CASE WHEN id % 3 = 0 THEN (i + 1) * v / n ELSE 384 * 385 / 2.0::DOUBLE END / CASE WHEN id % 3 = 0 THEN 1 ELSE (SELECT count(*) FROM h x WHERE x.id = h.id) END), 4) AS checksum FROM h JOIN n USING (id) GROUP BY id")

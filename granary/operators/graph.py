@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.sources.scratch import materialize
+from granary.sources.scratch import forget, materialize
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame, direction: str = "out", relation: str | None = None) -> DataFrame:
@@ -42,47 +42,66 @@ def terminal(tasks: DataFrame, needs: DataFrame) -> DataFrame:
     return tasks.join(needs.select(F.col("needs").alias("task")), "task", "left_anti")
 
 
+def _counted(tasks: DataFrame, needs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(task, open) with the number of needs that exist, and those needs as (task, needs); both written."""
+    own = tasks.select("task").distinct()
+    arrows = materialize(needs.select("task", "needs").distinct().join(own.select(F.col("task").alias("needs")), "needs", "left_semi").select("task", "needs"))
+    return materialize(own.join(arrows.groupBy("task").agg(F.count(F.lit(1)).alias("open")), "task", "left").select("task", F.coalesce("open", F.lit(0)).alias("open"))), arrows
+
+
+def _next(state: DataFrame, arrows: DataFrame) -> DataFrame:
+    """The tasks that wait on, each with its open needs less those that are ready in state; written."""
+    met = arrows.join(state.where("open = 0").select(F.col("task").alias("needs")), "needs", "left_semi").groupBy("task").agg(F.count(F.lit(1)).alias("met"))
+    return materialize(state.where("open > 0").join(met, "task", "left").select("task", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")))
+
+
 def blocked(tasks: DataFrame, needs: DataFrame) -> DataFrame:
     """(task): tasks that can never start, on a cycle or behind one. Needs that don't exist are dropped; a task that needs itself is a cycle.
 
-    Each round takes away what can start; there are as many rounds as waves.
+    Each round takes away what can start; there are as many rounds as waves, each with one written table.
     """
-    left = materialize(tasks.select("task").distinct())
-    open_needs = materialize(needs.select("task", "needs").distinct().join(left.select(F.col("task").alias("needs")), "needs", "left_semi"))
-    while True:
-        held = materialize(left.join(open_needs, "task", "left_semi"))
-        if held.count() == left.count():
-            return held
-        left, open_needs = held, materialize(open_needs.join(held.select(F.col("task").alias("needs")), "needs", "left_semi"))
+    state, arrows = _counted(tasks, needs)
+    while not state.where("open = 0").isEmpty():
+        last, state = state, _next(state, arrows)
+        forget(last)
+    forget(arrows)
+    return state.select("task")
 
 
 def levels(spark: SparkSession, tasks: DataFrame, needs: DataFrame) -> DataFrame:
     """(task, level): the wave in which each task of an acyclic plan can start; needs is (task, needs). Tasks on cycles or behind one have no level; needs that don't exist are dropped.
 
-    Each round takes away what can start, with a checkpoint; there are as many rounds as waves, and a task is looked at once a wave.
+    A task carries the number of its open needs, and a wave takes off those that got ready: one written table a wave, as many waves as the plan is deep.
     """
-    left = materialize(tasks.select("task").distinct())
-    arrows = materialize(needs.select("task", "needs").distinct().join(left.select(F.col("task").alias("needs")), "needs", "left_semi"))
-    out, wave = left.select("task", F.lit(0).alias("level")).where("false"), 0
-    while not left.isEmpty():
-        held = materialize(left.join(arrows, "task", "left_semi"))
-        ready = left.join(held, "task", "left_anti").select("task", F.lit(wave).alias("level"))
-        out = out.unionByName(ready)
-        out = materialize(out) if wave % 20 == 19 else out
-        if held.count() == left.count():
-            break
-        left, arrows, wave = held, materialize(arrows.join(held.select(F.col("task").alias("needs")), "needs", "left_semi")), wave + 1
+    state, arrows = _counted(tasks, needs)
+    out, wave, since = None, 0, []
+    while wave == 0 or not state.where("open = 0").isEmpty():
+        ready = state.where("open = 0").select("task", F.lit(wave).alias("level"))
+        since.append(state)
+        out = ready if out is None else out.unionByName(ready)
+        state, wave = _next(state, arrows), wave + 1
+        if wave % 20 == 0:  # a union of many scans takes long to plan
+            out = materialize(out)
+            forget(*since)
+            since = [out]
+    forget(state, arrows)
     return out
 
 
 def skipped(failed: DataFrame, needs: DataFrame) -> DataFrame:
-    """(task): what is skipped as something that it needs, directly or not, has failed; the failed (task) themselves aren't in it."""
+    """(task): what is skipped as something that it needs, directly or not, has failed; the failed (task) themselves aren't in it. One written table a wave."""
     arrows = needs.select("task", "needs").distinct()
-    seen = edge = materialize(failed.select("task").distinct())
+    first = seen = edge = materialize(failed.select("task").distinct())
+    wave, since = 0, [first]
     while not edge.isEmpty():
         edge = materialize(arrows.join(edge.select(F.col("task").alias("needs")), "needs", "left_semi").select("task").distinct().join(seen, "task", "left_anti"))
-        seen = materialize(seen.unionByName(edge))
-    return seen.join(failed, "task", "left_anti")
+        seen, wave = seen.unionByName(edge), wave + 1
+        since.append(edge)
+        if wave % 20 == 0:
+            seen = materialize(seen)
+            forget(*(x for x in since if x is not first and x is not edge))
+            since = [seen, edge]
+    return seen.join(first, "task", "left_anti")
 
 
 def declared_dependencies(edges: DataFrame, nodes: DataFrame) -> DataFrame:

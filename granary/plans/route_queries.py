@@ -261,4 +261,4 @@ def route_explain(spark, d):
 @query("SELECT o_orderkey, 'R$ ' || translate(format('{:,.2f}', o_totalprice::DOUBLE), ',.', '.,') AS money, translate(format('{:.1f}', o_totalprice::DOUBLE / 1000), '.', ',') AS number, coalesce(translate(format('{:.1f}', CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice::DOUBLE / 5000 END), '.', ',') || '%', 'n/d') AS percent FROM orders")
 def tab_format_ptbr(spark, d):
     o = table(spark, d, "orders").withColumn("x", F.col("o_totalprice").cast("double"))
-    return o.select("o_orderkey", text.money_ptbr(F.col("x"), 2).alias("money"), text.number_ptbr(F.col("x") / 1000, 1).alias("number"), text.percent_ptbr(F.when(F.col("o_orderkey") % 7 != 0, F.col("x") / 500000), 1).alias("percent"))
+    return o.select("o_orderkey", text.money_ptbr(F.col("x"), 2).alias("money"), text.number_ptbr(F.col("x") / 1000, 1).alias("number"), text.percent_ptbr(F.when(F.col("o_orderkey") % 7 != 0, F.col("x")), 1, 500000).alias("percent"))

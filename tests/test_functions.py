@@ -39,3 +39,8 @@ def test_deny_wins_and_claims_veto(spark):
 
 def test_uncalibrated_confidence_shrinks(spark):
     assert one(spark, scores.calibrated(F.lit(0.9), F.lit(1.0), F.lit(0.0), F.lit(False))) == 0.74
+
+
+def test_percentages_round_halves_as_the_quotient_does(spark):
+    rows = spark.createDataFrame([(438250.0, "87,7%"), (439750.0, "88,0%"), (384750.0, "77,0%"), (1.0, "0,0%"), (None, "n/d")], "x double, want string")
+    assert [r[0] for r in rows.where(~text.percent_ptbr(F.col("x"), 1, 500000).eqNullSafe(F.col("want"))).collect()] == []

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.operators import chunks, policy, uploads
 from granary.sources import files
-from granary.sources.scratch import shared_dir
+from granary.sources.scratch import dealt, shared_dir
 from granary.streaming import events as streams
 
 from . import fixtures as fx
@@ -15,9 +15,13 @@ from .fixtures import sql, table
 from .queries import query
 
 
+#: Manuals and documents that a task cuts; a manual has some 9 000 characters.
+MANUALS, DOCUMENTS = 5_000, 2_000
+
+
 def manuals(spark, d):
     """Parts as small marked-up manuals: headings of brand, type and size, and the name as sentences of a paragraph, more or less than 400 words long."""
-    p = table(spark, d, "part")
+    p = dealt(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), MANUALS, "p_partkey")
     body = F.concat(F.lit("# "), "p_brand", F.lit("\nIntro.\n## "), "p_type", F.lit("\n"), F.repeat(F.concat("p_name", F.lit(". ")), (150 + F.col("p_partkey") % 450).cast("int")), F.lit("\n\n### size "), "p_size", F.lit("\nlast words\n# End\n"))
     return p.select("p_partkey", body.alias("text"))
 
@@ -40,7 +44,7 @@ SELECT id AS {key}, (row_number() OVER (PARTITION BY id ORDER BY place, piece) -
 @query(_chunks_sql("doc_id", "SELECT doc_id AS id, 0 AS place, NULL::VARCHAR AS section, coalesce(text, '') AS text FROM documents"))
 def chunk_documents(spark, d):
     """The tables' documents have no blank lines and no headings, so the SQL takes each as one paragraph."""
-    return chunks.chunked(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "ordinal", "section", "words", F.sha2("text", 256).alias("text_sha256"))
+    return chunks.chunked(dealt(table(spark, d, "documents").select("doc_id", "text"), DOCUMENTS, "doc_id"), "doc_id", "text").select("doc_id", "ordinal", "section", "words", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query(_chunks_sql("p_partkey", """SELECT p_partkey AS id, unnest([0, 1, 2]) AS place, unnest([trim(p_brand), trim(p_brand) || ' › ' || trim(p_type), trim(p_brand) || ' › ' || trim(p_type) || ' › size ' || p_size]) AS section,

@@ -54,3 +54,10 @@ def test_paragraphs_too_long_leave_the_overlap_for_later():
     assert out[6:] == ["b2 b3 b4"]
     # What reaches the target leaves its tail as a chunk of its own; a paragraph that doesn't fit beside it comes after it.
     assert chunks.packed([words("a", 20), words("b", 39)], 20, 40, 3) == [words("a", 20), "a17 a18 a19", "a17 a18 a19\n\n" + words("b", 39), "b36 b37 b38"]
+
+
+def test_manuals_of_one_file_are_dealt_over_tasks(spark, monkeypatch):
+    from granary.plans import chunk_queries
+
+    monkeypatch.setattr(chunk_queries, "MANUALS", 50)
+    assert chunk_queries.manuals(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1

@@ -108,3 +108,16 @@ def test_pack_problems(spark):
     assert sorted(got["loop"]) == [f"ontology 'd': subclass cycle involving '{e}' via '{v}'" for e, v in (("A", "B"), ("B", "C"), ("C", "B"), ("D", "B"))]
     assert ontology.pack_problems(packs.limit(0)).collect() == []
     assert ontology.applied(*ontology.empty_graph(spark), ontology.ontology_facts(spark.createDataFrame([], ONTOLOGY)))[1].where(F.lit(True)).count() == 0
+
+
+def test_packs_are_dealt_once_and_ontologies_without_grandparents_are_left(spark):
+    from granary.plans import graph_queries
+
+    plan = ontology.claims(graph_queries._packs(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+    up = spark.createDataFrame([("p", 0, "d", "A", "B"), ("p", 0, "d", "B", "C"), ("p", 0, "d", "D", "D"), ("q", 0, "d", "A", "B"), ("p", 1, "d", "B", "A")], "pack_id string, n int, domain string, name string, parent string")
+    assert sorted((r.pack_id, r.n, r.name) for r in ontology._onward(up).collect()) == [("p", 0, "A"), ("p", 0, "D")]
+    shape = "pack_id string, ontologies array<struct<domain:string,entities:array<struct<name:string,parent:string>>,relations:array<struct<name:string,source:string,target:string>>>>, experts array<struct<id:string,domain:string,model:string,capabilities:array<struct<id:string,description:string,examples:array<string>,operates_on:array<string>>>,retrieval_domains:array<string>>>, models array<string>, defaults map<string,string>"
+    packs = spark.createDataFrame([("x", [("d", [("A", None), ("A", None), ("A", None)], None)], [("e", "d", "m", [("c", "yes", None, ["A"])], None), ("e", "d", "n", [("c", "yes", None, None)], None)], ["m"], None)], shape)
+    problems = sorted(r.problem for r in ontology.pack_problems(packs, spark.createDataFrame([("n",)], "model_id string")).collect())
+    assert [p.partition(" ")[0] for p in problems] == ["capability", "duplicate", "ontology", "ontology"]

@@ -21,9 +21,8 @@ conclusion eligible acceptable
 OPPOSITES = [("compliant", "non-compliant"), ("enforceable", "unenforceable"), ("valid", "invalid"), ("permitted", "prohibited"), ("approved", "rejected"), ("sim", "não"), ("yes", "no"), ("true", "false")]
 
 
-def incompatible(field: Column, a: Column, b: Column, tolerance: float = 0.02) -> Column:
-    """The kind of disagreement of two strings, or null: numbers by relative difference, words if they are verdicts or opposites."""
-    x, y = as_number(a), as_number(b)
+def incompatible(field: Column, a: Column, b: Column, x: Column, y: Column, tolerance: float = 0.02) -> Column:
+    """The kind of disagreement of two strings, or null: numbers by relative difference, words if they are verdicts or opposites. x and y are the strings as numbers, read once for each string and not for each pair."""
     numeric = F.abs(x - y) / F.greatest(F.abs(x), F.abs(y), F.lit(1e-9)) > tolerance
     p, q = F.lower(F.trim(a)), F.lower(F.trim(b))
     opposite = (p == F.concat(F.lit("not "), q)) | (q == F.concat(F.lit("not "), p))
@@ -43,9 +42,9 @@ def conflicts(fields: DataFrame, tolerance: float = 0.02) -> DataFrame:
     fields is of answers that are usable; what says how an answer came about isn't compared. Distinct values meet, not answers, so many equal answers cost one comparison; the first answer of each stands for it.
     """
     value = F.trim("value")
-    stated = fields.where(value.isNotNull() & (value != "") & ~F.col("field").isin(NOT_COMPARED)).groupBy("request_id", "field", "value").agg(F.min("answer_id").alias("answer_id"))
-    other = stated.select("request_id", "field", F.col("value").alias("value2"), F.col("answer_id").alias("second"))
-    pairs = stated.join(other, ["request_id", "field"]).where("answer_id < second").withColumn("kind", incompatible(F.col("field"), F.col("value"), F.col("value2"), tolerance))
+    stated = fields.where(value.isNotNull() & (value != "") & ~F.col("field").isin(NOT_COMPARED)).groupBy("request_id", "field", "value").agg(F.min("answer_id").alias("answer_id")).withColumn("number", as_number(F.col("value")))
+    other = stated.select("request_id", "field", F.col("value").alias("value2"), F.col("answer_id").alias("second"), F.col("number").alias("number2"))
+    pairs = stated.join(other, ["request_id", "field"]).where("answer_id < second").withColumn("kind", incompatible(F.col("field"), F.col("value"), F.col("value2"), F.col("number"), F.col("number2"), tolerance))
     return pairs.where("kind is not null").select("request_id", "field", F.col("answer_id").alias("first"), "second", "kind")
 
 
@@ -152,12 +151,22 @@ def _violates(rule: dict) -> Column:
     return RULES[rule["type"]](rule) if rule["type"] in RULES else F.lit(True)
 
 
+def weighed_mean() -> Column:
+    """The mean confidence of a group of accepted answers by weight."""
+    w = F.greatest("weight", F.lit(1e-6))
+    return F.sum(w * F.coalesce("confidence", F.lit(0.0))) / F.sum(w)
+
+
+def with_conflicts(mean: Column, open_: Column) -> Column:
+    """A mean less a fifth for each open conflict, half of it at most."""
+    return F.round(mean * F.greatest(F.lit(0.5), 1 - 0.2 * open_), 4)
+
+
 def reply_confidence(parts: DataFrame, unresolved: DataFrame) -> DataFrame:
     """(request_id, confidence): the mean over accepted answers by weight, less a fifth for each open conflict, half of it at most."""
-    w = F.greatest("weight", F.lit(1e-6))
-    mean = parts.where("accepted").groupBy("request_id").agg((F.sum(w * F.coalesce("confidence", F.lit(0.0))) / F.sum(w)).alias("mean"))
+    mean = parts.where("accepted").groupBy("request_id").agg(weighed_mean().alias("mean"))
     open_ = unresolved.groupBy("request_id").agg(F.count(F.lit(1)).alias("open"))
-    return mean.join(open_, "request_id", "left").select("request_id", F.round(F.col("mean") * F.greatest(F.lit(0.5), 1 - 0.2 * F.coalesce("open", F.lit(0))), 4).alias("confidence"))
+    return mean.join(open_, "request_id", "left").select("request_id", with_conflicts(F.col("mean"), F.coalesce("open", F.lit(0))).alias("confidence"))
 
 
 def best_citations(cited: DataFrame) -> DataFrame:

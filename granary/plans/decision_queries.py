@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from granary.functions import text, tolerant_json
 from granary.operators import answering, arbitration, extraction, policy
 from granary.operators import answers as A
+from granary.sources.scratch import dealt
 
 from . import fixtures as fx
 from .fixtures import table
@@ -16,10 +17,10 @@ from .route_queries import _SENTENCES, ASKED
 
 def _answers(spark, d):
     """Four answers of each request: verified, some of them in error."""
-    e = table(spark, d, "events")
+    e = dealt(table(spark, d, "events").select("event_id", "user_id", "event_type", "value", "props", F.floor(F.col("event_id") / 4).alias("request_id")), 50_000, "request_id")
     broken = F.col("event_id") % 13 == 0
     rows = e.select(
-        F.floor(F.col("event_id") / 4).alias("request_id"), F.col("event_id").alias("answer_id"), F.concat(F.lit("e"), F.col("user_id") % 5).alias("expert_id"), F.concat(F.lit("d"), F.col("user_id") % 3).alias("domain"),
+        "request_id", F.col("event_id").alias("answer_id"), F.concat(F.lit("e"), F.col("user_id") % 5).alias("expert_id"), F.concat(F.lit("d"), F.col("user_id") % 3).alias("domain"),
         F.concat(F.lit(" "), F.col("event_type"), F.lit(" it is\n")).alias("content"), F.when(broken, F.concat(F.lit("timeout "), F.col("event_id"))).alias("error"), (~broken).alias("ok"),
         (F.get_json_object("props", "$.k").cast("double") / 100).alias("confidence"), (F.col("event_id") % 3 != 0).alias("calibrated"), ((F.col("user_id") % 5) / 4).alias("authority"), (F.col("event_id") % 2).cast("int").alias("citations"),
         F.create_map(F.lit("amount"), (F.floor(F.col("value") / 50) * 50).cast("string"), F.lit("status"), F.col("event_type"), F.lit("note"), F.concat(F.lit("n"), F.col("event_id"))).alias("structured"),

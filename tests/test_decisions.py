@@ -155,3 +155,10 @@ def test_json_out_of_damaged_texts(spark):
             assert json.loads(text) == (pytest.approx(want) if isinstance(want, float) else want), t
     objects = spark.createDataFrame([("[1]",), ('x {"a": 1}',)], "t string").select(F.to_json(tolerant_json.extracted_object(F.col("t"))).alias("v")).collect()
     assert [r.v for r in objects] == [None, '{"a":1}']
+
+
+def test_numbers_are_read_once_a_value_and_not_for_each_pair(spark):
+    a, f = spark.createDataFrame([answer(1, 1), answer(1, 2)], ANSWERS), spark.createDataFrame([(1, 1, "amount", "R$ 1"), (1, 2, "amount", "2")], "request_id long, answer_id long, field string, value string")
+    found = arbitration.all_conflicts(a, f)
+    above = found._jdf.queryExecution().executedPlan().toString().split("Join", 1)[0]
+    assert "regexp" not in above.lower() and "rlike" not in above.lower() and found.first().kind == "numeric_disagreement"

@@ -47,3 +47,32 @@ def test_slices_of_queries_find_the_same(spark):
         assert len(best) == 4 and [r[2] for r in best[:2]] == [q, 1000 + q]
         assert best[0][3] >= 0.5 and np.isclose(vectors[q] @ vectors[q], 1)
     assert all(q not in (0, 1) for q, *_ in whole)
+
+
+def test_features_are_counted_where_their_parts_are(spark):
+    """Parts are dealt by their number, and neither features nor counts are shuffled after that."""
+    from granary.plans.queries import embed_features
+
+    plan = embed_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_pairs_are_not_remembered_and_hash_alike():
+    space = embedding.HashSpace()
+    space.sums(pa.array([["one", "two", "three"]], pa.list_(pa.string())))
+    assert not [f for f in space.known if f.startswith("b:")] and "w:one" in space.known
+    assert space.hashed(["b:one_two", "w:one"]).tolist() == space.places(["b:one_two", "w:one"]).tolist() and len(space.hashed([])) == 0
+
+
+def test_chunks_of_one_file_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "CHUNKS", 2)
+    chunks = spark.createDataFrame([(i, f"word{i} shared text") for i in range(6)], "id long, text string").coalesce(1)
+    found = retrieval.hybrid_search(spark.createDataFrame([(1, "word3 shared")], "id long, text string"), chunks, k=3)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString() and found.where("rank = 1").first().id == 3
+
+
+def test_keywords_shuffle_texts_and_not_tokens(spark):
+    rows = spark.createDataFrame([(1, "beta alpha beta"), (2, "some"), (1, "alpha alpha"), (3, None)], "id long, text string")
+    best = retrieval.keywords(rows, "id", "text")
+    assert best._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(map(tuple, best.collect())) == [(1, "alpha beta"), (2, "some")]

@@ -121,3 +121,24 @@ def test_packs_are_dealt_once_and_ontologies_without_grandparents_are_left(spark
     packs = spark.createDataFrame([("x", [("d", [("A", None), ("A", None), ("A", None)], None)], [("e", "d", "m", [("c", "yes", None, ["A"])], None), ("e", "d", "n", [("c", "yes", None, None)], None)], ["m"], None)], shape)
     problems = sorted(r.problem for r in ontology.pack_problems(packs, spark.createDataFrame([("n",)], "model_id string")).collect())
     assert [p.partition(" ")[0] for p in problems] == ["capability", "duplicate", "ontology", "ontology"]
+
+
+def test_unknown_tasks_on_a_ring_are_on_no_cycle_and_components_are_of_few_written_rows(spark, monkeypatch):
+    """Trimming comes first, so a long plan without cycles is never written whole; a ring through an unknown task isn't one."""
+    real = components.materialize
+    chain = [(i, i - 1) for i in range(1, 4)]
+    ring = [(10, 11), (11, 12), (12, 10), (12, 10), (20, 21), (21, 20), (10, 10)]
+    tasks = spark.createDataFrame([(i,) for i in (0, 1, 2, 3, 10, 11, 12, 20)], "task long")
+    needs = spark.createDataFrame(chain + ring, "task long, needs long")
+    sizes = []
+
+    def counted(df):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "materialize", counted)
+    found = components.components(tasks, needs)
+    assert sorted(map(tuple, found.collect())) == [(10, 10), (11, 10), (12, 10)]
+    assert sizes[0] < len(chain + ring) - 2
+    assert sorted(map(tuple, components.without_cycles(tasks, needs, found).collect())) == [(1, 0), (2, 1), (3, 2), (10, 11), (11, 12)]

@@ -71,10 +71,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, most: in
     """Inner join of many rows with one row for each key, where size is the number of rows of the key.
 
     Keys with more than 1 / most of all rows, of which there are fewer than most, are broadcast, so no key's rows meet in one
-    task; the rest is a shuffled join.
+    task; the rest is a shuffled join, and all of it is where there are no such keys.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    large = F.col(size) > max(1000, total // most)
+    total, largest = groups.agg(F.sum(size), F.max(size)).first()
+    least = max(1000, (total or 0) // most)
+    if (largest or 0) <= least:
+        return rows.join(groups, on)
+    large = F.col(size) > least
     hot = F.broadcast(groups.where(large))
     return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(groups.where(~large), on))
 

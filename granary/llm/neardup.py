@@ -166,7 +166,8 @@ def near_components(docs: DataFrame, *, k: int = 3, percent: int = 85, id_col: s
     classes = live.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
     member = materialize(live.select("id", "f1", "f2", "n").distinct().join(classes, ["f1", "f2", "n"]))
     links = member.where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-    heads = live.join(classes.withColumnRenamed("rep", "id"), ["f1", "f2", "n", "id"], "left_semi").dropDuplicates(["id", "f1", "f2"])
+    # Written, as six steps read it: made anew in each, its joins were most of the driver's jobs, plans and threads.
+    heads = materialize(live.join(classes.withColumnRenamed("rep", "id"), ["f1", "f2", "n", "id"], "left_semi").dropDuplicates(["id", "f1", "f2"]))
     bucket = heads.select("id", "f1", "n", F.posexplode("keys").alias("band", "key"))
     shared = materialize(bucket.groupBy("key").agg(F.min(F.struct("id", "f1")).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1"))
     bucket = materialize(join_groups(bucket, shared, "key", "many"))
@@ -214,6 +215,7 @@ def near_components(docs: DataFrame, *, k: int = 3, percent: int = 85, id_col: s
         return pa.table([t.column(c).take(pa.array(x)) for x in (i, j) for c in ("id", "f1")], ["id", "f1", "id2", "g1"])
 
     more = materialize(again.applyInArrow(verify, f"id {kind}, f1 long, id2 {kind}, g1 long").distinct())
+    forget(heads)
     edges = links.unionByName(found.select(F.col("id").alias("a"), F.col("id2").alias("b"))).unionByName(more.select(F.col("id").alias("a"), F.col("id2").alias("b")))
     comp = components(edges.where("a != b"))
     out = seen.select("id", "n").join(comp, "id", "left")
@@ -305,12 +307,12 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, comp) of every node of the edges (a, b): the smallest node that it reaches.
 
     Large-star links the larger neighbours of each node to the smallest of the node and its neighbours; small-star links
-    the node and its smaller neighbours to that smallest. They alternate until neither changes the edges. What a node with
-    very many neighbours has is broadcast to their rows, so its edges needn't meet in one task.
+    the node and its smaller neighbours to that smallest. They alternate until all edges lead straight to a smallest node, which
+    neither would change; edges that do so from the start take no round. What a node with very many neighbours has is broadcast
+    to their rows, so its edges needn't meet in one task.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    mark = None
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("many")))
         wide = materialize(join_groups(both.where("b > a"), least, "a", "many").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct())
@@ -319,10 +321,14 @@ def components(edges: DataFrame) -> DataFrame:
         down = join_groups(wide, least, "a", "many").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         edges = materialize(down.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         forget(wide, least)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if tuple(now) == mark:
-            return edges.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "id").unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())
-        mark = tuple(now)
+    return edges.withColumnsRenamed({"a": "id", "b": "comp"}).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each larger end a has one edge only, to a node b that is no larger end itself; all edges have a > b."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("ups"), F.lit(0).alias("downs")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("ups"), F.lit(1).alias("downs")))
+    bent = ends.groupBy("node").agg(F.sum("ups").alias("ups"), F.max("downs").alias("downs")).where("ups > 1 or ups = 1 and downs = 1")
+    return bent.agg(F.count(F.lit(1))).first()[0] == 0
 
 
 def keep_one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rows: int = 6, miss: float = 1e-5) -> DataFrame:

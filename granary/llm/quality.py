@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, SLICE, blocks, borders, bounded_sample, mix, small_batches, tidy, word_hashes
+from .common import NOT_SPACE, SLICE, blocks, borders, bounded_sample, give_back, mix, small_batches, tidy, word_hashes
 
 #: The feature of a word that repeats the one before it.
 REPEAT = np.uint64(0x5A4D)
@@ -109,7 +109,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column | None = None,
         prior = np.clip((ys.sum() + 0.5) / (len(ys) + 1), 0.01, 0.99)
         return QualityModel(np.zeros(buckets, np.float32), float(np.log(prior / (1 - prior))))
     bags = [(np.frombuffer(r.bucket, np.int32), np.frombuffer(r.share, np.float32)) for r in rows]
-    return _train(bags, ys.astype(np.int64), buckets, dim, max(epochs, -(-least_steps * batch // len(bags))), rate, batch, seed)
+    del rows
+    model = _train(bags, ys.astype(np.int64), buckets, dim, max(epochs, -(-least_steps * batch // len(bags))), rate, batch, seed)
+    del bags
+    give_back()
+    return model
 
 
 def _train(bags: list, ys: np.ndarray, buckets: int, dim: int, epochs: int, rate: float, batch: int, seed: int) -> QualityModel:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm import ann, chat, class_lm, decontam, neardup, pieces, quality, queries, token_counts, toxicity, warc
+from granary.llm import ann, chat, class_lm, common, decontam, neardup, pieces, quality, queries, token_counts, toxicity, warc
 from granary.llm.common import bounded_sample, crc_mod, hash_word
 
 ODD = [(1, ""), (2, None), (3, "   \t\n"), (4, "x" * 30000), (5, "same words here"), (6, "same words here"), (6, "same words here"), (None, "no id at all"), (8, "日本語 テスト é 😀"), (9, " ".join(f"w{i}" for i in range(8000)))]
@@ -278,3 +278,32 @@ def test_pipeline_keeps_columns_and_drops_contaminated(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     out = corpus_pipeline.decontaminate(spark, docs, d)
     assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+
+
+def written(monkeypatch, spark, run):
+    """What run gives, how many tables it wrote on the way, and how many jobs it took."""
+    tables, real, group = [], neardup.materialize, f"written-{id(run)}"
+    monkeypatch.setattr(neardup, "materialize", lambda df: tables.append(real(df)) or tables[-1])
+    spark.sparkContext.setJobGroup(group, group)
+    out = run().collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(tables), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    stars = spark.createDataFrame([(i, 10 * (i // 10)) for i in range(50)] + [(7, 0)], "a long, b long")
+    out, tables, _ = written(monkeypatch, spark, lambda: neardup.components(stars))
+    assert sorted(map(tuple, out)) == [(i, 10 * (i // 10)) for i in range(50)] and tables == 1  # nine before
+    # A middle node, a node with two smaller ones, and a star whose middle isn't its smallest node.
+    for edges, comp in (([(1, 2), (2, 3)], 1), ([(1, 3), (2, 3)], 1), ([(5, 9), (5, 2), (5, 7)], 2)):
+        out, tables, _ = written(monkeypatch, spark, lambda e=edges: neardup.components(spark.createDataFrame(e, "a long, b long")))
+        assert sorted(map(tuple, out)) == [(x, comp) for x in sorted({x for e in edges for x in e})] and 5 <= tables <= 9
+
+
+def test_join_groups_with_and_without_large_keys(spark):
+    rows = spark.createDataFrame([(0, i) for i in range(1500)] + [(i, i) for i in range(1, 50)] + [(99, 0), (None, 1)], "k int, v int")
+    groups = spark.createDataFrame([(i, 1500 if i == 0 else 1, f"g{i}") for i in range(50)], "k int, many int, g string")
+    whole = sorted([(0, i, 1500, "g0") for i in range(1500)] + [(i, i, 1, f"g{i}") for i in range(1, 50)])
+    for g, want in ((groups, whole), (groups.where("k > 0"), [r for r in whole if r[0]]), (groups.where("k < 0"), [])):
+        out = common.join_groups(rows, g, "k", "many")
+        assert out.columns == ["k", "v", "many", "g"] and sorted(map(tuple, out.collect())) == want

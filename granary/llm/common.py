@@ -67,7 +67,7 @@ def regrouped(batches, rows: int, most_bytes: int = 64 << 20):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, most: int = 50_000) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, on: str | list[str], size: str, most: int = 50_000) -> DataFrame:
     """Inner join of many rows with one row for each key, where size is the number of rows of the key.
 
     Keys with more than 1 / most of all rows, of which there are fewer than most, are broadcast, so no key's rows meet in one

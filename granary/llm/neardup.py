@@ -18,7 +18,9 @@ the Jaccard similarity of their sets reaches a threshold. The steps:
 
 Nothing is capped: a bucket of any size is dealt with by the last step, in cells bounded by members and by bytes. What is
 known of a bucket or of a node with very many members is broadcast to them, so they needn't meet in one task. Components are by alternating large-star and
-small-star; every round is written to the shared folder.
+small-star; every round is written to the shared folder. The last step's links join the components of the first ones, so only these are
+searched anew. Each shuffle and written table costs every partition something, however few its rows: classes are made in one, and
+rows take their component by their class.
 
 Cases: a text that is null, empty or without words has an empty set and is linked with nothing; a null id is linked with
 nothing, its component is null and it is kept; rows with the same id are one node, whose sets each may be linked. Columns other
@@ -161,47 +163,43 @@ def near_components(docs: DataFrame, *, k: int = 3, percent: int = 85, id_col: s
     bands = bands_for(percent / 100, rows, miss)
     kind = docs.schema[id_col].dataType.simpleString()
     seen = materialize(sketches(docs, k, rows, bands, id_col, text_col))
-    live = seen.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    # A class of equal sets is known by its smallest id; "c" is the class's key, as one id may have rows with several sets.
-    classes = live.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
-    member = materialize(live.select("id", "f1", "f2", "n").distinct().join(classes, ["f1", "f2", "n"]))
-    links = member.where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-    # Written, as six steps read it: made anew in each, its joins were most of the driver's jobs, plans and threads.
-    heads = materialize(live.join(classes.withColumnRenamed("rep", "id"), ["f1", "f2", "n", "id"], "left_semi").dropDuplicates(["id", "f1", "f2"]))
+    known = F.col("id").isNotNull() & (F.col("n") > 0)
+    live = seen.where(known)
+    # A class of equal sets is known by its smallest id, and with f1 wherever one id may have rows with several sets. Equal sets have equal sketches.
+    same = ["f1", "f2", "n"]
+    heads = materialize(live.groupBy(same).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
     bucket = heads.select("id", "f1", "n", F.posexplode("keys").alias("band", "key"))
     shared = materialize(bucket.groupBy("key").agg(F.min(F.struct("id", "f1")).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1"))
-    bucket = materialize(join_groups(bucket, shared, "key", "many"))
-    sigs = heads.select("id", "f1", "n", "sig")
-    star = materialize(bucket.select("id", "f1", F.col("first.id").alias("id2"), F.col("first.f1").alias("g1")).where("id != id2 or f1 != g1").distinct())
-    bucket = bucket.select("key", "id", "f1", "n", "band")
-    screened = materialize(_screened(star, sigs, rows * bands, percent))
-    found = materialize(_verified(docs, screened, k, percent, id_col, text_col))
-    forget(star, screened, shared)
+    bucket = materialize(join_groups(bucket, shared, "key", "many").select("key", "id", "f1", "n", "band", F.col("first.id").alias("id2"), F.col("first.f1").alias("g1")))
+    salts = _salts(shared.select(F.col("first.id").alias("id2"), F.col("first.f1").alias("g1"), "many"))
+    screened = materialize(_screened(bucket, heads.select("id", "f1", "n", "sig"), salts, rows * bands, percent))
+    found = materialize(_verified(docs, screened, salts, k, percent, id_col, text_col))
+    forget(screened, shared, *([salts] if salts else []))
     group = materialize(_classes(found, heads))
     # Buckets with members of several components.
-    at = bucket.join(group, ["id", "f1"])
-    mixed = materialize(at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("many")).where("x != y").select("key", "many"))
-    at = materialize(join_groups(at, mixed, "key", "many").drop("many"))
-    sizes = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n") * 8).alias("size"))
-    total = sizes.groupBy("key").agg(F.max(F.struct("m", "comp", "size")).alias("top"), F.sum("m").alias("all"), F.sum("size").alias("all_size"))
+    held = materialize(bucket.select("key", "id", "f1", "n", "band").join(group.select("id", "f1", "root", F.xxhash64("root").alias("comp")), ["id", "f1"]))
+    forget(bucket, found)
+    sizes = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n") * 8).alias("size"))
+    total = sizes.groupBy("key").agg(F.max(F.struct("m", "comp", "size")).alias("top"), F.sum("m").alias("all"), F.sum("size").alias("all_size"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     cuts = lambda m, size: F.greatest(F.lit(1), F.ceil(m / CELL), F.ceil(size / CELL_BYTES)).cast("int")
     plan = materialize(total.select("key", "all", F.col("top.comp").alias("major"), cuts(F.col("top.m"), F.col("top.size")).alias("nb"), cuts(F.col("all") - F.col("top.m"), F.col("all_size") - F.col("top.size")).alias("na")))
     spot = F.xxhash64("id", "f1")
     # A pair's first shared band is told by the keys of the bands before this one: low bytes may agree where minima don't.
-    at = join_groups(at, plan, "key", "all").join(heads.select("id", "f1", "sig", "keys"), ["id", "f1"]).withColumn("earlier", F.slice("keys", F.lit(1), F.col("band")))
+    at = join_groups(held, plan, "key", "all").join(heads.select("id", "f1", "sig", "keys"), ["id", "f1"]).withColumn("earlier", F.slice("keys", F.lit(1), F.col("band")))
     minor, major = F.col("comp") != F.col("major"), F.col("comp") == F.col("major")
     own = F.pmod(spot, F.when(minor, F.col("na")).otherwise(F.col("nb"))).cast("int")
     everywhere = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda j: F.struct(F.least(own, j).alias("a"), F.greatest(own, j).alias("b")))
     beside = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(own.alias("a"), (F.col("na") + j).alias("b")))
     under = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda j: F.struct(j.alias("a"), (F.col("na") + own).alias("b")))
-    cells = at.select("key", "band", "id", "f1", "n", "comp", "sig", "earlier", own.alias("own"), major.alias("big"), F.col("na"), F.explode(F.when(minor, F.concat(everywhere, beside)).otherwise(under)).alias("cell"))
-    cells = cells.select("key", F.col("cell.a").alias("a"), F.col("cell.b").alias("b"), "band", "id", "f1", "n", "comp", "sig", "earlier", F.when(F.col("big"), F.col("na") + F.col("own")).otherwise(F.col("own")).alias("side"))
+    cells = at.select("key", "band", "id", "f1", "n", "comp", "root", "sig", "earlier", own.alias("own"), major.alias("big"), F.col("na"), F.explode(F.when(minor, F.concat(everywhere, beside)).otherwise(under)).alias("cell"))
+    cells = cells.select("key", F.col("cell.a").alias("a"), F.col("cell.b").alias("b"), "band", "id", "f1", "n", "comp", "root", "sig", "earlier", F.when(F.col("big"), F.col("na") + F.col("own")).otherwise(F.col("own")).alias("side"))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shape = f"key long, a int, b int, band int, id {kind}, f1 long, n long, comp long, sig binary, earlier array<long>, side int"
+    node = f"struct<id: {kind}, f1: bigint>"
+    shape = f"key long, a int, b int, band int, id {kind}, f1 long, n long, comp long, root {node}, sig binary, earlier array<long>, side int"
     meeting = cells.repartition(tasks, "key", "a", "b").groupBy("key", "a", "b")
     some = materialize(meeting.applyInArrow(lambda key, t: t.take(pa.array(np.unique(_pairs_in(key, t, bands, rows, percent)))), shape))
-    sets = full_sets(docs, some.select("id").distinct(), k, id_col, text_col)
-    again = some.join(sets, ["id", "f1"]).select("key", "a", "b", "band", "id", "f1", "n", "comp", "sig", "earlier", "side", "hashes").repartition(tasks, "key", "a", "b").groupBy("key", "a", "b")
+    sets = full_sets(docs, some.select("id"), k, id_col, text_col)
+    again = some.join(sets, ["id", "f1"]).select("key", "a", "b", "band", "id", "f1", "n", "comp", "root", "sig", "earlier", "side", "hashes").repartition(tasks, "key", "a", "b").groupBy("key", "a", "b")
 
     def verify(key, t):
         full = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("hashes")]
@@ -212,15 +210,24 @@ def near_components(docs: DataFrame, *, k: int = 3, percent: int = 85, id_col: s
                 comp[comp == comp[j]] = comp[i]
                 out.append((i, j))
         i, j = np.array(out, np.int64).reshape(-1, 2).T
-        return pa.table([t.column(c).take(pa.array(x)) for x in (i, j) for c in ("id", "f1")], ["id", "f1", "id2", "g1"])
-
-    more = materialize(again.applyInArrow(verify, f"id {kind}, f1 long, id2 {kind}, g1 long").distinct())
-    forget(heads)
-    edges = links.unionByName(found.select(F.col("id").alias("a"), F.col("id2").alias("b"))).unionByName(more.select(F.col("id").alias("a"), F.col("id2").alias("b")))
-    comp = components(edges.where("a != b"))
-    out = seen.select("id", "n").join(comp, "id", "left")
-    component = F.coalesce("comp", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+        return pa.table([t.column("root").take(pa.array(x)) for x in (i, j)], ["a", "b"])
+
+    more = materialize(again.applyInArrow(verify, f"a {node}, b {node}").distinct())
+    forget(held, plan, some)
+    if more.count():
+        merged = group.groupBy("root").agg(F.count(F.lit(1)).alias("many")).join(components(more).select(F.col("id").alias("root"), "comp"), "root", "left")
+        merged = materialize(merged.select("root", "many", F.coalesce("comp", "root").alias("last")))
+        group = materialize(join_groups(group, merged, "root", "many").drop("root", "many").withColumnRenamed("last", "root"))
+    # Rows take the component of their class, without a join by id: that is only needed where an id has rows in several.
+    classes = group.select(*same, "copies", F.col("root.id").alias("root"))
+    rest = seen.where(known.isNull() | ~known).select("id", "n", F.col("id").alias("root"))
+    placed = materialize(join_groups(live.select("id", *same), classes, same, "copies").select("id", "n", "root").unionByName(rest))
+    forget(seen, heads, more)
+    if placed.groupBy("id").agg((F.min("root") != F.max("root")).alias("several")).agg(F.max("several")).first()[0]:
+        comp = components(placed.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a != b"))
+        placed = placed.drop("root").join(comp.withColumnRenamed("comp", "root"), "id", "left")
+    component = F.coalesce("root", "id")
+    return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def _pairs_in(key: tuple, t: pa.Table, bands: int, rows: int, percent: int) -> np.ndarray:
@@ -254,20 +261,31 @@ def _least_agreement(width: int, percent: int) -> int:
     return max(1, int(width * t - 6 * math.sqrt(width * t * (1 - t))))
 
 
-def _spread(pairs: DataFrame, size: int = 1000):
-    """pairs with a salt, and a function that copies a table of (id2, g1) for each salt: of a partner of very many, at most about size meet in one place."""
-    many = pairs.groupBy("id2", "g1").agg(F.count(F.lit(1)).alias("many"))
-    hot = F.broadcast(many.where(F.col("many") > max(size, pairs.count() // 50_000)).select("id2", "g1", F.ceil(F.col("many") / size).cast("int").alias("salts")))
-    salts = F.coalesce("salts", F.lit(1))
-    salted = pairs.join(hot, ["id2", "g1"], "left").withColumn("salt", F.pmod(F.xxhash64("id", "f1"), salts).cast("int")).drop("salts")
-    return salted, lambda t: t.join(hot, ["id2", "g1"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+def _salts(partners: DataFrame, size: int = 1000) -> DataFrame | None:
+    """(id2, g1, salts) of the partners of very many, given how many each bucket brings them; None if there are none."""
+    many = partners.groupBy("id2", "g1").agg(F.sum("many").alias("many"))
+    total, largest = many.agg(F.sum("many"), F.max("many")).first()
+    least = max(size, (total or 0) // 50_000)
+    return materialize(many.where(F.col("many") > least).select("id2", "g1", F.ceil(F.col("many") / size).cast("int").alias("salts"))) if (largest or 0) > least else None
+
+
+def _spread(pairs: DataFrame, salts: DataFrame | None):
+    """pairs with a salt, a function that copies a table of (id2, g1) for each salt, and what they are joined by: of a partner of very many, at most about 1 000 meet in one place."""
+    if salts is None:
+        return pairs, lambda t: t, ["id2", "g1"]
+    hot, n = F.broadcast(salts), F.coalesce("salts", F.lit(1))
+    salted = pairs.join(hot, ["id2", "g1"], "left").withColumn("salt", F.pmod(F.xxhash64("id", "f1"), n).cast("int")).drop("salts")
+    return salted, lambda t: t.join(hot, ["id2", "g1"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("salts"), ["id2", "g1", "salt"]
 
 
-def _screened(pairs: DataFrame, sigs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs whose sizes and signatures allow a link."""
+def _screened(bucket: DataFrame, sigs: DataFrame, salts: DataFrame | None, width: int, percent: int) -> DataFrame:
+    """Pairs of a class and the first of one of its buckets, (id2, g1), whose sizes and signatures allow a link."""
     least = _least_agreement(width, percent)
-    pairs, copied = _spread(pairs)
-    both = pairs.join(sigs, ["id", "f1"]).join(copied(sigs.select(F.col("id").alias("id2"), F.col("f1").alias("g1"), F.col("n").alias("n2"), F.col("sig").alias("sig2"))), ["id2", "g1", "salt"])
+    # A class has no more firsts than bands; kept together, they take its signature in one row.
+    firsts = bucket.where("id != id2 or f1 != g1").groupBy("id", "f1").agg(F.collect_set(F.struct("id2", "g1")).alias("firsts"))
+    pairs = firsts.join(sigs, ["id", "f1"]).select("id", "f1", "n", "sig", F.explode("firsts").alias("p")).select("id", "f1", "n", "sig", "p.id2", "p.g1")
+    pairs, copied, on = _spread(pairs, salts)
+    both = pairs.join(copied(sigs.select(F.col("id").alias("id2"), F.col("f1").alias("g1"), F.col("n").alias("n2"), F.col("sig").alias("sig2"))), on)
     both = both.where(F.least("n", "n2") * 100 >= percent * F.greatest("n", "n2"))
     kind = pairs.schema["id"].dataType.simpleString()
 
@@ -279,14 +297,14 @@ def _screened(pairs: DataFrame, sigs: DataFrame, width: int, percent: int) -> Da
     return both.select("id", "f1", "id2", "g1", "sig", "sig2").mapInArrow(tidy(run), f"id {kind}, f1 long, id2 {kind}, g1 long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, salts: DataFrame | None, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
     kind = pairs.schema["id"].dataType.simpleString()
-    ids = pairs.select("id").unionByName(pairs.select(F.col("id2").alias("id"))).distinct()
+    ids = pairs.select("id").unionByName(pairs.select(F.col("id2").alias("id")))
     # Not written: both joins take the sets as full_sets deals them out, so they are shuffled once for the two.
     sets = full_sets(docs, ids, k, id_col, text_col)
-    pairs, copied = _spread(pairs)
-    both = pairs.join(sets, ["id", "f1"]).join(copied(sets.select(F.col("id").alias("id2"), F.col("f1").alias("g1"), F.col("hashes").alias("other"))), ["id2", "g1", "salt"])
+    pairs, copied, on = _spread(pairs, salts)
+    both = pairs.join(sets, ["id", "f1"]).join(copied(sets.select(F.col("id").alias("id2"), F.col("f1").alias("g1"), F.col("hashes").alias("other"))), on)
 
     def run(batches):
         for b in batches:
@@ -297,10 +315,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: s
 
 
 def _classes(found: DataFrame, heads: DataFrame) -> DataFrame:
-    """(id, f1, comp) of every class; comp is a number of the component, its own hash where nothing is linked."""
-    node = F.xxhash64("id", "f1")
-    edges = found.select(node.alias("a"), F.xxhash64("id2", "g1").alias("b")).where("a != b")
-    return heads.select("id", "f1", node.alias("node")).join(components(edges).withColumnRenamed("id", "node"), "node", "left").select("id", "f1", F.coalesce("comp", "node").alias("comp"))
+    """(f1, f2, n, id, copies, root) of every class; root is the smallest class, (id, f1), of its component, itself where nothing is linked."""
+    node = F.struct("id", "f1")
+    edges = found.select(node.alias("a"), F.struct(F.col("id2").alias("id"), F.col("g1").alias("f1")).alias("b")).where("a != b")
+    roots = components(edges).select(F.col("id").alias("node"), F.col("comp").alias("root"))
+    return heads.select("f1", "f2", "n", "id", "copies", node.alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -307,3 +307,49 @@ def test_join_groups_with_and_without_large_keys(spark):
     for g, want in ((groups, whole), (groups.where("k > 0"), [r for r in whole if r[0]]), (groups.where("k < 0"), [])):
         out = common.join_groups(rows, g, "k", "many")
         assert out.columns == ["k", "v", "many", "g"] and sorted(map(tuple, out.collect())) == want
+
+
+def near_copies(seed, n, words=60, changed=5):
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(400)}" for _ in range(words)]
+    for _ in range(n):
+        own = list(base)
+        for _ in range(rng.randrange(changed)):
+            own[rng.randrange(words)] = f"x{rng.randrange(99)}"
+        yield " ".join(own)
+
+
+def test_near_components_of_repeated_ids_and_classes_of_copies(spark):
+    """Ids with several sets join the components of all of them, an empty text's row goes with its id, and copies with their class."""
+    texts = [(i % 25 + 100 * (i > 70), t) for i, t in enumerate([*near_copies(1, 40), *near_copies(2, 40)])] + [(i, "the same few words") for i in range(200, 230)]
+    texts += [(3, ""), (124, None), (230, " "), (229, "one more text of its own")]
+    got = neardup.near_components(spark.createDataFrame(texts, "doc_id long, text string"), k=3, percent=70, rows=4).collect()
+    sets, own = {}, {i: i for i, _ in texts}
+    for at, (i, t) in enumerate(texts):
+        sets[at] = i, brute_components([(at, t)], 3, 70)[at][0], {tuple(w) for w in (((t or "").split()[j : j + 3]) for j in range(max(1, len((t or "").split()) - 2))) if w}
+    changed = True
+    while changed:
+        changed = False
+        for i, _, x in sets.values():
+            for j, _, y in sets.values():
+                if x and 100 * len(x & y) >= 70 * len(x | y) and own[i] != own[j]:
+                    own[i] = own[j] = min(own[i], own[j])
+                    changed = True
+    assert sorted(map(tuple, got)) == sorted((i, n, own[i], own[i] == i) for i, n, _ in sets.values())
+
+
+def test_near_components_with_a_partner_of_very_many(spark, monkeypatch):
+    """What is salted and broadcast where a bucket's first has very many members gives the same rows."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*near_copies(3, 60), *near_copies(4, 60)])], "doc_id long, text string")
+    plain = sorted(map(tuple, neardup.near_components(docs, k=3, percent=70, rows=4).collect()))
+    real, spread = neardup._salts, []
+    monkeypatch.setattr(neardup, "_salts", lambda partners: spread.append(partners) or real(partners.withColumn("many", F.col("many") * 1000)))
+    assert sorted(map(tuple, neardup.near_components(docs, k=3, percent=70, rows=4).collect())) == plain and len(spread) == 1
+
+
+def test_near_components_takes_few_jobs_and_tables(spark, monkeypatch):
+    """With very many partitions each of them costs, whatever the rows."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*near_copies(5, 30), *near_copies(6, 30)])], "doc_id long, text string").cache()
+    docs.count()
+    out, tables, jobs = written(monkeypatch, spark, lambda: neardup.near_components(docs, k=3, percent=70, rows=4))
+    assert len(out) == 60 and tables <= 20 and jobs <= 100  # 28 and 127 before

@@ -123,6 +123,25 @@ def test_packs_are_dealt_once_and_ontologies_without_grandparents_are_left(spark
     assert [p.partition(" ")[0] for p in problems] == ["capability", "duplicate", "ontology", "ontology"]
 
 
+def test_every_customer_has_a_pack_and_those_without_ontologies_say_so(spark):
+    from granary.plans import graph_queries
+
+    d = "/root/testdata/sf0.001"
+    customers = spark.read.parquet(f"{d}/customer.parquet")
+    nation = {r.c_custkey: r.c_nationkey for r in customers.collect()}
+    assert {r.pack_id for r in graph_queries._packs(spark, d).select("pack_id").collect()} == set(nation)
+    got = {}
+    for r in graph_queries.pack_validate(spark, d).collect():
+        got.setdefault(r.pack_id, []).append(r.problem)
+    bare = "pack declares no ontology; the router has nothing to match on"
+    assert {k for k, problems in got.items() if bare in problems} == {k for k in nation if k % 25 == 24} != set()
+    own = f"domain 'd{nation[74]}', which"  # 74 has a third expert, without capabilities
+    assert sorted(got[74]) == sorted([
+        bare, *[f"expert '{x}' declares {own} no ontology in this pack defines" for x in "abz"], *[f"expert '{x}' retrieves from {own} this pack does not define" for x in "abz"],
+        *[f"expert '{x}' capability '{c}' operates on '{e}', which the ontology does not define" for x, c, e in (("a", "c1", "Order"), ("b", "c2", "Line"))], "expert 'z' declares no capabilities",
+    ])
+
+
 def test_unknown_tasks_on_a_ring_are_on_no_cycle_and_components_are_of_few_written_rows(spark, monkeypatch):
     """Trimming comes first, so a long plan without cycles is never written whole; a ring through an unknown task isn't one."""
     real = components.materialize
